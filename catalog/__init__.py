@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["basics", "statistics"]
+MODULES = ["basics", "statistics", "ingest", "association"]
 
 
 def load() -> None:
