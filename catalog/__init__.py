@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["basics", "statistics", "ingest", "association"]
+MODULES = ["basics", "statistics", "ingest", "association", "comparison"]
 
 
 def load() -> None:

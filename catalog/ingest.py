@@ -142,7 +142,7 @@ def _(spark, d):
 
 
 @query("d7_type_conflicts", BASE + """SELECT event, mut_type, n, n_types FROM (SELECT event, mut_type, count(*) AS n,
-count(*) OVER (PARTITION BY event) AS n_types FROM lines GROUP BY ALL) WHERE n_types > 1""")
+count(*) OVER (PARTITION BY event) AS n_types FROM lines GROUP BY event, mut_type) WHERE n_types > 1""")
 def _(spark, d):
     return ingest.type_conflicts(lines(spark, d))
 

@@ -13,6 +13,12 @@ from cohortry.operators.running import default_buckets
 _HEX = 4  # leading hash digits that cut the order into ranges
 
 
+def _parallelism(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+               spark.sparkContext.defaultParallelism)
+
+
 def _numbered(df: DataFrame, seed: int) -> DataFrame:
     """Number the rows of each ``rep`` from 0 in hash order.
 
@@ -21,13 +27,14 @@ def _numbered(df: DataFrame, seed: int) -> DataFrame:
     """
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("rep"), F.col("_id")))
     wide = max(16, default_buckets(df))
-    cut = df.withColumn("_hash", digest).withColumn(
-        "_slot", F.floor(F.conv(F.substring("_hash", 1, _HEX), 16, 10).cast("long")
-                         * wide / 16 ** _HEX))
+    lead = F.conv(F.substring("_hash", 1, _HEX), 16, 10).cast("int")
+    cut = (df.withColumn("_hash", digest)
+           .withColumn("_slot", F.floor(lead * wide / 16 ** _HEX).cast("int"))
+           .withColumn("_hash", F.unhex("_hash")).drop("_id"))
     slots = cut.groupBy("rep", "_slot").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("rep").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.select("rep", "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("rep", "_slot").orderBy("_hash", "_id")
+    inside = Window.partitionBy("rep", "_slot").orderBy("_hash")
     return (cut.withColumn("_row", F.row_number().over(inside))
             .join(slots, ["rep", "_slot"])
             .withColumn("_place", F.col("_before") + F.col("_row") - 1)
@@ -44,8 +51,9 @@ def permute_label(df: DataFrame, row_id: str, label: str, reps: int, seed: int =
     carry = list(carry)
     base = df.select(F.col(row_id).cast("string").alias("_id"), F.lit(0).alias("rep"), label)
     labels = _numbered(base, seed).select("_place", label)
-    rows = df.select(F.col(row_id).cast("string").alias("_id"), *carry).withColumn(
-        "rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    # Spread the rows before they multiply; a fixed number is not coalesced again.
+    rows = df.select(F.col(row_id).cast("string").alias("_id"), *carry).repartition(
+        _parallelism(df), "_id").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     return _numbered(rows, seed).join(labels, "_place").select("rep", *carry, label)
 
 

@@ -49,14 +49,15 @@ def rank_sum_by(df: DataFrame, by: list[str], group: str, value: str, levels: tu
     correction.
     """
     first, second = levels
+    rows = df.filter(column(group).isin(first, second)).select(
+        *by, column(group).alias("_g"), F.col(value).alias("_v"))
     counts = (
-        _known(df.filter(column(group).isin(first, second)), value)
-        .groupBy(*by, value)
-        .agg(F.count_if(F.col(group) == F.lit(first)).alias("n1"),
-             F.count_if(F.col(group) == F.lit(second)).alias("n2"))
+        _known(rows, "_v").groupBy(*by, "_v")
+        .agg(F.count_if(F.col("_g") == F.lit(first)).alias("n1"),
+             F.count_if(F.col("_g") == F.lit(second)).alias("n2"))
         .withColumn("n", F.col("n1") + F.col("n2"))
     )
-    ranked = midranks(counts, by, value, buckets=buckets)
+    ranked = midranks(counts, by, "_v", buckets=buckets)
     sums = ranked.groupBy(*by).agg(
         F.sum("n1").alias("n1"), F.sum("n2").alias("n2"),
         F.sum(F.col("n1") * F.col("midrank")).alias("_rank_sum"),
@@ -78,16 +79,16 @@ def rank_sum_by(df: DataFrame, by: list[str], group: str, value: str, levels: tu
 def kruskal_by(df: DataFrame, by: list[str], group: str, value: str,
                buckets: int | None = None) -> DataFrame:
     """Kruskal-Wallis test per panel over all levels of ``group``."""
-    cells = (
-        _known(df.filter(column(group).isNotNull()), value)
-        .groupBy(*by, value, group).agg(F.count(F.lit(1)).alias("n")))
-    values = cells.groupBy(*by, value).agg(F.sum("n").alias("n"))
+    rows = df.filter(column(group).isNotNull()).select(
+        *by, column(group).alias("_g"), F.col(value).alias("_v"))
+    cells = _known(rows, "_v").groupBy(*by, "_v", "_g").agg(F.count(F.lit(1)).alias("n"))
+    values = cells.groupBy(*by, "_v").agg(F.sum("n").alias("n"))
     ranked = (
-        midranks(values, by, value, buckets=buckets)
-        .select(panel(by).alias(KEY), value, "midrank", F.col("n").alias("_tied")))
+        midranks(values, by, "_v", buckets=buckets)
+        .select(panel(by).alias(KEY), "_v", "midrank", F.col("n").alias("_tied")))
     levels = (
-        cells.withColumn(KEY, panel(by)).join(ranked, [KEY, value])
-        .groupBy(*by, group)
+        cells.withColumn(KEY, panel(by)).join(ranked, [KEY, "_v"])
+        .groupBy(*by, "_g")
         .agg(F.sum("n").alias("n"),
              F.sum(F.col("n") * F.col("midrank")).alias("_r"),
              F.sum(F.col("n") * (F.col("_tied").cast("double") * F.col("_tied") - 1)).alias("_ties")))
@@ -146,11 +147,12 @@ def signed_rank_by(df: DataFrame, by: list[str], pair_id: str, group: str, value
     pairs that lack a partner.
     """
     first, second = levels
+    rows = df.filter(column(group).isin(first, second)).select(
+        *by, F.col(pair_id).alias("_pair"), column(group).alias("_g"), F.col(value).alias("_v"))
     pairs = (
-        _known(df.filter(column(group).isin(first, second)), value)
-        .groupBy(*by, pair_id)
-        .agg(F.avg(F.when(F.col(group) == F.lit(first), F.col(value))).alias("_a"),
-             F.avg(F.when(F.col(group) == F.lit(second), F.col(value))).alias("_b"))
+        _known(rows, "_v").groupBy(*by, "_pair")
+        .agg(F.avg(F.when(F.col("_g") == F.lit(first), F.col("_v"))).alias("_a"),
+             F.avg(F.when(F.col("_g") == F.lit(second), F.col("_v"))).alias("_b"))
         .withColumn("_d", F.col("_a") - F.col("_b"))
         .withColumn("_d", F.round("_d", 11))
         .withColumn("_size", F.coalesce(F.abs("_d"), F.lit(0.0)))
