@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["basics", "statistics", "ingest", "association", "comparison"]
+MODULES = ["basics", "statistics", "ingest", "association", "comparison", "outcome"]
 
 
 def load() -> None:

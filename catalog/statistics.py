@@ -10,7 +10,7 @@ from catalog.sqlkit import (bh, box, chisq, chisq_raw, km, kruskal, log_rank, r6
                             spearman, tidy, welch)
 from cohortry.operators import adjust, contingency, mixed, moments, permute, ranks
 from cohortry.operators import survival as surv
-from cohortry.operators.running import Run, clean, cut_ranges, running
+from cohortry.operators.running import Run, clean, cut_ranges, running, settle
 
 BASE = with_ctes(OBS)
 
@@ -231,5 +231,6 @@ def _(spark, d):
 ORDER BY os_time DESC) AS BIGINT) AS n_risk FROM survival GROUP BY sex, os_time""")
 def _(spark, d):
     counts = survival(spark, d).groupBy("sex", F.col("os_time").alias("time")).agg(F.count("*").alias("n"))
-    cut = cut_ranges(counts, ["sex"], "time", used=["n"])
+    counts, buckets = settle(counts)
+    cut = cut_ranges(counts, ["sex"], "time", buckets, used=["n"])
     return clean(running(cut, "time", [Run("n_risk", "n", reverse=True)]))

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.nullrules import column
 from cohortry.operators.joins import natural_join
-from cohortry.operators.running import Run, clean, cut_ranges, running
-from cohortry.session import staged
+from cohortry.operators.running import Run, clean, cut_ranges, running, settle
 
 
 def p_adjust_bh(df: DataFrame, p: str = "p_value", out: str = "p_adj",
@@ -20,7 +19,7 @@ def p_adjust_bh(df: DataFrame, p: str = "p_value", out: str = "p_adj",
     do not count.
     """
     by = list(by)
-    tests = staged(df)
+    tests, buckets = settle(df, buckets)
     counts = tests.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n"))
     cut = cut_ranges(counts, by, p, buckets, used=["_n"])
     ranked = running(cut, p, [Run("_upto", "_n", total="_tests")])

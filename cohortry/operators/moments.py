@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.nullrules import column, divide
 from cohortry.functions.tails import student_two_sided
 from cohortry.operators.joins import natural_join
-from cohortry.operators.running import Run, clean, cut_ranges, running
+from cohortry.operators.running import Run, clean, cut_ranges, running, settle
 
 
 def _value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -24,7 +24,12 @@ def quantiles_by(df: DataFrame, by: list[str], value: str, probs: dict[str, floa
     ``probs`` maps output names to probabilities. The built-in exact percentile
     keeps a group's values in one task; this ranks distinct values instead.
     """
-    cut = cut_ranges(_value_counts(df, by, value), by, "_v", buckets, used=["_n"])
+    counts, buckets = settle(_value_counts(df, by, value), buckets)
+    return _quantiles(counts, by, probs, buckets)
+
+
+def _quantiles(counts: DataFrame, by: list[str], probs: dict[str, float], buckets: int) -> DataFrame:
+    cut = cut_ranges(counts, by, "_v", buckets, used=["_n"])
     ranked = clean(running(cut, "_v", [Run("_upto", "_n", total="_all")]))
     picks, outs = [], []
     for name, prob in probs.items():
@@ -54,8 +59,8 @@ def median_split(df: DataFrame, x: str, out: str = "above_median",
 def box_stats_by(df: DataFrame, by: list[str], value: str,
                  buckets: int | None = None) -> DataFrame:
     """Quartiles, 1.5-IQR whiskers and the number of outliers per group."""
-    boxes = quantiles_by(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, buckets)
-    counts = _value_counts(df, by, value)
+    counts, buckets = settle(_value_counts(df, by, value), buckets)
+    boxes = _quantiles(counts, by, {"q1": 0.25, "median": 0.5, "q3": 0.75}, buckets)
     if by:
         both = natural_join(counts, boxes, "inner", by)
     else:

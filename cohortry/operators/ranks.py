@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.nullrules import column, divide
 from cohortry.functions.tails import chi_square_tail, normal_two_sided, student_two_sided
-from cohortry.operators.running import KEY, Run, clean, cut_ranges, panel, running
+from cohortry.operators.running import KEY, Run, clean, cut_ranges, panel, running, settle
 
 
 def _midrank(n: str = "n", upto: str = "upto") -> Column:
@@ -26,6 +26,7 @@ def _cube_excess(n: str = "n") -> Column:
 def midranks(counts: DataFrame, by: list[str], value: str, n: str = "n",
              buckets: int | None = None, used: list[str] = ()) -> DataFrame:
     """Add ``midrank`` and the panel size ``n_panel`` to distinct values with counts."""
+    counts, buckets = settle(counts, buckets)
     cut = cut_ranges(counts, by, value, buckets, used=[n, *used])
     ranked = running(cut, value, [Run("upto", n, total="n_panel")])
     return clean(ranked.withColumn("midrank", _midrank(n)).drop("upto"))
@@ -81,7 +82,8 @@ def kruskal_by(df: DataFrame, by: list[str], group: str, value: str,
     """Kruskal-Wallis test per panel over all levels of ``group``."""
     rows = df.filter(column(group).isNotNull()).select(
         *by, column(group).alias("_g"), F.col(value).alias("_v"))
-    cells = _known(rows, "_v").groupBy(*by, "_v", "_g").agg(F.count(F.lit(1)).alias("n"))
+    cells, buckets = settle(
+        _known(rows, "_v").groupBy(*by, "_v", "_g").agg(F.count(F.lit(1)).alias("n")), buckets)
     values = cells.groupBy(*by, "_v").agg(F.sum("n").alias("n"))
     ranked = (
         midranks(values, by, "_v", buckets=buckets)
@@ -110,10 +112,10 @@ def kruskal_by(df: DataFrame, by: list[str], group: str, value: str,
 def spearman_by(df: DataFrame, by: list[str], x: str, y: str,
                 buckets: int | None = None) -> DataFrame:
     """Rank correlation per panel, with the t approximation for its p-value."""
-    cells = (
-        _known(df, x, y).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
-        .groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn(KEY, panel(by)))
+    rows = df.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    cells, buckets = settle(
+        _known(rows, "_x", "_y").groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("n")), buckets)
+    cells = cells.withColumn(KEY, panel(by))
 
     def ranks(v: str, out: str) -> DataFrame:
         values = cells.groupBy(*by, v).agg(F.sum("n").alias("n"))

@@ -6,7 +6,9 @@ quantiles. The window runs inside one range, and the sums of the earlier ranges,
 at most ``buckets`` rows per panel, are added afterwards. The cut points only
 balance the work: any cut points give the same, exact result.
 
-Callers reduce their rows to distinct values first, so ties are one row.
+Callers reduce their rows to distinct values first, so ties are one row. Where
+the whole reduced frame is small, :func:`settle` chooses one range per panel and
+the plan is a plain window.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortry.session import staged
+
+SMALL = 100_000
 KEY, BUCKET = "_panel", "_range"
 
 
@@ -34,24 +39,35 @@ def default_buckets(df: DataFrame) -> int:
     return max(4, min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def settle(df: DataFrame, buckets: int | None = None) -> tuple[DataFrame, int]:
+    """Stage a reduced frame and choose the number of ranges by its size.
+
+    The source is then read once, however often the ranks refer to the frame. A
+    given number of ``buckets`` is kept and nothing is staged.
+    """
+    if buckets is not None:
+        return df, buckets
+    df = staged(df)
+    return df, (1 if df.count() <= SMALL else default_buckets(df))
+
+
 def panel(by: list[str]) -> Column:
     # A struct compares equal field by field with missing values equal, so the
     # joins below stay ordinary equality joins.
     return F.struct(*by) if by else F.lit(0)
 
 
-def cut_ranges(df: DataFrame, by: list[str], order: str,
-               buckets: int | None = None, used: list[str] = ()) -> DataFrame:
-    """Add the panel key and the value range of each row.
+def cut_ranges(df: DataFrame, by: list[str], order: str, buckets: int,
+               used: list[str] = ()) -> DataFrame:
+    """Add the panel key and, with more than one range, the range of each row.
 
     ``used`` lists the counts the later steps read. Reading them here as well
     keeps the upstream exchange of every branch identical, so Spark runs it once
     and reuses it.
     """
-    buckets = buckets or default_buckets(df)
     keyed = df.withColumn(KEY, panel(by))
     if buckets < 2:
-        return keyed.withColumn(BUCKET, F.lit(0))
+        return keyed
     cuts = [i / buckets for i in range(1, buckets)]
     source = keyed
     for name in used:
@@ -76,34 +92,38 @@ def _merge(how: str, near: Column, far: Column) -> Column:
     return F.least(near, far) if how == "min" else F.greatest(near, far)
 
 
+def _ordered(keys: list[str], order: str, reverse: bool):
+    return Window.partitionBy(*keys).orderBy(
+        F.col(order).desc() if reverse else F.col(order).asc())
+
+
 def running(df: DataFrame, order: str, runs: list[Run]) -> DataFrame:
     """Add running columns to a frame from :func:`cut_ranges`.
 
     Each includes the rows that tie on ``order``.
     """
-    names, totals = [], []
+    if BUCKET not in df.columns:
+        whole = Window.partitionBy(KEY)
+        return df.select(
+            "*", *[_FOLD[r.how](r.value).over(_ordered([KEY], order, r.reverse)).alias(r.out) for r in runs],
+            *[_FOLD[r.how](r.value).over(whole).alias(r.total) for r in runs if r.total])
     blocks = df.groupBy(KEY, BUCKET).agg(
         *[_FOLD[r.how](r.value).alias(f"_block_{r.out}") for r in runs])
-    inner = df
+    earlier = []
     for r in runs:
-        fold, down = _FOLD[r.how], r.reverse
-        within = Window.partitionBy(KEY, BUCKET).orderBy(
-            F.col(order).desc() if down else F.col(order).asc())
-        inner = inner.withColumn(f"_near_{r.out}", fold(r.value).over(within))
-        before = Window.partitionBy(KEY).orderBy(
-            F.col(BUCKET).desc() if down else F.col(BUCKET).asc()
-        ).rowsBetween(Window.unboundedPreceding, -1)
-        blocks = blocks.withColumn(f"_far_{r.out}", fold(f"_block_{r.out}").over(before))
-        names.append(f"_far_{r.out}")
+        block = _FOLD[r.how](f"_block_{r.out}")
+        before = _ordered([KEY], BUCKET, r.reverse).rowsBetween(Window.unboundedPreceding, -1)
+        earlier.append(block.over(before).alias(f"_far_{r.out}"))
         if r.total:
-            blocks = blocks.withColumn(
-                r.total, fold(f"_block_{r.out}").over(Window.partitionBy(KEY)))
-            totals.append(r.total)
-    joined = inner.join(blocks.select(KEY, BUCKET, *names, *totals), [KEY, BUCKET])
-    out = [_merge(r.how, F.col(f"_near_{r.out}"), F.col(f"_far_{r.out}")).alias(r.out)
-           for r in runs]
-    return joined.select(*[F.col(c) for c in df.columns], *out,
-                         *[F.col(t) for t in totals])
+            earlier.append(block.over(Window.partitionBy(KEY)).alias(r.total))
+    inner = df.select("*", *[
+        _FOLD[r.how](r.value).over(_ordered([KEY, BUCKET], order, r.reverse)).alias(f"_near_{r.out}")
+        for r in runs])
+    joined = inner.join(blocks.select(KEY, BUCKET, *earlier), [KEY, BUCKET])
+    return joined.select(
+        *[F.col(c) for c in df.columns],
+        *[_merge(r.how, F.col(f"_near_{r.out}"), F.col(f"_far_{r.out}")).alias(r.out) for r in runs],
+        *[F.col(r.total) for r in runs if r.total])
 
 
 def clean(df: DataFrame) -> DataFrame:

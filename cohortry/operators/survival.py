@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.tails import chi_square_tail, log_rank_form, normal_two_sided
-from cohortry.operators.running import BUCKET, KEY, Run, clean, cut_ranges, running
+from cohortry.operators.running import BUCKET, KEY, Run, clean, cut_ranges, running, settle
 from cohortry.session import staged
 
 MAX_LEVELS = 50
@@ -28,6 +28,7 @@ def kaplan_meier(df: DataFrame, time: str, event: str, strata: list[str] = (),
     strata = list(strata)
     counts = _timed(df, time, event).groupBy(*strata, "_time").agg(
         F.sum("_died").alias("n_event"), F.count(F.lit(1)).alias("_n"))
+    counts, buckets = settle(counts, buckets)
     cut = cut_ranges(counts, strata, "_time", buckets, used=["_n", "n_event"])
     risk = running(cut, "_time", [Run("n_risk", "_n", reverse=True)])
     d, n = F.col("n_event"), F.col("n_risk")
@@ -66,6 +67,7 @@ def log_rank(df: DataFrame, time: str, event: str, group: str, by: list[str] = (
     counts = rows.groupBy(*by, "_time").agg(
         *[F.count_if(is_level[i]).alias(f"_n{i}") for i in index],
         *[F.count_if(is_level[i] & (F.col("_died") == 1)).alias(f"_d{i}") for i in index])
+    counts, buckets = settle(counts, buckets)
     cut = cut_ranges(counts, by, "_time", buckets,
                      used=[f"_{k}{i}" for k in "nd" for i in index])
     risk = running(cut, "_time", [Run(f"_y{i}", f"_n{i}", reverse=True) for i in index])
@@ -112,7 +114,11 @@ def cox_ph(df: DataFrame, time: str, event: str, covariates: list[str],
         F.col("_x").isNotNull() & ~F.isnan("_x"))
     cells = long.groupBy("covariate", "_time", "_x").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_died").alias("_d"))
-    cells = staged(cut_ranges(cells, ["covariate"], "_time", buckets, used=["_n", "_d"]))
+    cells, buckets = settle(cells, buckets)
+    cells = cut_ranges(cells, ["covariate"], "_time", buckets, used=["_n", "_d"])
+    if buckets > 1:
+        cells = staged(cells)
+    place = [c for c in (KEY, BUCKET) if c in cells.columns]
     shape = {r["covariate"]: r for r in cells.groupBy("covariate").agg(
         F.sum("_n").alias("n"), F.sum("_d").alias("n_event"),
         (F.sum(F.col("_n") * F.col("_x")) / F.sum("_n")).alias("centre"),
@@ -128,7 +134,7 @@ def cox_ph(df: DataFrame, time: str, event: str, covariates: list[str],
         w = F.exp(_per_covariate(beta) * x)
         times = (
             cells.withColumn("_u", scaled)
-            .groupBy("covariate", KEY, BUCKET, "_time").agg(
+            .groupBy("covariate", *place, "_time").agg(
                 *[F.sum(F.col("_n") * w * x ** k).alias(f"_r{k}") for k in range(3)],
                 *[F.sum(F.col("_d") * w * x ** k).alias(f"_e{k}") for k in range(3)],
                 F.sum("_d").alias("_deaths"), F.sum(F.col("_d") * x).alias("_dx")))

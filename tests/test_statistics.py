@@ -16,7 +16,7 @@ from cohortry.operators.ranks import kruskal_by, rank_sum_by, signed_rank_by, sp
 from cohortry.operators.running import Run, clean, cut_ranges, running
 from cohortry.operators.survival import cox_ph, kaplan_meier, log_rank
 
-BUCKETS = [1, 7, 64]
+BUCKETS = [None, 7]
 
 
 def panels(seed=1):
@@ -52,7 +52,7 @@ def test_tails_known_values():
     assert student(1.959963985, 1e7) == pytest.approx(0.05, abs=1e-6)
 
 
-@pytest.mark.parametrize("buckets", BUCKETS)
+@pytest.mark.parametrize("buckets", [1, 7, 64])
 def test_running_matches_plain_sums(frame, buckets):
     counts = frame.groupBy("k", "x").agg(F.count("*").alias("n"))
     cut = cut_ranges(counts, ["k"], "x", buckets, used=["n"])
