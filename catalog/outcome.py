@@ -8,7 +8,8 @@ from catalog.cohort import EXPRESSION, OBS, SURVIVAL, expression, observations,
 from catalog.comparison import profile_sql
 from catalog.ingest import NEO
 from catalog.registry import query
-from catalog.sqlkit import km, log_rank
+from catalog.sqlkit import cox, cox_ctes, km, log_rank, reml, reml_ctes
+from catalog.statistics import four_decimals
 from cohortry.operators.joins import natural_join
 from cohortry.plans import outcome
 from cohortry.plans.profiles import profile
@@ -55,9 +56,12 @@ def _(spark, d):
     return outcome.split_table(followed(spark, d), "neo_burden", "sex")
 
 
-@query("d54_cox_burden")
+COUNTS = ["total_event", "total_combine", "neo_burden"]
+
+
+@query("d54_cox_burden", with_ctes(OBS, SURVIVAL, TABLE, *cox_ctes("followed", "os_time", "cens_os", COUNTS)) + cox())
 def _(spark, d):
-    return outcome.hazards(followed(spark, d), ["total_event", "total_combine", "neo_burden"], "os")
+    return outcome.hazards(followed(spark, d), COUNTS, "os")
 
 
 def expression_followed(spark, d):
@@ -72,7 +76,7 @@ GENE_TABLE = """followed AS (SELECT * FROM (SELECT patient, max(CASE WHEN gene =
   JOIN survival USING (patient))"""
 
 
-@query("d54_cox_expression")
+@query("d54_cox_expression", with_ctes(EXPRESSION, SURVIVAL, GENE_TABLE, *cox_ctes("followed", "os_time", "cens_os", ["gene_1", "gene_2"])) + cox())
 def _(spark, d):
     return outcome.hazards(expression_followed(spark, d), ["gene_1", "gene_2"], "os")
 
@@ -95,6 +99,12 @@ def class_units(spark, d):
                     "affinity": ("ba", "coverage > 60 AND effect = 'nonsynonymous' AND el IS NOT NULL")})
 
 
+CLASS_UNITS = ("class_units AS (SELECT *, CASE WHEN immune = 'cold' THEN 0 ELSE 1 END AS is_other FROM (" + profile_sql(
+    "(SELECT * FROM obs WHERE immune IS NOT NULL AND tumour IS NOT NULL)", UNIT, "event", {"total": None, "neo": NEO30},
+    {"level": ("level", "coverage > 60 AND effect = 'nonsynonymous'"),
+     "affinity": ("ba", "coverage > 60 AND effect = 'nonsynonymous' AND el IS NOT NULL")}) + "))")
+
+
 for _measure in ("total", "neo", "level", "affinity"):
-    query(f"d55_mixed_model_{_measure}")(
-        lambda spark, d, measure=_measure: outcome.class_model(class_units(spark, d), measure))
+    query(f"d55_mixed_model_{_measure}", with_ctes(OBS, CLASS_UNITS, *reml_ctes("class_units", _measure, "is_other", "tumour")) + reml("is_other"))(
+        lambda spark, d, measure=_measure: four_decimals(outcome.class_model(class_units(spark, d), measure)))

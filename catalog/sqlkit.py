@@ -50,7 +50,7 @@ def t_tail(t: str, dof: str) -> str:
     rest = f"(({dof}) / (({dof}) + ({t}) * ({t})))"
     half, b = "0.5::DOUBLE", f"(({dof}) / 2.0::DOUBLE)"
     return (f"CASE WHEN ({t}) IS NULL OR ({dof}) IS NULL THEN NULL WHEN abs({t}) < 1e-12 THEN 1.0::DOUBLE "
-            f"WHEN {rest} < 1e-15 THEN 0.0::DOUBLE "
+            f"WHEN {rest} < 1e-15 OR {b} * ln({rest}) < -60 THEN 0.0::DOUBLE "
             f"WHEN {y} < 0.8 THEN 1 - {_beta_series(half, b, y)} ELSE {_beta_series(b, half, rest)} END")
 
 
@@ -210,3 +210,101 @@ def unpivot(src: str, ids, columns, names_to: str, values_to: str) -> str:
     """One SELECT per column, so that missing values keep their rows."""
     return " UNION ALL ".join(
         f"SELECT {keys(ids)}'{c}' AS {names_to}, CAST({c} AS DOUBLE) AS {values_to} FROM {src}" for c in columns)
+
+
+def cox_ctes(src: str, time: str, event: str, covariates, steps: int = 9) -> list[str]:
+    """Newton's method written out step by step, one fit per covariate."""
+    rows = " UNION ALL ".join(
+        f"SELECT '{c}' AS covariate, CAST({time} AS DOUBLE) AS time, {event} AS died, CAST({c} AS DOUBLE) AS x FROM {src} "
+        f"WHERE {c} IS NOT NULL AND {time} IS NOT NULL AND {event} IS NOT NULL" for c in covariates)
+    out = [f"cells_ AS MATERIALIZED (SELECT covariate, time, died, x - avg(x) OVER (PARTITION BY covariate) AS x FROM ({rows}))",
+           "b0 AS MATERIALIZED (SELECT DISTINCT covariate, 0.0::DOUBLE AS beta FROM cells_)"]
+    for i in range(steps):
+        sums = ", ".join([f"sum(exp(beta * x) * pow(x, {k})) AS r{k}, sum(died * exp(beta * x) * pow(x, {k})) AS e{k}" for k in range(3)])
+        suffix = ", ".join(f"sum(r{k}) OVER (PARTITION BY covariate ORDER BY time DESC) AS s{k}" for k in range(3))
+        a = [f"(s{k} - j / CAST(d AS DOUBLE) * e{k})" for k in range(3)]
+        out += [
+            f"t{i} AS MATERIALIZED (SELECT covariate, beta, time, {sums}, CAST(sum(died) AS BIGINT) AS d, sum(died * x) AS dx "
+            f"FROM cells_ JOIN b{i} USING (covariate) GROUP BY covariate, beta, time)",
+            f"u{i} AS MATERIALIZED (SELECT *, unnest(range(d)) AS j FROM (SELECT *, {suffix} FROM t{i}) WHERE d > 0)",
+            f"g{i} AS MATERIALIZED (SELECT covariate, beta, sum(CASE WHEN j = 0 THEN beta * dx ELSE 0 END - ln({a[0]})) AS ll, "
+            f"sum(CASE WHEN j = 0 THEN dx ELSE 0 END - {a[1]} / {a[0]}) AS score, "
+            f"sum({a[2]} / {a[0]} - pow({a[1]} / {a[0]}, 2)) AS info FROM u{i} GROUP BY covariate, beta)",
+            f"b{i + 1} AS MATERIALIZED (SELECT covariate, beta + score / info AS beta FROM g{i})"]
+    return out
+
+
+def cox(steps: int = 9) -> str:
+    last = f"g{steps - 1}"
+    fit = (f"SELECT covariate, n, n_event, beta AS coef, 1 / sqrt(info) AS std_err, beta * sqrt(info) AS z, g0.ll AS loglik_null, "
+           f"f.ll AS loglik, abs(f.score) < 1e-6 * sqrt(info) AS converged, exp(beta) AS hazard_ratio FROM (SELECT * FROM {last}) f "
+           f"JOIN (SELECT covariate, ll FROM g0) g0 USING (covariate) JOIN (SELECT covariate, count(*) AS n, "
+           f"CAST(sum(died) AS BIGINT) AS n_event FROM cells_ GROUP BY 1) USING (covariate)")
+    return tidy(f"SELECT *, {normal_tail('z')} AS p_value FROM ({fit})", ["covariate", "n", "n_event", "converged"],
+                ["coef", "std_err", "z", "loglik_null", "loglik", "hazard_ratio", "p_value"])
+
+
+def reml_ctes(src: str, y: str, x: str, g: str, rounds: int = 8) -> list[str]:
+    """Likelihood of a random intercept on a grid of variance ratios, refined."""
+    out = [f"rows__ AS MATERIALIZED (SELECT CAST({x} AS DOUBLE) - avg(CAST({x} AS DOUBLE)) OVER () AS x, {y} - avg({y}) OVER () AS y, {g} AS g, "
+           f"avg(CAST({x} AS DOUBLE)) OVER () AS mx, avg({y}) OVER () AS my FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL AND {g} IS NOT NULL)",
+           "groups_ AS MATERIALIZED (SELECT count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy "
+           "FROM rows__ GROUP BY g)"]
+
+    def fit(thetas):
+        f = "(theta / (1 + n * theta))"
+        sums = (f"SELECT theta, sum(ln(1 + n * theta)) AS lv, sum(n / (1 + n * theta)) AS s00, sum(sx / (1 + n * theta)) AS s01, "
+                f"sum(xx - {f} * sx * sx) AS s11, sum(sy / (1 + n * theta)) AS t0, sum(xy - {f} * sx * sy) AS t1, "
+                f"sum(yy - {f} * sy * sy) AS q, CAST(sum(n) AS DOUBLE) - 2 AS free FROM groups_, ({thetas}) GROUP BY theta")
+        det = f"SELECT *, s00 * s11 - s01 * s01 AS det FROM ({sums})"
+        beta = f"SELECT *, (s11 * t0 - s01 * t1) / det AS b0, (s00 * t1 - s01 * t0) / det AS b1 FROM ({det})"
+        rest = f"SELECT *, q - b0 * t0 - b1 * t1 AS rest, lv + ln(det) AS ld FROM ({beta})"
+        return f"SELECT *, free * ln(rest) + ld AS crit FROM ({rest})"
+
+    grid = ("SELECT 0.0::DOUBLE AS theta UNION ALL SELECT exp(-14.0::DOUBLE + i * 0.875) AS theta FROM range(33) t(i)")
+    out.append(f"m0 AS MATERIALIZED ({fit(grid)} ORDER BY crit LIMIT 1)")
+    width = 0.875
+    for i in range(1, rounds):
+        step = 2 * width / 32
+        grid = (f"SELECT exp(CASE WHEN theta > 0 THEN ln(theta) ELSE -745 END - {width!r} + i * {step!r}) AS theta FROM m{i - 1}, range(33) t(i) "
+                f"WHERE theta > 0")
+        out.append(f"m{i} AS MATERIALIZED (SELECT * FROM (SELECT * FROM ({fit(grid)}) UNION ALL SELECT * FROM m{i - 1}) ORDER BY crit LIMIT 1)")
+        width = step
+    best = f"m{rounds - 1}"
+    out.append(f"near_ AS MATERIALIZED ({fit(f'SELECT theta * (1 + k * 0.05) AS theta FROM {best}, (VALUES (-2), (-1), (1), (2)) v(k) WHERE theta > 0')})")
+    out.append(f"best_ AS (SELECT * FROM {best})")
+    return out
+
+
+def reml(x: str) -> str:
+    """Coefficients with Satterthwaite degrees of freedom from five-point
+    differences, to four decimals."""
+    v0 = "({p}s11 / {p}det + 2 * mx * {p}s01 / {p}det + mx * mx * {p}s00 / {p}det)"
+    v1 = "({p}s00 / {p}det)"
+
+    def first(e):
+        p = [e(f"k{i}.") for i in range(4)]
+        return f"(({p[0]} - 8 * {p[1]} + 8 * {p[2]} - {p[3]}) / (12 * b.theta * 0.05))"
+
+    def second(e):
+        p = [e(f"k{i}.") for i in range(4)]
+        return f"((-{p[0]} + 16 * {p[1]} - 30 * {e('b.')} + 16 * {p[2]} - {p[3]}) / (12 * pow(b.theta * 0.05, 2)))"
+
+    nears = " ".join(f"LEFT JOIN (SELECT * FROM near_ ORDER BY theta LIMIT 1 OFFSET {i}) k{i} ON true" for i in range(4))
+    body = []
+    for term, v in ((None, v0), (x, v1)):
+        name, est = ("intercept", "b.b0 + my - b.b1 * mx") if term is None else (x, "b.b1")
+        b = v.format(p="b.")
+        body.append(
+            f"SELECT '{name}' AS term, {est} AS estimate, sqrt(b.rest / b.free * {b}) AS std_err, {b} AS v, "
+            f"{first(lambda p, v=v: v.format(p=p))} AS dv, b.theta, b.free, b.rest, b.rest / b.free AS s2, "
+            f"{first(lambda p: p + 'rest')} AS r1, {second(lambda p: p + 'rest')} AS r2, {second(lambda p: p + 'ld')} AS d2 "
+            f"FROM best_ b CROSS JOIN (SELECT any_value(mx) AS mx, any_value(my) AS my FROM rows__) {nears}")
+    hess = (f"SELECT *, -free / pow(s2, 2) + 2 * rest / pow(s2, 3) AS hss, -r1 / pow(s2, 2) AS hst, r2 / s2 + d2 AS htt FROM ("
+            + " UNION ALL ".join(body) + ")")
+    spread = f"SELECT *, hss * htt - hst * hst AS det, 2 * (v * v * htt - 2 * v * s2 * dv * hst + pow(s2 * dv, 2) * hss) AS top FROM ({hess})"
+    dof = (f"SELECT *, CASE WHEN theta >= 1e-6 AND det > 0 AND top > 0 THEN 2 * pow(s2 * v, 2) / (top / det) ELSE free END AS dof FROM ({spread})")
+    return (f"SELECT term, round(estimate + 1e-10, 4) + 0.0 AS estimate, round(std_err + 1e-10, 4) + 0.0 AS std_err, "
+            f"round(dof, 0) + 0.0 AS dof, round(estimate / std_err + 1e-10, 2) + 0.0 AS t, round(sqrt(s2) + 1e-10, 4) + 0.0 AS sigma, "
+            f"round(sqrt(s2 * theta) + 1e-10, 4) + 0.0 AS group_sd, round({t_tail('estimate / std_err', 'dof')}, 4) + 0.0 AS p_value, "
+            f"CAST(free AS BIGINT) + 2 AS n, (SELECT count(*) FROM groups_) AS n_groups, theta < 1e-6 AS singular FROM ({dof})")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +12,19 @@ from cohortry.functions.tails import student_two_sided
 from cohortry.session import staged
 
 
-def random_intercept(df: DataFrame, y: str, x: str, group: str, rounds: int = 8) -> DataFrame:
+def random_intercept(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
     """Fit ``y ~ x + (1 | group)``; two rows, intercept and slope.
 
     Rows reduce to sums per group, and groups of equal size to one row, because
     the likelihood depends on a group only through its size and products of its
-    sums. Each search round sends a grid of variance ratios over that table in
-    one Spark job and gets seven numbers per ratio back.
+    sums. One Spark job over that table evaluates a grid of variance ratios; a few
+    more give the derivatives for Newton steps. Each returns a few numbers per
+    ratio.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"),
-                     F.col(group).alias("g")).filter("y is not null and x is not null and g is not null")
+    rows = staged(df.select(
+        F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"), F.col(group).alias("g")
+    ).filter("y is not null and x is not null and g is not null"))
     mean = rows.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
     packed = mean.select(F.struct("mx", "my").alias("_m"))
     centred = rows.withColumn("_m", packed.scalar()).select(
@@ -49,89 +52,87 @@ def random_intercept(df: DataFrame, y: str, x: str, group: str, rounds: int = 8)
         return result([])
 
     def sums(thetas: list[float]) -> list[dict]:
+        """The likelihood's sums and their first two derivatives at each ratio."""
         grid = sizes.withColumn("theta", F.explode(F.array(*[F.lit(float(t)) for t in thetas])))
-        n, theta = F.col("n"), F.col("theta")
-        shrink = 1 + n * theta
-        f = theta / shrink
-        found = grid.groupBy("theta").agg(
-            F.sum(F.col("m") * F.log(shrink)).alias("log_v"),
-            F.sum(F.col("m") * n / shrink).alias("s00"),
-            F.sum(F.col("sx") / shrink).alias("s01"),
-            F.sum(F.col("xx") - f * F.col("sxsx")).alias("s11"),
-            F.sum(F.col("sy") / shrink).alias("t0"),
-            F.sum(F.col("xy") - f * F.col("sxsy")).alias("t1"),
-            F.sum(F.col("yy") - f * F.col("sysy")).alias("yy"))
-        return sorted((r.asDict() for r in found.collect()), key=lambda r: r["theta"])
-
-    def solve(s: dict) -> dict | None:
-        det = s["s00"] * s["s11"] - s["s01"] ** 2
-        if det <= 1e-12 * max(1.0, s["s00"] * abs(s["s11"])):
-            return None
-        b0 = (s["s11"] * s["t0"] - s["s01"] * s["t1"]) / det
-        b1 = (s["s00"] * s["t1"] - s["s01"] * s["t0"]) / det
-        rest = max(s["yy"] - b0 * s["t0"] - b1 * s["t1"], 0.0)
-        return {"theta": s["theta"], "b": (b0, b1), "rest": rest,
-                "log_det": s["log_v"] + math.log(det),
-                "cov": (s["s11"] / det, s["s00"] / det, -s["s01"] / det)}
+        n, m, theta = F.col("n").cast("double"), F.col("m").cast("double"), F.col("theta")
+        w = 1 / (1 + n * theta)
+        picks = [F.sum(m * F.log(1 + n * theta)).alias("v0"), F.sum(m * n * w).alias("v1"),
+                 F.sum(-m * n * n * w * w).alias("v2")]
+        for name, size in (("s00", m * n), ("s01", F.col("sx")), ("t0", F.col("sy"))):
+            picks += [F.sum(size * w).alias(f"{name}_0"), F.sum(-n * size * w * w).alias(f"{name}_1"),
+                      F.sum(2 * n * n * size * w * w * w).alias(f"{name}_2")]
+        for name, full, outer in (("s11", "xx", "sxsx"), ("t1", "xy", "sxsy"), ("q", "yy", "sysy")):
+            picks += [F.sum(F.col(full) - theta * w * F.col(outer)).alias(f"{name}_0"),
+                      F.sum(-w * w * F.col(outer)).alias(f"{name}_1"),
+                      F.sum(2 * n * w * w * w * F.col(outer)).alias(f"{name}_2")]
+        found = grid.groupBy("theta").agg(*picks).collect()
+        return sorted((r.asDict() for r in found), key=lambda r: r["theta"])
 
     free = n_rows - 2
 
-    def criterion(v: dict) -> float:
-        return free * math.log(max(v["rest"], 1e-300)) + v["log_det"]
+    def solve(s: dict) -> dict | None:
+        a = [np.array([[s[f"s00_{k}"], s[f"s01_{k}"]], [s[f"s01_{k}"], s[f"s11_{k}"]]]) for k in range(3)]
+        t = [np.array([s[f"t0_{k}"], s[f"t1_{k}"]]) for k in range(3)]
+        det = np.linalg.det(a[0])
+        if det <= 1e-12 * max(1.0, s["s00_0"] * abs(s["s11_0"])):
+            return None
+        cov = np.linalg.inv(a[0])
+        b = cov @ t[0]
+        gap = t[1] - a[1] @ b
+        rest = max(s["q_0"] - b @ t[0], 1e-300)
+        rest1 = s["q_1"] - 2 * b @ t[1] + b @ a[1] @ b
+        rest2 = s["q_2"] - 2 * b @ t[2] + b @ a[2] @ b - 2 * gap @ cov @ gap
+        turn = cov @ a[1]
+        det1 = s["v1"] + np.trace(turn)
+        det2 = s["v2"] + np.trace(cov @ a[2]) - np.trace(turn @ turn)
+        return {"theta": s["theta"], "b": b, "cov": cov, "cov1": -cov @ a[1] @ cov,
+                "rest": rest, "rest1": rest1, "rest2": rest2, "det2": det2,
+                "value": free * math.log(rest) + s["v0"] + math.log(det),
+                "slope": free * rest1 / rest + det1,
+                "curve": free * (rest2 / rest - (rest1 / rest) ** 2) + det2}
 
     low, high, points = -14.0, 14.0, 33
     best = None
-    for _ in range(rounds):
+    for _ in range(2):
         width = (high - low) / (points - 1)
         thetas = [math.exp(low + i * width) for i in range(points)]
-        if best is None:
-            thetas = [0.0, *thetas]
-        fits = [v for v in map(solve, sums(thetas)) if v]
+        fits = [v for v in map(solve, sums(thetas if best else [0.0, *thetas])) if v]
         if not fits:
             return result([])
-        best = min([*fits, *([best] if best else [])], key=criterion)
+        best = min([*fits, *([best] if best else [])], key=lambda v: v["value"])
         if best["theta"] == 0.0:
             break
         at = math.log(best["theta"])
         low, high = at - width, at + width
+    for _ in range(6):
+        if best["theta"] == 0.0 or best["curve"] <= 0:
+            break
+        step = best["slope"] / best["curve"]
+        if abs(step) <= 1e-10 * best["theta"] or step >= best["theta"]:
+            break
+        best = solve(sums([best["theta"] - step])[0]) or best
     theta = best["theta"]
-    sigma2 = best["rest"] / free
+    sigma2 = float(best["rest"]) / free
     singular = theta < 1e-6
-
-    def variance(v: dict, term: int) -> float:
-        # Variance of a coefficient per unit residual variance, in the data's own origin.
-        c_int, c_slope, c_both = v["cov"]
-        if term == 1:
-            return c_slope
-        m = centre["mx"]
-        return c_int - 2 * m * c_both + m * m * c_slope
-
-    dof = {0: float(free), 1: float(free)}
-    if not singular and sigma2 > 0:
-        h = theta * 1e-3
-        lower, _, upper = [solve(s) for s in sums([theta - h, theta, theta + h])]
-        slope_rest = (upper["rest"] - lower["rest"]) / (2 * h)
-        curve_rest = (upper["rest"] - 2 * best["rest"] + lower["rest"]) / (h * h)
-        curve_det = (upper["log_det"] - 2 * best["log_det"] + lower["log_det"]) / (h * h)
-        # Hessian of the REML deviance in (sigma^2, theta).
-        hss = -free / sigma2 ** 2 + 2 * best["rest"] / sigma2 ** 3
-        hst = -slope_rest / sigma2 ** 2
-        htt = curve_rest / sigma2 + curve_det
-        det = hss * htt - hst * hst
-        if det > 0:
-            for term in (0, 1):
-                v = variance(best, term)
-                gs = v
-                gt = sigma2 * (variance(upper, term) - variance(lower, term)) / (2 * h)
-                spread = 2 * (gs * gs * htt - 2 * gs * gt * hst + gt * gt * hss) / det
-                if spread > 0:
-                    dof[term] = 2 * (sigma2 * v) ** 2 / spread
-    slope = best["b"][1]
-    intercept = best["b"][0] + centre["my"] - slope * centre["mx"]
+    # The fit is in centred units: intercept = (1, -mean) of the centred coefficients.
+    contrasts = {"intercept": np.array([1.0, -centre["mx"]]), x: np.array([0.0, 1.0])}
+    # Hessian of the REML deviance in (sigma^2, theta).
+    hss = -free / sigma2 ** 2 + 2 * best["rest"] / sigma2 ** 3
+    hst = -best["rest1"] / sigma2 ** 2
+    htt = best["rest2"] / sigma2 + best["det2"]
+    hessian = np.array([[hss, hst], [hst, htt]])
     records = []
-    for term, (name, value) in enumerate([("intercept", intercept), (x, slope)]):
-        error = math.sqrt(sigma2 * variance(best, term))
-        records.append((name, value, error, dof[term], value / error if error else None,
+    for name, c in contrasts.items():
+        v = float(c @ best["cov"] @ c)
+        dof = float(free)
+        if not singular and np.linalg.det(hessian) > 0:
+            g = np.array([v, sigma2 * float(c @ best["cov1"] @ c)])
+            spread = 2 * float(g @ np.linalg.solve(hessian, g))
+            if spread > 0:
+                dof = float(2 * (sigma2 * v) ** 2 / spread)
+        value = float(c @ best["b"]) + (centre["my"] if name == "intercept" else 0.0)
+        error = float(math.sqrt(sigma2 * v))
+        records.append((name, value, error, dof, value / error if error else None,
                         math.sqrt(sigma2), math.sqrt(sigma2 * theta), int(n_rows),
                         int(n_groups), singular))
     return result(records)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from cohortry.functions.nullrules import n_distinct
 from cohortry.operators.contingency import chisq_by
 from cohortry.operators.joins import natural_join
-from cohortry.operators.running import default_buckets
+from cohortry.operators.running import SMALL, default_buckets
+from cohortry.session import staged
 
 _HEX = 4  # leading hash digits that cut the order into ranges
 
@@ -35,8 +36,9 @@ def _numbered(df: DataFrame, seed: int) -> DataFrame:
     before = Window.partitionBy("rep").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.select("rep", "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("rep", "_slot").orderBy("_hash")
+    # At most 256 slots per rep, so the slot table is always small.
     return (cut.withColumn("_row", F.row_number().over(inside))
-            .join(slots, ["rep", "_slot"])
+            .join(F.broadcast(slots), ["rep", "_slot"])
             .withColumn("_place", F.col("_before") + F.col("_row") - 1)
             .drop("_hash", "_slot", "_row", "_before"))
 
@@ -50,7 +52,9 @@ def permute_label(df: DataFrame, row_id: str, label: str, reps: int, seed: int =
     """
     carry = list(carry)
     base = df.select(F.col(row_id).cast("string").alias("_id"), F.lit(0).alias("rep"), label)
-    labels = _numbered(base, seed).select("_place", label)
+    labels = staged(_numbered(base, seed).select("_place", label))
+    if labels.count() <= SMALL:
+        labels = F.broadcast(labels)
     # Spread the rows before they multiply; a fixed number is not coalesced again.
     rows = df.select(F.col(row_id).cast("string").alias("_id"), *carry).repartition(
         _parallelism(df), "_id").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cohortry.session import staged
 
-SMALL = 100_000
+SMALL = 1_000_000
 KEY, BUCKET = "_panel", "_range"
 
 
