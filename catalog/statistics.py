@@ -247,6 +247,6 @@ def _(spark, d):
 ORDER BY os_time DESC) AS BIGINT) AS n_risk FROM survival GROUP BY sex, os_time""")
 def _(spark, d):
     counts = survival(spark, d).groupBy("sex", F.col("os_time").alias("time")).agg(F.count("*").alias("n"))
-    counts, buckets = settle(counts)
+    counts, buckets = settle(counts, ["sex"])
     cut = cut_ranges(counts, ["sex"], "time", buckets, used=["n"])
     return clean(running(cut, "time", [Run("n_risk", "n", reverse=True)]))

@@ -19,7 +19,7 @@ def p_adjust_bh(df: DataFrame, p: str = "p_value", out: str = "p_adj",
     do not count.
     """
     by = list(by)
-    tests, buckets = settle(df, buckets)
+    tests, buckets = settle(df, by, buckets)
     counts = tests.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n"))
     cut = cut_ranges(counts, by, p, buckets, used=["_n"])
     ranked = running(cut, p, [Run("_upto", "_n", total="_tests")])

@@ -41,7 +41,3 @@ def chisq_by(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
         .withColumn("statistic", F.when(total > 0, statistic))
         .select(*by, "n_rows", "statistic", "dof",
                 chi_square_tail("statistic", "dof").alias("p_value")))
-
-
-def two_way_counts(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.groupBy(a, b).count()

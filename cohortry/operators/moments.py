@@ -24,7 +24,7 @@ def quantiles_by(df: DataFrame, by: list[str], value: str, probs: dict[str, floa
     ``probs`` maps output names to probabilities. The built-in exact percentile
     keeps a group's values in one task; this ranks distinct values instead.
     """
-    counts, buckets = settle(_value_counts(df, by, value), buckets)
+    counts, buckets = settle(_value_counts(df, by, value), by, buckets)
     return _quantiles(counts, by, probs, buckets)
 
 
@@ -59,7 +59,7 @@ def median_split(df: DataFrame, x: str, out: str = "above_median",
 def box_stats_by(df: DataFrame, by: list[str], value: str,
                  buckets: int | None = None) -> DataFrame:
     """Quartiles, 1.5-IQR whiskers and the number of outliers per group."""
-    counts, buckets = settle(_value_counts(df, by, value), buckets)
+    counts, buckets = settle(_value_counts(df, by, value), by, buckets)
     boxes = _quantiles(counts, by, {"q1": 0.25, "median": 0.5, "q3": 0.75}, buckets)
     if by:
         both = natural_join(counts, boxes, "inner", by)

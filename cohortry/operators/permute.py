@@ -20,7 +20,7 @@ def _parallelism(df: DataFrame) -> int:
                spark.sparkContext.defaultParallelism)
 
 
-def _numbered(df: DataFrame, seed: int) -> DataFrame:
+def _numbered(df: DataFrame, seed: int, reps: int) -> DataFrame:
     """Number the rows of each ``rep`` from 0 in hash order.
 
     A hash is spread evenly, so its leading digits cut each rep into ranges of
@@ -36,9 +36,10 @@ def _numbered(df: DataFrame, seed: int) -> DataFrame:
     before = Window.partitionBy("rep").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.select("rep", "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("rep", "_slot").orderBy("_hash")
-    # At most 256 slots per rep, so the slot table is always small.
+    if reps * wide <= SMALL:  # the slot table has at most this many rows
+        slots = F.broadcast(slots)
     return (cut.withColumn("_row", F.row_number().over(inside))
-            .join(F.broadcast(slots), ["rep", "_slot"])
+            .join(slots, ["rep", "_slot"])
             .withColumn("_place", F.col("_before") + F.col("_row") - 1)
             .drop("_hash", "_slot", "_row", "_before"))
 
@@ -52,13 +53,13 @@ def permute_label(df: DataFrame, row_id: str, label: str, reps: int, seed: int =
     """
     carry = list(carry)
     base = df.select(F.col(row_id).cast("string").alias("_id"), F.lit(0).alias("rep"), label)
-    labels = staged(_numbered(base, seed).select("_place", label))
+    labels = staged(_numbered(base, seed, 1).select("_place", label))
     if labels.count() <= SMALL:
         labels = F.broadcast(labels)
     # Spread the rows before they multiply; a fixed number is not coalesced again.
     rows = df.select(F.col(row_id).cast("string").alias("_id"), *carry).repartition(
         _parallelism(df), "_id").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    return _numbered(rows, seed).join(labels, "_place").select("rep", *carry, label)
+    return _numbered(rows, seed, reps).join(labels, "_place").select("rep", *carry, label)
 
 
 def permutation_null(df: DataFrame, row_id: str, label: str, key: list[str], unit: str,

@@ -26,7 +26,7 @@ def _cube_excess(n: str = "n") -> Column:
 def midranks(counts: DataFrame, by: list[str], value: str, n: str = "n",
              buckets: int | None = None, used: list[str] = ()) -> DataFrame:
     """Add ``midrank`` and the panel size ``n_panel`` to distinct values with counts."""
-    counts, buckets = settle(counts, buckets)
+    counts, buckets = settle(counts, by, buckets)
     cut = cut_ranges(counts, by, value, buckets, used=[n, *used])
     ranked = running(cut, value, [Run("upto", n, total="n_panel")])
     return clean(ranked.withColumn("midrank", _midrank(n)).drop("upto"))
@@ -83,7 +83,7 @@ def kruskal_by(df: DataFrame, by: list[str], group: str, value: str,
     rows = df.filter(column(group).isNotNull()).select(
         *by, column(group).alias("_g"), F.col(value).alias("_v"))
     cells, buckets = settle(
-        _known(rows, "_v").groupBy(*by, "_v", "_g").agg(F.count(F.lit(1)).alias("n")), buckets)
+        _known(rows, "_v").groupBy(*by, "_v", "_g").agg(F.count(F.lit(1)).alias("n")), by, buckets)
     values = cells.groupBy(*by, "_v").agg(F.sum("n").alias("n"))
     ranked = (
         midranks(values, by, "_v", buckets=buckets)
@@ -114,7 +114,7 @@ def spearman_by(df: DataFrame, by: list[str], x: str, y: str,
     """Rank correlation per panel, with the t approximation for its p-value."""
     rows = df.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
     cells, buckets = settle(
-        _known(rows, "_x", "_y").groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("n")), buckets)
+        _known(rows, "_x", "_y").groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("n")), by, buckets)
     cells = cells.withColumn(KEY, panel(by))
 
     def ranks(v: str, out: str) -> DataFrame:

@@ -41,8 +41,3 @@ def transpose(df: DataFrame, row_name: str, new_row_name: str, names: list) -> D
     long = df.unpivot([row_name], columns, new_row_name, "_value")
     return wide_from_long(long, [new_row_name], row_name, "_value", names)
 
-
-def count_levels(df: DataFrame, keys: list[str], column: str, levels: dict, stat) -> DataFrame:
-    """``stat(condition)`` per level of a two- or few-level column, side by side."""
-    return df.groupBy(*keys).agg(
-        *[stat(F.col(column) == F.lit(v)).alias(name) for name, v in levels.items()])

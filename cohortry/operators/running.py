@@ -7,8 +7,8 @@ at most ``buckets`` rows per panel, are added afterwards. The cut points only
 balance the work: any cut points give the same, exact result.
 
 Callers reduce their rows to distinct values first, so ties are one row. Where
-the whole reduced frame is small, :func:`settle` chooses one range per panel and
-the plan is a plain window.
+no reduced panel is large, :func:`settle` chooses one range per panel and the
+plan is a plain window.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ def default_buckets(df: DataFrame) -> int:
     return max(4, min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def settle(df: DataFrame, buckets: int | None = None) -> tuple[DataFrame, int]:
-    """Stage a reduced frame and choose the number of ranges by its size.
+def settle(df: DataFrame, by: list[str], buckets: int | None = None) -> tuple[DataFrame, int]:
+    """Stage a reduced frame and choose the number of ranges by its largest panel.
 
     The source is then read once, however often the ranks refer to the frame. A
     given number of ``buckets`` is kept and nothing is staged.
@@ -48,7 +48,10 @@ def settle(df: DataFrame, buckets: int | None = None) -> tuple[DataFrame, int]:
     if buckets is not None:
         return df, buckets
     df = staged(df)
-    return df, (1 if df.count() <= SMALL else default_buckets(df))
+    largest = df.count()
+    if largest > SMALL and by:
+        largest = df.groupBy(*by).count().agg(F.max("count")).first()[0]
+    return df, (1 if largest <= SMALL else default_buckets(df))
 
 
 def panel(by: list[str]) -> Column:

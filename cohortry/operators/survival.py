@@ -28,7 +28,7 @@ def kaplan_meier(df: DataFrame, time: str, event: str, strata: list[str] = (),
     strata = list(strata)
     counts = _timed(df, time, event).groupBy(*strata, "_time").agg(
         F.sum("_died").alias("n_event"), F.count(F.lit(1)).alias("_n"))
-    counts, buckets = settle(counts, buckets)
+    counts, buckets = settle(counts, strata, buckets)
     cut = cut_ranges(counts, strata, "_time", buckets, used=["_n", "n_event"])
     risk = running(cut, "_time", [Run("n_risk", "_n", reverse=True)])
     d, n = F.col("n_event"), F.col("n_risk")
@@ -67,7 +67,7 @@ def log_rank(df: DataFrame, time: str, event: str, group: str, by: list[str] = (
     counts = rows.groupBy(*by, "_time").agg(
         *[F.count_if(is_level[i]).alias(f"_n{i}") for i in index],
         *[F.count_if(is_level[i] & (F.col("_died") == 1)).alias(f"_d{i}") for i in index])
-    counts, buckets = settle(counts, buckets)
+    counts, buckets = settle(counts, by, buckets)
     cut = cut_ranges(counts, by, "_time", buckets,
                      used=[f"_{k}{i}" for k in "nd" for i in index])
     risk = running(cut, "_time", [Run(f"_y{i}", f"_n{i}", reverse=True) for i in index])
@@ -114,7 +114,7 @@ def cox_ph(df: DataFrame, time: str, event: str, covariates: list[str],
         F.col("_x").isNotNull() & ~F.isnan("_x"))
     cells = long.groupBy("covariate", "_time", "_x").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_died").alias("_d"))
-    cells, buckets = settle(cells, buckets)
+    cells, buckets = settle(cells, ["covariate"], buckets)
     cells = cut_ranges(cells, ["covariate"], "_time", buckets, used=["_n", "_d"])
     if buckets > 1:
         cells = staged(cells)
