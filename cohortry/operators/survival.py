@@ -14,6 +14,7 @@ from cohortry.session import staged
 
 MAX_LEVELS = 50
 DEATHS_PER_BLOCK = 4096
+SPREAD_DEATHS = 1_000_000
 
 
 def _timed(df: DataFrame, time: str, event: str) -> DataFrame:
@@ -124,6 +125,7 @@ def cox_ph(df: DataFrame, time: str, event: str, covariates: list[str],
         (F.sum(F.col("_n") * F.col("_x")) / F.sum("_n")).alias("centre"),
         (F.max("_x") - F.min("_x")).alias("width")).collect()}
     names = [c for c in covariates if c in shape]
+    many_deaths = any(shape[c]["n_event"] > SPREAD_DEATHS for c in names)
     # Work in units of the covariate's range, so that steps are well scaled.
     unit = {c: shape[c]["width"] or 1.0 for c in names}
     scaled = (F.col("_x") - _per_covariate({c: shape[c]["centre"] for c in names})
@@ -140,11 +142,12 @@ def cox_ph(df: DataFrame, time: str, event: str, covariates: list[str],
                 F.sum("_d").alias("_deaths"), F.sum(F.col("_d") * x).alias("_dx")))
         risk = clean(running(times, "_time", [
             Run(f"_s{k}", f"_r{k}", reverse=True) for k in range(3)])).filter("_deaths > 0")
-        # Efron's terms, one per death, made in bounded blocks so that a time
-        # shared by very many deaths is spread over tasks.
+        # Efron's terms, one per death, made in bounded blocks; with many deaths
+        # the blocks spread over tasks, so that one time may hold most of them.
         last_block = F.ceil(F.col("_deaths") / DEATHS_PER_BLOCK) - 1
         blocks = risk.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
-        blocks = blocks.repartition("covariate", "_time", "_block")
+        if many_deaths:
+            blocks = blocks.repartition("covariate", "_time", "_block")
         start = F.col("_block") * DEATHS_PER_BLOCK
         stop = F.least(F.col("_deaths"), start + DEATHS_PER_BLOCK) - 1
         terms = blocks.withColumn("_rank", F.explode(F.sequence(start, stop)))

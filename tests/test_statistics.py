@@ -276,9 +276,12 @@ def test_last_subject_dies(spark):
     assert got[-1].std_err is None
 
 
-def test_cox(spark, monkeypatch):
+@pytest.mark.parametrize("spread", [False, True])
+def test_cox(spark, monkeypatch, spread):
     from cohortry.operators import survival
-    monkeypatch.setattr(survival, "DEATHS_PER_BLOCK", 3)
+    if spread:
+        monkeypatch.setattr(survival, "DEATHS_PER_BLOCK", 3)
+        monkeypatch.setattr(survival, "SPREAD_DEATHS", 0)
     time, died, x, _ = survival_rows()
     other = (x * 100 + 5000).round(0)
     df = spark.createDataFrame(
