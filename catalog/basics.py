@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from catalog.registry import query
 from catalog.sqlkit import r6
 from cohortry.functions import nullrules as nr
 from cohortry.operators import grouped, joins, moments, reshape
-from cohortry.session import shared_folder
+from cohortry.session import new_folder
 from cohortry.sources import tables
 
 BASE = with_ctes(OBS)
@@ -22,7 +21,7 @@ BASE = with_ctes(OBS)
 
 def scratch(spark, name: str) -> str:
     """A new folder on the session's shared checkpoint storage."""
-    return f"{shared_folder(spark)}/cohortry-{name}-{uuid.uuid4().hex}"
+    return f"{new_folder(spark, name)}/rows"
 
 
 # --- sources and sinks ---------------------------------------------------------------
