@@ -8,7 +8,7 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 #: Module of each query; a module registers its query under ``opN_<name>``.
-MODULES = ["bpe", "packing", "token_files", "exact_dedup", "sharding"]
+MODULES = ["bpe", "packing", "token_files", "exact_dedup", "sharding", "license_scan"]
 
 
 def query(name: str, sql: str | None = None):
