@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Rows that an operator holds in Python at once.
+ROWS = 1024
+
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The texts of a batch; null is the empty text."""
@@ -21,6 +24,13 @@ def passed_through(docs: DataFrame, result: list[T.StructField]) -> list[str]:
     return [c for c in docs.columns if c not in own]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most ``ROWS`` at a time, so that Python holds little at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def add_columns(docs: DataFrame, fields: list[T.StructField],
                 start: Callable[[], Callable[[pa.RecordBatch], list]], inputs: list[str]) -> DataFrame:
     """``docs`` with new columns made batch by batch in Python.
@@ -34,7 +44,7 @@ def add_columns(docs: DataFrame, fields: list[T.StructField],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute, arrow = start(), to_arrow_schema(schema)
-        for batch in batches:
+        for batch in slices(batches):
             made = [pa.array(v, arrow.field(f.name).type) if not isinstance(v, pa.Array) else v
                     for f, v in zip(fields, compute(batch), strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], names=schema.names)

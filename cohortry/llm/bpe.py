@@ -36,7 +36,7 @@ PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\
 #: Stretches that can be encoded apart: every pre-token lies within one of them.
 STRETCH = rf"[{WHITE}]+(?![^{WHITE}])| ?[^{WHITE}]+|[{WHITE}]"
 #: Remembered pieces per generation (two are kept), and the longest that is remembered.
-REMEMBERED, LONGEST = 1 << 19, 48
+REMEMBERED, LONGEST = 1 << 18, 48
 #: Bits of an id and of a place in a pre-token, where several share one number.
 ID_BITS, PLACE_BITS = 20, 40
 NONE, PLACE = (1 << ID_BITS) - 1, (1 << PLACE_BITS) - 1
