@@ -8,7 +8,8 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 #: Module of each query; a module registers its query under ``opN_<name>``.
-MODULES = ["bpe", "packing", "token_files", "exact_dedup", "sharding", "license_scan", "language_id"]
+MODULES = ["bpe", "packing", "token_files", "exact_dedup", "sharding", "license_scan", "language_id", "line_labels",
+           "quality_rules"]
 
 
 def query(name: str, sql: str | None = None):
