@@ -43,7 +43,7 @@ BLOCK, COLUMNS = 256, 4096
 #: Word hashes that a worker remembers, and shingles that are hashed at once.
 REMEMBERED, AT_ONCE = 1 << 18, 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-RESULT = ["class_id", "n_links", "n_copies"]
+RESULT = ["class_id", "n_links", "n_copies", "class_key"]
 
 
 def _odd_numbers() -> tuple[np.ndarray, np.ndarray]:
@@ -203,14 +203,14 @@ def _links(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``class_id``, ``n_links`` and ``n_copies``.
+    """``docs`` without its text, with ``class_id``, ``n_links``, ``n_copies`` and ``class_key``.
 
     ``class_id`` is the smallest id among the texts that are connected by links, ``n_links``
     the number of different shingle sets that are similar to the row's, and ``n_copies`` the
     rows with the same set. Words are what white space parts, in lower case; a text of
     fewer than five is one shingle. Null and empty texts have no set and are alone, with
     their own id as class. Rows with a null id take part; a class of null ids alone has a null
-    ``class_id``. Repeated rows are copies. An empty table stays empty. Columns of ``docs`` with
+    ``class_id``. ``class_key`` tells classes apart even so; it is null without words. Repeated rows are copies. An empty table stays empty. Columns of ``docs`` with
     a name of the result are replaced.
     """
     own = [c for c in docs.columns if c not in [*RESULT, text]]
@@ -248,10 +248,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str =
     told = classes.join(joined.withColumnRenamed("node", "_set"), "_set", "left").join(links, "_set", "left")
     told = told.withColumn("_label", F.coalesce("label", "_set"))
     named = told.groupBy("_label").agg(F.min("_first").alias("class_id"))
-    told = staged(told.join(named, "_label").select("_set", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "classes")
+    told = staged(told.join(named, "_label").select("_set", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies",
+                                                    F.col("_label").alias("class_key")), "classes")
 
     alone = thin.filter(F.col("_set").isNull()).select(
-        *own, F.col(doc_id).alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+        *own, F.col(doc_id).alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"),
+        F.lit(None).cast("long").alias("class_key"))
     return with_set.drop("_bands").join(told, "_set").select(*own, *RESULT).unionByName(alone)
 
 
