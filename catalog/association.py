@@ -98,10 +98,10 @@ def _(spark, d):
 
 @query("d26_significant_rows", with_ctes(OBS, NONSYN_ROWS, class_cells_sql("rows_")) +
        f"""SELECT event, locus, allele, immune, count(*) AS n FROM rows_ JOIN (SELECT event, locus FROM (
-{bh(CLASS_TEST)}) WHERE p_value < 0.05) USING (event, locus) GROUP BY ALL""")
+{bh(CLASS_TEST)}) WHERE p_adj < 0.05) USING (event, locus) GROUP BY ALL""")
 def _(spark, d):
     rows = nonsyn(spark, d)
-    hits = significant_rows(rows, association.class_association(rows).select("event", "locus", "p_value"), "p_value")
+    hits = significant_rows(rows, association.class_association(rows).select("event", "locus", "p_adj"))
     return hits.groupBy("event", "locus", "allele", "immune").agg(F.count("*").alias("n"))
 
 
@@ -277,7 +277,7 @@ def heat_sql(unit, where, value):
 @query("d21_share_matrix", heat_sql("tumour", "true", "n / CAST(total AS DOUBLE)"))
 def _(spark, d):
     shares = parent_share(nonsyn(spark, d).filter(ONE), ["event", "allele"], ["allele"], "tumour")
-    return reshape.wide_from_long(shares, ["event"], "allele", "share", HEAT, fill=0.0)
+    return reshape.wide_from_long(shares, ["event"], "allele", "share", HEAT, fill=0.0, drop_unlisted=True)
 
 
 @query("d21_row_annotation", BASE + f"""SELECT event, count(DISTINCT tumour) AS nb_unit, bool_or(in_normal) AS in_normal FROM obs
@@ -302,13 +302,13 @@ def class_cells(spark, d):
 
 @query("d22_hot_share_matrix", heat_sql("sample", HOT, "n / CAST(total AS DOUBLE)"))
 def _(spark, d):
-    return reshape.wide_from_long(class_cells(spark, d).filter("immune = 'hot'"), ["event"], "allele", "share", HEAT, fill=0.0)
+    return reshape.wide_from_long(class_cells(spark, d).filter("immune = 'hot'"), ["event"], "allele", "share", HEAT, fill=0.0, drop_unlisted=True)
 
 
 @query("d22_hot_count_matrix", heat_sql("sample", HOT, "n"))
 def _(spark, d):
     hot = class_cells(spark, d).filter("immune = 'hot'").withColumn("n_item", F.col("n_item").cast("double"))
-    return reshape.wide_from_long(hot, ["event"], "allele", "n_item", HEAT, fill=0.0)
+    return reshape.wide_from_long(hot, ["event"], "allele", "n_item", HEAT, fill=0.0, drop_unlisted=True)
 
 
 CLASS_LONG = f"""cells AS (SELECT event, allele, immune, n, n / CAST(total AS DOUBLE) AS share FROM (

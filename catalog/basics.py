@@ -163,8 +163,8 @@ def _(spark, d):
         F.avg("score").alias("s"))
     wide = reshape.wide_from_long(
         binned.withColumn("bin", F.concat(F.lit("bin_"), F.col("bin").cast("string"))),
-        ["bin"], "cell_type", "s", CELL_TYPES)
-    return reshape.transpose(wide, "bin", "cell_type", [f"bin_{b}" for b in range(10)])
+        ["bin"], "cell_type", "s")
+    return reshape.transpose(wide, "bin", "cell_type")
 
 
 @query("p9_long_to_wide", BASE + "SELECT event, " + ", ".join(
@@ -173,7 +173,7 @@ def _(spark, d):
 def _(spark, d):
     cells = observations(spark, d, "event", "allele", "sample").groupBy("event", "allele").agg(
         F.count_distinct("sample").alias("n"))
-    return reshape.wide_from_long(cells, ["event"], "allele", "n", ALLELES, fill=0)
+    return reshape.wide_from_long(cells, ["event"], "allele", "n", fill=0)
 
 
 @query("p10_wide_to_long", BASE + f"""SELECT sample, metric, {r6('value')} AS value FROM (

@@ -95,15 +95,9 @@ def alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.lit(":01")).alias("allele")))
 
 
-_PLANS: dict = {}
-
-
 def observations(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The lazy observation table; a plan once built serves the whole session."""
-    key = (spark.sparkContext.applicationId, sf_dir, columns)
-    if key not in _PLANS:
-        _PLANS[key] = _observations(spark, sf_dir, list(columns or ALL))
-    return _PLANS[key]
+    """The lazy observation table, with only the joins that the columns need."""
+    return _observations(spark, sf_dir, list(columns or ALL))
 
 
 def _observations(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:

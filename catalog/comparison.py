@@ -570,7 +570,7 @@ def wide_expression(spark, d):
     """One row per sample, one column per gene."""
     cells = observations(spark, d, "sample", "gene", "ba").filter("ba is not null").groupBy("sample", "gene").agg(
         F.avg("ba").alias("expression"))
-    return reshape.wide_from_long(cells, ["sample"], "gene", "expression", GENES)
+    return reshape.wide_from_long(cells, ["sample"], "gene", "expression", GENES, drop_unlisted=True)
 
 
 def long_expression(spark, d):

@@ -181,12 +181,13 @@ def _(spark, d):
 
 @query("d9_assemble", BASE + f"""SELECT event, sample, patient, locus, slot, allele, {r6('purity')} AS purity FROM (
 SELECT DISTINCT event, sample, patient FROM obs) JOIN (SELECT DISTINCT c_custkey AS patient, 'A' AS locus, 'allele_1' AS slot,
-CASE WHEN c_nationkey = 7 THEN 'Not typed' ELSE 'HLA-A*' || c_nationkey END AS allele FROM customer) USING (patient)
+CASE WHEN c_nationkey = 7 THEN 'Not typed' ELSE 'HLA-A*' || c_nationkey END AS allele FROM customer UNION ALL
+SELECT DISTINCT c_custkey, 'A', 'allele_2', CASE WHEN c_custkey % 3 = 0 THEN '-' ELSE 'HLA-A*' || ((c_nationkey * 7 + c_custkey) % 40) END
+FROM customer) USING (patient)
 LEFT JOIN (SELECT sample, purity FROM samples) USING (sample)""")
 def _(spark, d):
     events = observations(spark, d, "event", "sample", "patient")
-    typed = hla(spark, d).filter("slot = 'allele_1'")
-    return ingest.assemble(events, typed, samples(spark, d).select("sample", "purity"))
+    return ingest.assemble(events, hla(spark, d), samples(spark, d).select("sample", "purity"))
 
 
 @query("d10_sample_labels", BASE + "SELECT DISTINCT sample, sample_type, status, combine FROM obs")

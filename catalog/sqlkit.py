@@ -54,11 +54,18 @@ def t_tail(t: str, dof: str) -> str:
             f"WHEN {y} < 0.8 THEN 1 - {_beta_series(half, b, y)} ELSE {_beta_series(b, half, rest)} END")
 
 
+def digits12(v: str) -> str:
+    """12 significant digits, as the rank operators compare values."""
+    power = f"pow(10.0::DOUBLE, floor(log10(abs({v}))))"
+    return (f"CASE WHEN abs({v}) > 1e-290 AND abs({v}) < 1e290 THEN round(CAST({v} AS DOUBLE) / {power}, 11) * {power} "
+            f"ELSE CAST({v} AS DOUBLE) END")
+
+
 def _ranked(src: str, by, v: str, also: str, where: str) -> str:
     return (f"SELECT {keys(by)}{also}, rank() OVER ({part(by)}ORDER BY v) "
             f"+ (count(*) OVER ({part(by, 'v')}) - 1) / 2.0::DOUBLE AS mid, "
             f"CAST(count(*) OVER ({part(by, 'v')}) AS DOUBLE) AS t "
-            f"FROM (SELECT *, round({v}, 11) AS v FROM {src}) WHERE v IS NOT NULL AND {where}")
+            f"FROM (SELECT *, {digits12(v)} AS v FROM {src}) WHERE v IS NOT NULL AND {where}")
 
 
 def rank_sum(src: str, by, g: str, v: str, levels) -> str:
@@ -88,8 +95,8 @@ def kruskal(src: str, by, g: str, v: str) -> str:
 def spearman_raw(src: str, by, x: str, y: str) -> str:
     def mid(v):
         return (f"rank() OVER ({part(by)}ORDER BY {v}) + (count(*) OVER ({part(by, v)}) - 1) / 2.0::DOUBLE")
-    rows = (f"SELECT {keys(by)}{mid('x')} AS rx, {mid('y')} AS ry FROM (SELECT {keys(by)}round({x}, 11) AS x, "
-            f"round({y}, 11) AS y FROM {src}) WHERE x IS NOT NULL AND y IS NOT NULL")
+    rows = (f"SELECT {keys(by)}{mid('x')} AS rx, {mid('y')} AS ry FROM (SELECT {keys(by)}{digits12(x)} AS x, "
+            f"{digits12(y)} AS y FROM {src}) WHERE x IS NOT NULL AND y IS NOT NULL")
     sums = (f"SELECT {keys(by)}count(*) AS n, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) "
             f"THEN corr(rx, ry) END AS rho FROM ({rows}) {group(by)}")
     t = (f"SELECT *, CASE WHEN n > 2 AND abs(rho) < 1 THEN rho * sqrt(n - 2) / sqrt(1 - rho * rho) END AS t "
@@ -104,9 +111,11 @@ def spearman(src: str, by, x: str, y: str) -> str:
 
 def signed_rank(src: str, by, pair: str, g: str, v: str, levels) -> str:
     a, b = levels
-    pairs = (f"SELECT {keys(by)}{pair}, round(avg(CASE WHEN {g} = {a} THEN {v} END) "
-             f"- avg(CASE WHEN {g} = {b} THEN {v} END), 11) AS d FROM (SELECT * REPLACE (round({v}, 11) AS {v}) "
-             f"FROM {src}) WHERE {g} IN ({a}, {b}) AND {v} IS NOT NULL GROUP BY {keys(by)}{pair}")
+    means = (f"SELECT {keys(by)}{pair}, {digits12('a')} - {digits12('b')} AS d FROM (SELECT {keys(by)}{pair}, "
+             f"avg(CASE WHEN {g} = {a} THEN {v} END) AS a, avg(CASE WHEN {g} = {b} THEN {v} END) AS b "
+             f"FROM (SELECT * REPLACE ({digits12(v)} AS {v}) FROM {src}) WHERE {g} IN ({a}, {b}) AND {v} IS NOT NULL "
+             f"GROUP BY {keys(by)}{pair})")
+    pairs = f"SELECT * REPLACE ({digits12('d')} AS d) FROM ({means})"
     size = "CASE WHEN d <> 0 THEN abs(d) END"
     ranked = (f"SELECT *, rank() OVER ({part(by)}ORDER BY {size} NULLS LAST) "
               f"+ (count(*) OVER ({part(by, size)}) - 1) / 2.0::DOUBLE AS mid, "

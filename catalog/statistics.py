@@ -60,11 +60,11 @@ def _(spark, d):
 
 @query("t3_significant_rows", with_ctes(OBS, cells_sql()) +
        f"""SELECT event, locus, count(*) AS n, {r6('max(p_adj)')} AS p_adj FROM obs JOIN
-(SELECT event, locus, p_adj FROM ({bh(chisq_raw("cells", ["event", "locus"], "hit", "miss"))}) WHERE p_adj < 0.9)
+(SELECT event, locus, p_adj FROM ({bh(chisq_raw("cells", ["event", "locus"], "hit", "miss"))}) WHERE p_adj < 0.05)
 USING (event, locus) GROUP BY ALL""")
 def _(spark, d):
     tests = adjust.p_adjust_bh(contingency.chisq_by(cells(spark, d), ["event", "locus"], "hit", "miss"))
-    hits = adjust.significant_rows(observations(spark, d, "event", "locus"), tests, alpha=0.9)
+    hits = adjust.significant_rows(observations(spark, d, "event", "locus"), tests)
     return hits.groupBy("event", "locus").agg(F.count("*").alias("n"), F.max("p_adj").alias("p_adj"))
 
 

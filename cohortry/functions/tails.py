@@ -21,17 +21,44 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _STEPS = 100_000
 _EPS = 1e-16
 _TINY = 1e-300
+#: From here on a gamma shape or a number of degrees of freedom takes its asymptotic form.
+_FAR = 50_000.0
 
 
 def _lgamma(v: np.ndarray) -> np.ndarray:
     return np.fromiter((math.lgamma(x) for x in v), float, len(v))
 
 
+def _erfc(v: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(math.erfc, v), float, len(v))
+
+
+def _upper_gamma_far(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Temme's uniform expansion of Q(a, x), for a from ``_FAR`` on."""
+    m = (x - a) / a
+    far = np.abs(m) > 1e-4
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # m - log(1 + m), by its series where the difference would lose digits.
+        gap = np.where(far, m - np.log1p(m), m * m * (1 / 2 - m * (1 / 3 - m * (1 / 4 - m * (1 / 5 - m / 6)))))
+        eta = np.sign(m) * np.sqrt(2 * gap)
+        first = np.where(far, 1 / m - 1 / eta, -1 / 3 + eta * (1 / 12 - eta * (2 / 135 - eta / 864)))
+        second = np.where(far, 1 / eta ** 3 - 1 / m ** 3 - 1 / m ** 2 - 1 / (12 * m), -1 / 540 - eta / 288)
+        # Both cancel for small m; there the leading terms do.
+        second = np.where(np.abs(m) < 0.02, -1 / 540 - eta / 288, second)
+    return 0.5 * _erfc(eta * np.sqrt(a / 2)) + np.exp(-a * gap) / np.sqrt(2 * np.pi * a) * (first + second / a)
+
+
 def upper_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised upper incomplete gamma Q(a, x) for a > 0, x >= 0."""
+    """Regularised upper incomplete gamma Q(a, x) for a > 0, x >= 0.
+
+    NaN where a series or fraction does not settle.
+    """
     out = np.ones_like(x)
     scale = np.zeros_like(x)
-    live = x > 0
+    distant = (a >= _FAR) & (x > 0)
+    if distant.any():
+        out[distant] = _upper_gamma_far(a[distant], x[distant])
+    live = (x > 0) & ~distant
     scale[live] = np.exp(a[live] * np.log(x[live]) - x[live] - _lgamma(a[live]))
     series = live & (x < a + 1)
     if series.any():
@@ -44,6 +71,8 @@ def upper_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
             total += term
             if np.all(term < total * _EPS):
                 break
+        else:
+            total[:] = np.nan
         out[series] = 1 - total * scale[series]
     fraction = live & ~series
     if fraction.any():
@@ -63,6 +92,8 @@ def upper_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
             h = h * step
             if np.all(np.abs(step - 1) < 1e-15):
                 break
+        else:
+            h[:] = np.nan
         out[fraction] = h * scale[fraction]
     return np.clip(out, 0.0, 1.0)
 
@@ -83,8 +114,8 @@ def _beta_fraction(a, b, x):
             step = d * c
             h = h * step
         if np.all(np.abs(step - 1) < 1e-15):
-            break
-    return h
+            return h
+    return np.full_like(h, np.nan)
 
 
 def beta_share(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -105,12 +136,31 @@ def beta_share(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(out, 0.0, 1.0)
 
 
+def student_tails(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
+    """P(|T| >= |t|) of Student's distribution; Hill's normal form for many degrees of freedom."""
+    out = np.empty_like(t)
+    far = dof >= _FAR
+    near = ~far
+    if near.any():
+        v, d = t[near], dof[near]
+        out[near] = beta_share(d / 2, np.full_like(v, 0.5), d / (d + v * v))
+    if far.any():
+        v, d = t[far], dof[far]
+        a = d - 0.5
+        b = 48 * a * a
+        z2 = a * np.log1p(v * v / d)
+        z = np.sqrt(z2) * (1 + ((((-0.4 * z2 - 3.3) * z2 - 24) * z2 - 85.5) / (0.8 * z2 * z2 + 100 + b) + z2 + 3) / b)
+        out[far] = _erfc(z / math.sqrt(2))
+    return out
+
+
 def _where_known(compute, *series: pd.Series) -> pd.Series:
     arrays = [s.to_numpy(dtype=float, na_value=np.nan) for s in series]
     known = np.all([np.isfinite(v) for v in arrays], axis=0)
     out = np.full(len(known), None, dtype=object)
     if known.any():
-        out[known] = compute(*[v[known] for v in arrays])
+        found = compute(*[v[known] for v in arrays])
+        out[known] = [v if math.isfinite(v) else None for v in found.tolist()]
     return pd.Series(out, dtype=object)
 
 
@@ -124,13 +174,12 @@ def chi_square_tail(statistic: pd.Series, dof: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return _where_known(
-        lambda v: np.array([math.erfc(abs(x) / math.sqrt(2)) for x in v]), z)
+        lambda v: _erfc(np.abs(v) / math.sqrt(2)), z)
 
 
 @F.pandas_udf(T.DoubleType())
 def student_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return _where_known(
-        lambda v, d: beta_share(d / 2, np.full_like(v, 0.5), d / (d + v * v)), t, dof)
+    return _where_known(student_tails, t, dof)
 
 
 @F.pandas_udf(T.StructType([T.StructField("statistic", T.DoubleType()), T.StructField("dof", T.LongType())]))

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from cohortry.functions.nullrules import n_distinct
 from cohortry.operators.contingency import chisq_by
 from cohortry.operators.joins import natural_join
-from cohortry.operators.running import SMALL, default_buckets
 from cohortry.session import staged
 
-_HEX = 4  # leading hash digits that cut the order into ranges
+_HEX = 8  # leading hash digits that cut the order into ranges
+#: Rows that are numbered in one window, about.
+ROWS_PER_SLOT = 20_000
 
 
 def _parallelism(df: DataFrame) -> int:
@@ -20,24 +21,23 @@ def _parallelism(df: DataFrame) -> int:
                spark.sparkContext.defaultParallelism)
 
 
-def _numbered(df: DataFrame, seed: int, reps: int) -> DataFrame:
+def _numbered(df: DataFrame, seed: int, rows: int) -> DataFrame:
     """Number the rows of each ``rep`` from 0 in hash order.
 
     A hash is spread evenly, so its leading digits cut each rep into ranges of
-    equal size; only the counts per range are summed over a whole rep.
+    equal size, as many as its ``rows`` ask for; only the counts per range are summed
+    over a whole rep.
     """
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("rep"), F.col("_id")))
-    wide = max(16, default_buckets(df))
-    lead = F.conv(F.substring("_hash", 1, _HEX), 16, 10).cast("int")
+    wide = max(16, -(-rows // ROWS_PER_SLOT))
+    lead = F.conv(F.substring("_hash", 1, _HEX), 16, 10).cast("long")
     cut = (df.withColumn("_hash", digest)
-           .withColumn("_slot", F.floor(lead * wide / 16 ** _HEX).cast("int"))
+           .withColumn("_slot", F.shiftright(lead * wide, 4 * _HEX).cast("int"))
            .withColumn("_hash", F.unhex("_hash")).drop("_id"))
     slots = cut.groupBy("rep", "_slot").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("rep").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.select("rep", "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("rep", "_slot").orderBy("_hash")
-    if reps * wide <= SMALL:  # the slot table has at most this many rows
-        slots = F.broadcast(slots)
     return (cut.withColumn("_row", F.row_number().over(inside))
             .join(slots, ["rep", "_slot"])
             .withColumn("_place", F.col("_before") + F.col("_row") - 1)
@@ -53,13 +53,13 @@ def permute_label(df: DataFrame, row_id: str, label: str, reps: int, seed: int =
     """
     carry = list(carry)
     base = df.select(F.col(row_id).cast("string").alias("_id"), F.lit(0).alias("rep"), label)
-    labels = staged(_numbered(base, seed, 1).select("_place", label))
-    if labels.count() <= SMALL:
-        labels = F.broadcast(labels)
+    n = df.select(row_id).count()
+    # Their files tell Spark their size, so it broadcasts them only where they are small.
+    labels = staged(_numbered(base, seed, n).select("_place", label))
     # Spread the rows before they multiply; a fixed number is not coalesced again.
     rows = df.select(F.col(row_id).cast("string").alias("_id"), *carry).repartition(
         _parallelism(df), "_id").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    return _numbered(rows, seed, reps).join(labels, "_place").select("rep", *carry, label)
+    return _numbered(rows, seed, n).join(labels, "_place").select("rep", *carry, label)
 
 
 def permutation_null(df: DataFrame, row_id: str, label: str, key: list[str], unit: str,

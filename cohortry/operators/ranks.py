@@ -33,14 +33,21 @@ def midranks(counts: DataFrame, by: list[str], value: str, n: str = "n",
 
 
 def _known(df: DataFrame, *values: str) -> DataFrame:
-    """Drop missing values. Values are compared to 11 decimals, so that averages
-    which differ only by the order of their summation tie."""
+    """Drop missing values. Values are compared to 12 significant digits, so that averages
+    which differ only by the order of their summation tie, in any unit."""
     for v in values:
-        df = df.withColumn(v, F.round(F.col(v).cast("double"), 11)).filter(
+        df = df.withColumn(v, significant_digits(F.col(v).cast("double"))).filter(
             F.col(v).isNotNull() & ~F.isnan(v))
     return df
 
 
+def significant_digits(v: Column, digits: int = 12) -> Column:
+    """A double to so many significant digits; the smallest and infinite numbers stay."""
+    size = F.abs(v)
+    power = F.pow(F.lit(10.0), F.floor(F.log10(size)).cast("double"))
+    return F.when((size > 1e-290) & (size < 1e290), F.round(v / power, digits - 1) * power).otherwise(v)
+
+
 def rank_sum_by(df: DataFrame, by: list[str], group: str, value: str, levels: tuple,
                 buckets: int | None = None) -> DataFrame:
     """Two-sample rank-sum test per panel.
@@ -155,8 +162,8 @@ def signed_rank_by(df: DataFrame, by: list[str], pair_id: str, group: str, value
         _known(rows, "_v").groupBy(*by, "_pair")
         .agg(F.avg(F.when(F.col("_g") == F.lit(first), F.col("_v"))).alias("_a"),
              F.avg(F.when(F.col("_g") == F.lit(second), F.col("_v"))).alias("_b"))
-        .withColumn("_d", F.col("_a") - F.col("_b"))
-        .withColumn("_d", F.round("_d", 11))
+        .withColumn("_d", significant_digits(F.col("_a")) - significant_digits(F.col("_b")))
+        .withColumn("_d", significant_digits(F.col("_d")))
         .withColumn("_size", F.coalesce(F.abs("_d"), F.lit(0.0)))
     )
     # Half pairs and zero differences share the size 0, which gets no rank.

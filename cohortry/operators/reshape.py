@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_COLUMNS = 2000
+#: Name of the column for a missing name.
+NO_NAME = "NA"
 
 
 def wide_from_long(df: DataFrame, rows: list[str], names_from: str, values_from: str,
-                   names: list | None = None, fill=None) -> DataFrame:
-    """One row per ``rows`` key, one column per name.
+                   names: list | None = None, fill=None, drop_unlisted: bool = False) -> DataFrame:
+    """One row per ``rows`` key, one column per name; a missing name has the column ``NA``.
 
-    Pass ``names`` where they are known. Otherwise they are looked up, and more
-    than ``MAX_COLUMNS`` of them is an error rather than an unbounded table.
+    Without ``names`` they are looked up in the data. With ``names``, a row of another name
+    is an error when the result is computed, unless ``drop_unlisted`` asks to leave it out.
     """
+    name = F.coalesce(F.col(names_from).cast("string"), F.lit(NO_NAME))
+    df = df.withColumn(names_from, name)
     if names is None:
-        found = df.select(names_from).distinct().limit(MAX_COLUMNS + 1).collect()
-        if len(found) > MAX_COLUMNS:
-            raise ValueError(f"{names_from} has more than {MAX_COLUMNS} values")
-        names = sorted(r[0] for r in found if r[0] is not None)
+        names = sorted(r[0] for r in df.select(names_from).distinct().collect())
+    else:
+        names = [NO_NAME if n is None else str(n) for n in names]
+        if not drop_unlisted:
+            unknown = F.raise_error(F.concat(F.lit(f"unlisted name in {names_from}: "), F.col(names_from)))
+            df = df.withColumn(names_from, F.when(F.col(names_from).isin(names), F.col(names_from)).otherwise(unknown))
     wide = df.groupBy(*rows).pivot(names_from, list(names)).agg(F.first(values_from))
     return wide if fill is None else wide.fillna(fill, [str(n) for n in names])
 
@@ -35,8 +40,8 @@ def column_range(df: DataFrame, first: str, last: str) -> list[str]:
     return names[names.index(first): names.index(last) + 1]
 
 
-def transpose(df: DataFrame, row_name: str, new_row_name: str, names: list) -> DataFrame:
-    """Swap rows and columns of a wide frame; ``names`` are the old row names."""
+def transpose(df: DataFrame, row_name: str, new_row_name: str, names: list | None = None) -> DataFrame:
+    """Swap rows and columns of a wide frame; ``names`` are the old row names, looked up if not given."""
     columns = [c for c in df.columns if c != row_name]
     long = df.unpivot([row_name], columns, new_row_name, "_value")
     return wide_from_long(long, [new_row_name], row_name, "_value", names)

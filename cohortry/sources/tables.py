@@ -21,12 +21,15 @@ def read_text(spark: SparkSession, path: str, schema: StructType | str, sep: str
 def read_input(spark: SparkSession, path: str, table: str, sep: str | None = None) -> DataFrame:
     """An input table under its declared schema and canonical names.
 
-    Parquet unless ``sep`` is given.
+    Parquet unless ``sep`` is given. A declared column that the input lacks is an error;
+    columns of another type are cast.
     """
     schema = schema_of(table)
     raw = read_columnar(spark, path) if sep is None else read_text(spark, path, schema, sep)
-    known = [c for c in schema.names if c in raw.columns]
-    return canonical(raw.select(*[f"`{c}`" for c in known]), table)
+    missing = [c for c in schema.names if c not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} lacks declared columns of {table}: {', '.join(missing)}")
+    return canonical(raw.select(*[raw[f"`{f.name}`"].cast(f.dataType).alias(f.name) for f in schema]), table)
 
 
 def save_checkpoint(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:

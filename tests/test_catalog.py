@@ -66,7 +66,7 @@ def test_ranges_give_the_plain_answer(spark, monkeypatch):
     for name in ("t4_spearman", "t6_kruskal", "t7_signed_rank", "t13_kaplan_meier", "t14_log_rank", "t19_box_statistics", "t12_cox"):
         df = entry_point.queries()[name](spark, DATA)
         plain[name] = text(df.collect(), df.columns)
-    monkeypatch.setattr(running, "SMALL", 0)
+    monkeypatch.setattr(running, "ROWS_PER_RANGE", 40)
     for name, want in plain.items():
         df = entry_point.queries()[name](spark, DATA)
         assert text(df.collect(), df.columns) == want, name

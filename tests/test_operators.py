@@ -175,3 +175,17 @@ def test_readers(spark, tmp_path):
         assert schemas.canonical(spark.createDataFrame([], schemas.schema_of(name)), name).columns
     flags = schemas.canonical(spark.createDataFrame([("TRUE", "NA")], "PASS_present string, PASS_homo_nt string"), "events")
     assert rows(flags) == [(True, None)]
+
+
+def test_names_that_are_missing_or_not_listed(spark):
+    df = spark.createDataFrame([("r1", "a", 1.0), ("r1", None, 2.0), ("r2", "z", 3.0)], "r string, n string, v double")
+    assert reshape.wide_from_long(df, ["r"], "n", "v").columns == ["r", "NA", "a", "z"]
+    assert reshape.wide_from_long(df, ["r"], "n", "v", ["a"], drop_unlisted=True).count() == 2
+    with pytest.raises(Exception, match="unlisted name"):
+        reshape.wide_from_long(df, ["r"], "n", "v", ["a", None]).collect()
+
+
+def test_missing_input_column(spark, tmp_path):
+    spark.createDataFrame([("P1", "A")], "patient string, hla_type string").write.parquet(f"{tmp_path}/hla")
+    with pytest.raises(ValueError, match="lacks declared columns"):
+        tables.read_input(spark, f"{tmp_path}/hla", "hla")

@@ -55,7 +55,7 @@ def test_group_statistics_and_shares(shuffled, table):
 
 
 def test_ranks_of_a_hot_panel(shuffled, table, monkeypatch):
-    monkeypatch.setattr(running, "SMALL", 0)
+    monkeypatch.setattr(running, "ROWS_PER_RANGE", 40)
     df = shuffled.createDataFrame(table).withColumn("v", F.col("v") + F.col("item") / 1000)
     values = table.v + table["item"] / 1000
     for r in rank_sum_by(df, ["k"], "g", "v", ("a", "b")).collect():
@@ -63,3 +63,24 @@ def test_ranks_of_a_hot_panel(shuffled, table, monkeypatch):
         a, b = values[mine & (table.g == "a")].to_numpy(), values[mine & (table.g == "b")].to_numpy()
         w, z, p = brute.rank_sum(a.round(11), b.round(11))
         assert (r.statistic, r.z, r.p_value) == pytest.approx((w, z, p))
+
+
+def test_a_hot_panel_is_spread_over_tasks(shuffled, monkeypatch):
+    """Nine tenths of the rows are in one panel; its ranges must not meet in one task."""
+    monkeypatch.setattr(running, "ROWS_PER_RANGE", 500)
+    before = {k: shuffled.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    shuffled.conf.set("spark.sql.shuffle.partitions", "8")
+    shuffled.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = shuffled.range(20_000).selectExpr("IF(id % 10 = 0, 'k' || id % 7, 'hot') AS k", "CAST(id AS double) AS v", "1L AS n")
+        counts, ranges = running.settle(df, ["k"])
+        assert ranges == 36
+        cut = running.cut_ranges(counts, ["k"], "v", ranges, used=["n"])
+        out = running.running(cut, "v", [running.Run("upto", "n", total="all")]).withColumn("task", F.spark_partition_id())
+        rows = out.filter("k = 'hot'").groupBy("task").agg(F.count("*").alias("rows"), F.max("all").alias("all")).collect()
+        assert len(rows) >= 7 and max(r.rows for r in rows) < 18_000 / 2 and {r["all"] for r in rows} == {18_000}
+        small = out.filter("k <> 'hot'").groupBy("k").agg(F.countDistinct(running.BUCKET).alias("ranges")).collect()
+        assert {r.ranges for r in small} == {1}
+    finally:
+        for k, v in before.items():
+            shuffled.conf.set(k, v)

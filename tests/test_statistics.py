@@ -13,12 +13,20 @@ from cohortry.operators.moments import (
     box_stats_by, median_split, ols_by, quantiles_by, slice_positions, welch_t_by)
 from cohortry.operators.permute import permutation_null, permute_label
 from cohortry.operators.ranks import kruskal_by, rank_sum_by, signed_rank_by, spearman_by
+from cohortry.operators import running as running_module
 from cohortry.operators.running import Run, clean, cut_ranges, running
 from cohortry.operators.survival import cox_ph, kaplan_meier, log_rank
 
 BUCKETS = [None, 7]
 
 
+@pytest.fixture(autouse=True)
+def small_ranges(request, monkeypatch):
+    """Panels of a few dozen rows are cut up where a test asks for ranges."""
+    if getattr(request.node, "callspec", None) and request.node.callspec.params.get("buckets"):
+        monkeypatch.setattr(running_module, "ROWS_PER_RANGE", 20)
+
+
 def panels(seed=1):
     """One panel that holds most rows, a small one and one with a missing key."""
     rng = np.random.default_rng(seed)
@@ -53,7 +61,8 @@ def test_tails_known_values():
 
 
 @pytest.mark.parametrize("buckets", [1, 7, 64])
-def test_running_matches_plain_sums(frame, buckets):
+def test_running_matches_plain_sums(frame, buckets, monkeypatch):
+    monkeypatch.setattr(running_module, "ROWS_PER_RANGE", 3)
     counts = frame.groupBy("k", "x").agg(F.count("*").alias("n"))
     cut = cut_ranges(counts, ["k"], "x", buckets, used=["n"])
     got = clean(running(cut, "x", [Run("up", "n", total="all"), Run("down", "n", reverse=True),
@@ -350,3 +359,43 @@ def test_permutation_keeps_labels_and_is_a_shuffle(spark):
     assert sorted(again) == sorted(got)
     null = permutation_null(df.withColumn("cell", F.lit(1)), "id", "lab", ["cell"], "u", reps=9)
     assert {r.lab: r.null_median for r in null.collect()} == {"A": 7.0, "B": 7.0, "C": 7.0}
+
+
+def test_tails_reach_the_normal_limit():
+    for d in (1e5, 1e6, 1e9, 1e12):
+        for t in (0.0, 0.3, 2.0, 6.0):
+            normal = math.erfc(t / math.sqrt(2))
+            # First term of the expansion around the normal tail, and nothing beyond it at this size.
+            want = normal + 2 * math.exp(-t * t / 2) / math.sqrt(2 * math.pi) * (t ** 3 + t) / (4 * d)
+            assert tails.student_tails(np.array([t]), np.array([d]))[0] == pytest.approx(want, rel=max(1e-9, 300 / d ** 2 * 1e3))
+        for z in (-1.0, 0.0, 1.0, 5.0):
+            x = d + z * math.sqrt(2 * d)
+            normal = 0.5 * math.erfc(z / math.sqrt(2))
+            want = normal + math.exp(-z * z / 2) / math.sqrt(2 * math.pi) * (z * z - 1) * math.sqrt(8 / d) / 6
+            assert tails.upper_gamma(np.array([d / 2]), np.array([x / 2]))[0] == pytest.approx(want, rel=max(1e-9, 3000 / d))
+
+
+def test_both_forms_of_the_tails_agree(monkeypatch):
+    t, d = np.array([0.1, 1.0, 3.0, 8.0]), np.full(4, 60_000.0)
+    a, x = np.full(5, 60_000.0), 60_000.0 + np.array([-900.0, -200.0, 1.0, 300.0, 2000.0])
+    far = tails.student_tails(t, d), tails.upper_gamma(a, x)
+    monkeypatch.setattr(tails, "_FAR", 1e9)
+    assert np.allclose(tails.student_tails(t, d), far[0], rtol=1e-8)
+    assert np.allclose(tails.upper_gamma(a, x), far[1], rtol=1e-8)
+
+
+def test_rank_tests_do_not_depend_on_the_unit(spark):
+    rng = np.random.default_rng(9)
+    values, groups = rng.permutation(60) + 1.0, rng.choice(["a", "b"], 60)
+    found = set()
+    for unit in (1.0, 1e-13, 1e13):
+        df = spark.createDataFrame([(float(v * unit), str(g)) for v, g in zip(values, groups)], "v double, g string")
+        found.add(rank_sum_by(df, [], "g", "v", ("a", "b")).first().statistic)
+    assert len(found) == 1
+
+
+def test_log_rank_of_many_levels(spark):
+    rows = [(f"level{i % 51:02d}", float(i % 37 + 1), i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, time double, event int")
+    got = log_rank(df, "time", "event", "g").first()
+    assert got.dof == 50 and 0 <= got.p_value <= 1
