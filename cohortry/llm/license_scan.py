@@ -65,19 +65,22 @@ def word_hashes(text):
 
 
 def windows(hashed: DataFrame, step: int) -> DataFrame:
-    """One row per window: ``_at``, its first word, and its shingle hashes ``_s0`` to ``_s3``, null past the end.
+    """One row per window: ``_at``, its first word, ``_n``, its shingles, and their hashes ``_s0`` to ``_s3``.
 
+    Past the end of the text the first shingle is repeated, which changes no minimum. So no
+    hash is null, which keeps the code that Spark generates for the keys small enough to be compiled.
     The shingles are made inside the generator, so that no filter above it hashes them anew.
     """
-    size = F.size("_words")
+    n = F.size("_words") - SHINGLE + 1
 
     def shingle(at):
-        return F.when(at + SHINGLE <= size, F.xxhash64(*[F.get("_words", at + j) for j in range(SHINGLE)]))
+        return F.xxhash64(*[F.get("_words", at + j) for j in range(SHINGLE)])
 
-    starts = F.when(size >= SHINGLE, F.sequence(F.lit(0), size - SHINGLE, F.lit(step)))
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step)))
     cut = hashed.select("*", F.explode(F.transform(starts, lambda i: F.struct(
-        i.alias("at"), *[shingle(i + k).alias(f"s{k}") for k in range(WINDOW)]))).alias("_cut"))
-    return cut.select(*[c for c in cut.columns if c not in ("_words", "_cut")], F.col("_cut.at").alias("_at"),
+        i.alias("at"), F.least(F.lit(WINDOW), n - i).alias("n"),
+        *[F.when(i + k < n, shingle(i + k)).otherwise(shingle(i)).alias(f"s{k}") for k in range(WINDOW)]))).alias("_cut"))
+    return cut.select(*[c for c in cut.columns if c not in ("_words", "_cut")], F.col("_cut.at").alias("_at"), F.col("_cut.n").alias("_n"),
                       *[F.col(f"_cut.s{k}").alias(f"_s{k}") for k in range(WINDOW)])
 
 
@@ -119,7 +122,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, share
     cut = windows(docs.select(F.monotonically_increasing_id().alias("_row"), row, word_hashes(F.col(text)).alias("_words")), STEP)
     retrieved = cut.filter(reduce(or_, [k.isin(s) for k, s in zip(keys(), band_keys, strict=True)]))
     places = retrieved.select("_row", "_own", F.explode(F.array(*[
-        F.struct((F.col("_at") + k).alias("at"), F.col(f"_s{k}").alias("s")) for k in range(WINDOW)])).alias("_p"))
+        F.struct(F.when(F.col("_n") > k, F.col("_at") + k).otherwise(F.col("_at")).alias("at"), F.col(f"_s{k}").alias("s"))
+        for k in range(WINDOW)])).alias("_p"))
     matched = places.select("_row", "_own", F.col("_p.at").alias("_at"), F.col("_p.s").alias("_shingle")).join(
         F.broadcast(shingles), "_shingle")
     # Places of one row and template: first one per shingle, then one for all.
