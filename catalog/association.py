@@ -69,6 +69,18 @@ def _(spark, d):
     return association.permutation_association(shuffle_rows(spark, d), "row_id", event="gene", reps=100)
 
 
+SEEN_ONE = f"""seen AS (SELECT allele, locus, gene, count(DISTINCT tumour) AS n FROM obs WHERE {NONSYN} AND {ONE} GROUP BY ALL)"""
+
+
+@query("d25_permutation_association_wide_null",
+       with_ctes(OBS, SHUFFLE, PERMUTED.replace("seen AS (SELECT allele, locus, gene, count(DISTINCT tumour) AS n FROM base GROUP BY ALL)", SEEN_ONE))
+       + tested(["gene", "locus"], chisq_raw("cells", ["gene", "locus"], "n", "m")))
+def _(spark, d):
+    """The null takes all effects and loci, the observed side nonsynonymous rows of class one."""
+    seen = observations(spark, d, "gene", "locus", "allele", "tumour", "effect").filter(f"{NONSYN} and {ONE}")
+    return association.permutation_association(seen, "row_id", event="gene", reps=100, null_cohort=shuffle_rows(spark, d))
+
+
 def class_cells_sql(rows, unit="sample", group="immune", event="event"):
     return (f"cells AS (SELECT {event}, locus, allele, count(DISTINCT CASE WHEN {group} = 'cold' THEN {unit} END) AS cold, "
             f"count(DISTINCT CASE WHEN {group} = 'hot' THEN {unit} END) AS hot FROM {rows} WHERE {group} IS NOT NULL GROUP BY ALL)")
@@ -224,6 +236,52 @@ def _(spark, d):
     return ranks.signed_rank_by(frequent_shares(spark, d), [], "combine", "immune", "share", ("cold", "hot"))
 
 
+def sig_ctes(rows):
+    """Pairs of significant events: units per class, and their share of the allele's units."""
+    return ["rows_ AS (SELECT * FROM obs WHERE " + NONSYN + ")", class_cells_sql("rows_"), f"""hits AS (SELECT event, locus FROM (
+{bh(CLASS_TEST)}) WHERE p_adj < 0.05),
+sig AS (SELECT rows_.* FROM rows_ JOIN hits USING (event, locus) WHERE immune IS NOT NULL AND el < 0.05),
+kept AS ({rows}),
+pairs AS (SELECT event, allele, combine, immune, n, n / CAST(total AS DOUBLE) AS share FROM (
+  SELECT event, allele, combine, immune, count(DISTINCT tumour) AS n FROM kept GROUP BY ALL)
+  JOIN (SELECT allele, count(DISTINCT tumour) AS total FROM kept GROUP BY 1) USING (allele))"""]
+
+
+SIG = sig_ctes("SELECT * FROM sig")
+SIG_FREQUENT = sig_ctes("SELECT sig.* FROM sig JOIN (SELECT event, allele FROM sig GROUP BY ALL HAVING count(DISTINCT tumour) > 3) USING (event, allele)")
+
+
+def significant_strong(spark, d):
+    return association.significant_class_rows(nonsyn(spark, d, "combine", "el")).filter("el < 0.05")
+
+
+def pair_counts(rows):
+    return parent_share(rows, ["event", "allele", "combine", "immune"], ["allele"], "tumour")
+
+
+@query("d29_significant_pair_counts_test", with_ctes(OBS, *SIG) + signed_rank("pairs", [], "combine", "immune", "n", COLD_HOT))
+def _(spark, d):
+    return ranks.signed_rank_by(pair_counts(significant_strong(spark, d)), [], "combine", "immune", "n_item", ("cold", "hot"))
+
+
+@query("d29_significant_pairs_higher_in_hot", with_ctes(OBS, *SIG) + f"""SELECT event, allele, combine, immune, {r6('share')} AS share FROM pairs
+WHERE combine IN (SELECT combine FROM pairs GROUP BY 1 HAVING max(CASE WHEN immune = 'hot' THEN share END) > max(CASE WHEN immune = 'cold' THEN share END))""")
+def _(spark, d):
+    shares = pair_counts(significant_strong(spark, d)).drop("n_item", "n_all")
+    return association.higher_in(shares, ["combine"], "hot", "cold")
+
+
+@query("d29_significant_frequent_pairs_test", with_ctes(OBS, *SIG_FREQUENT) + signed_rank("pairs", [], "combine", "immune", "share", COLD_HOT))
+def _(spark, d):
+    often = association.frequent_pairs(significant_strong(spark, d), 3)
+    return ranks.signed_rank_by(pair_counts(often), [], "combine", "immune", "share", ("cold", "hot"))
+
+
+@query("d29_significant_neoantigens_per_class", with_ctes(OBS, *SIG) + "SELECT immune, count(DISTINCT combine) AS n FROM sig GROUP BY 1")
+def _(spark, d):
+    return significant_strong(spark, d).groupBy("immune").agg(F.count_distinct("combine").alias("n"))
+
+
 @query("d29_neoantigens_per_class", BASE + f"""SELECT immune, count(DISTINCT combine) AS n FROM obs
 WHERE {NONSYN} AND immune IS NOT NULL AND el < 0.05 GROUP BY 1""")
 def _(spark, d):

@@ -436,6 +436,22 @@ def _(spark, d):
     return profiles.correlate(units, cell_scores(spark, d), D30_METRICS, "score", by=["cell_type"], adjust=True)
 
 
+# The main cohort: coverage above 60, all samples.
+MAIN_COUNTS, MAIN_MEANS = {"total": None}, {"level": ("level", None)}
+D30_MAIN_SQL = ("units AS (" + profile_sql("(SELECT * FROM obs WHERE coverage > 60)", ["patient"], "event", MAIN_COUNTS, MAIN_MEANS)
+                + "), both_ AS (SELECT * FROM units JOIN cells USING (patient)), long AS ("
+                + unpivot("both_", ["cell_type", "score"], ["total", "level"], "metric", "x") + ")")
+
+
+@query("d30_cell_type_correlation_main", with_ctes(OBS, CELLS, D30_MAIN_SQL) + tidy(
+    bh(spearman_raw("long", ["metric", "cell_type"], "x", "score"), by=["metric"]),
+    ["metric", "cell_type", "n", "method"], ["rho", "p_value", "p_adj"]))
+def _(spark, d):
+    rows = observations(spark, d, "patient", "event", "level", "coverage").filter("coverage > 60")
+    units = profiles.profile(rows, ["patient"], "event", MAIN_COUNTS, MAIN_MEANS)
+    return profiles.correlate(units, cell_scores(spark, d), ["total", "level"], "score", by=["cell_type"], adjust=True)
+
+
 D31 = dict(counts={"burden": None, "neo": "effect = 'nonsynonymous' AND el < 0.05"},
            means={"level": ("level", None), "neo_level": ("level", "effect = 'nonsynonymous' AND el < 0.05")},
            shares={"neo_share": ("neo", "burden")})

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.nullrules import divide, n_distinct, n_distinct_where
-from cohortry.operators.adjust import p_adjust_bh
+from cohortry.operators.adjust import p_adjust_bh, significant_rows
 from cohortry.operators.contingency import chisq_by
 from cohortry.operators.grouped import keep_groups, parent_share
 from cohortry.operators.joins import keep_matching, natural_join
@@ -56,6 +56,17 @@ def class_association(df: DataFrame, unit: str = "sample", group: str = "immune"
     return p_adjust_bh(chisq_by(cells, [event, "locus"], "cold", "hot"))
 
 
+def significant_class_rows(df: DataFrame, unit: str = "sample", event: str = "event", alpha: float = 0.05) -> DataFrame:
+    """The classed rows of events whose alleles differ between the classes after correction."""
+    tests = class_association(df, unit, event=event).select(event, "locus", "p_adj")
+    return significant_rows(df.filter("immune is not null"), tests, alpha=alpha)
+
+
+def frequent_pairs(df: DataFrame, more_than: int, unit: str = "tumour") -> DataFrame:
+    """Rows of the (event, allele) pairs seen in more than so many units."""
+    return keep_groups(df, ["event", "allele"], n_distinct(unit), lambda n: n > more_than)
+
+
 def class_shares(df: DataFrame, keys: list[str], unit: str = "sample") -> DataFrame:
     """Share of each class's units that carry the key."""
     return parent_share(df.filter("immune is not null"), [*keys, "immune"], ["immune"], unit)

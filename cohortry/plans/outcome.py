@@ -23,6 +23,25 @@ def burden_table(df: DataFrame, survival: DataFrame, neoantigenic: str, unit: st
     return natural_join(natural_join(events, pairs), survival)
 
 
+def present_burden(df: DataFrame, survival: DataFrame, unit: list[str], item: str, test: str, share: bool = False) -> DataFrame:
+    """Distinct items that meet ``test`` per unit as ``x``, or their share of the unit's items, with the follow-up.
+
+    Units without such an item are absent, so they do not move the median.
+    """
+    if share:
+        table = profile(df, unit, item, {"n_all": None, "n_item": test}, shares={"x": ("n_item", "n_all")})
+    else:
+        table = profile(df.filter(test), unit, item, {"x": None})
+    return natural_join(table.filter("x is not null").select(*unit, "x"), survival)
+
+
+def scored_burden(df: DataFrame, survival: DataFrame, unit: list[str], neoantigenic: str) -> DataFrame:
+    """Events, pairs and neoantigens of the units that have a neoantigen, with the follow-up."""
+    events = profile(df, unit, "event", {"total_event": None})
+    pairs = profile(df, unit, "combine", {"total_combine": None, "neo_burden": neoantigenic})
+    return natural_join(natural_join(events, pairs.filter("neo_burden is not null"), "inner", unit), survival)
+
+
 def hazards(table: DataFrame, covariates: list[str], end: str = "os") -> DataFrame:
     """One proportional-hazards fit per covariate."""
     return cox_ph(table, *ENDS[end], covariates)
