@@ -122,7 +122,7 @@ def signed_rank(src: str, by, pair: str, g: str, v: str, levels) -> str:
               f"CAST(count(*) OVER ({part(by, size)}) AS DOUBLE) AS t FROM ({pairs})")
     sums = (f"SELECT {keys(by)}CAST(count_if(d <> 0) AS DOUBLE) AS n, count_if(d = 0) AS n_zero, "
             f"count_if(d IS NULL) AS n_dropped, coalesce(sum(CASE WHEN d > 0 THEN mid END), 0) AS v, "
-            f"coalesce(sum(CASE WHEN d <> 0 THEN t * t - 1 END), 0) AS ties FROM ({ranked}) {group(by)}")
+            f"coalesce(sum(CASE WHEN d <> 0 THEN t * t - 1 END), 0) AS ties FROM ({ranked}) {group(by)} HAVING count(*) > 0")
     sd = (f"SELECT *, sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS sd, v - n * (n + 1) / 4 AS gap FROM ({sums})")
     z = f"SELECT *, CASE WHEN sd > 0 THEN (gap - sign(gap) * 0.5) / sd END AS z FROM ({sd})"
     return (f"SELECT {keys(by)}CAST(n AS BIGINT) AS n_pairs, CAST(n_zero AS BIGINT) AS n_zero, "

@@ -153,7 +153,8 @@ def signed_rank_by(df: DataFrame, by: list[str], pair_id: str, group: str, value
     """Paired signed-rank test per panel of first level minus second.
 
     Several values of one pair and level are averaged. ``n_dropped`` counts the
-    pairs that lack a partner.
+    pairs that lack a partner. Without any known value there is no result row, also
+    where ``by`` is empty.
     """
     first, second = levels
     rows = df.filter(column(group).isin(first, second)).select(
@@ -176,7 +177,7 @@ def signed_rank_by(df: DataFrame, by: list[str], pair_id: str, group: str, value
         F.sum("n").alias("n_pairs"), F.sum("n_zero").alias("n_zero"),
         F.sum("n_half").alias("n_dropped"),
         F.sum(F.col("n_up") * F.col("midrank")).cast("double").alias("statistic"),
-        F.sum(_cube_excess()).alias("_ties"))
+        F.sum(_cube_excess()).alias("_ties")).filter("n_pairs is not null")
     n = F.col("n_pairs").cast("double")
     gap = F.col("statistic") - n * (n + 1) / 4
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)

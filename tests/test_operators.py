@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions import nullrules as nr
 from cohortry.operators import grouped, joins, reshape
-from cohortry.plans import association, ingest, labels, profiles
+from cohortry.plans import association, ingest, labels, outcome, profiles
 from cohortry.sources import schemas, tables
 
 
@@ -189,3 +189,26 @@ def test_missing_input_column(spark, tmp_path):
     spark.createDataFrame([("P1", "A")], "patient string, hla_type string").write.parquet(f"{tmp_path}/hla")
     with pytest.raises(ValueError, match="lacks declared columns"):
         tables.read_input(spark, f"{tmp_path}/hla", "hla")
+
+
+def test_significant_class_rows(spark):
+    """Alleles of event 1 go with the class; those of event 2 are even."""
+    rows = [(1, "A", f"a{hot}", f"s{hot}{i}", "hot" if hot else "cold", f"t{i}") for i in range(40) for hot in (0, 1)]
+    rows += [(2, "A", f"a{i % 2}", f"s{hot}{i}", "hot" if hot else "cold", f"t{i}") for i in range(40) for hot in (0, 1)]
+    rows += [(1, "A", "a0", "s9", None, "t9")]
+    df = spark.createDataFrame(rows, "event int, locus string, allele string, sample string, immune string, tumour string")
+    got = association.significant_class_rows(df)
+    assert {r.event for r in got.select("event").distinct().collect()} == {1}
+    assert got.count() == 80
+    often = association.frequent_pairs(df.limit(0).unionByName(df.filter("tumour in ('t0', 't1', 't2')")), 3)
+    assert often.count() == 0
+    assert association.frequent_pairs(df, 3).select("event", "allele").distinct().count() == 4
+
+
+def test_present_burden_leaves_out_empty_units(spark):
+    df = spark.createDataFrame([("r1", 1, 10, True), ("r1", 1, 11, False), ("r2", 1, 10, False), ("r3", 2, 10, True), ("r4", 3, 10, True)],
+                               "sample string, patient int, event int, neo boolean")
+    follow = spark.createDataFrame([(1, 5.0), (2, 6.0)], "patient int, os_time double")
+    unit = ["sample", "patient"]
+    assert rows(outcome.present_burden(df, follow, unit, "event", "neo"), "sample", "x", "os_time") == [("r1", 1, 5.0), ("r3", 1, 6.0)]
+    assert rows(outcome.present_burden(df, follow, unit, "event", "neo", share=True), "sample", "x") == [("r1", 0.5), ("r3", 1.0)]

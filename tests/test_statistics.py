@@ -140,6 +140,12 @@ def test_spearman_degenerate(spark):
     assert got["flat"] == (None, None)
 
 
+def test_signed_rank_of_no_rows(spark):
+    none = spark.createDataFrame([], "k string, i int, g string, v double")
+    assert signed_rank_by(none, [], "i", "g", "v", ("t", "n")).count() == 0
+    assert signed_rank_by(none, ["k"], "i", "g", "v", ("t", "n")).count() == 0
+
+
 def test_signed_rank(spark):
     rng = np.random.default_rng(4)
     rows, d = [], []
