@@ -131,7 +131,7 @@ def burden_by_class(spark, d):
 def four_decimals(fit):
     """The search stops at a finite precision; compare well above it."""
     digits = {"dof": 0, "t": 2}
-    return fit.withColumns({c: F.round(F.col(c) + F.lit(0.0 if c in ("dof", "p_value") else 1e-10), digits.get(c, 4))
+    return fit.drop("converged").withColumns({c: F.round(F.col(c) + F.lit(0.0 if c in ("dof", "p_value") else 1e-10), digits.get(c, 4))
                             for c in ("estimate", "std_err", "dof", "t", "sigma", "group_sd", "p_value")})
 
 
@@ -204,18 +204,18 @@ def shuffled_sql(reps):
             f"ORDER BY md5(concat_ws('|', 123, rep, id)), id) AS place FROM base, range(1, {reps + 1}) t(rep)))")
 
 
-@query("t17_permute_label", with_ctes(OBS, SHUFFLE, shuffled_sql(3)) + """SELECT rep, gene, labels.allele, count(*) AS n
+@query("t17_permute_label", with_ctes(OBS, SHUFFLE, shuffled_sql(100)) + """SELECT rep, gene, labels.allele, count(*) AS n
 FROM shuffled JOIN labels USING (place) GROUP BY ALL""")
 def _(spark, d):
-    out = permute.permute_label(shuffle_rows(spark, d), "row_id", "allele", 3, carry=["gene"])
+    out = permute.permute_label(shuffle_rows(spark, d), "row_id", "allele", 100, carry=["gene"])
     return out.groupBy(F.col("rep").cast("long").alias("rep"), "gene", "allele").agg(F.count("*").alias("n"))
 
 
-@query("t18_permutation_null", with_ctes(OBS, SHUFFLE, shuffled_sql(20)) + f"""SELECT gene, allele, {r6('median(n)')}
+@query("t18_permutation_null", with_ctes(OBS, SHUFFLE, shuffled_sql(100)) + f"""SELECT gene, allele, {r6('median(n)')}
 AS null_median FROM (SELECT rep, gene, labels.allele, count(DISTINCT tumour) AS n FROM shuffled JOIN labels USING (place)
 GROUP BY ALL) GROUP BY ALL""")
 def _(spark, d):
-    return permute.permutation_null(shuffle_rows(spark, d), "row_id", "allele", ["gene"], "tumour", reps=20)
+    return permute.permutation_null(shuffle_rows(spark, d), "row_id", "allele", ["gene"], "tumour", reps=100)
 
 
 @query("t19_box_statistics", BASE + box("obs", ["locus", "sample_type"], "ba"))

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from cohortry.functions.tails import student_two_sided
 from cohortry.session import staged
 
+#: Newton steps at most, and the relative step at which the variance ratio counts as found.
+NEWTON_STEPS, TOLERANCE = 12, 1e-7
+
 
 def random_intercept(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
     """Fit ``y ~ x + (1 | group)``; two rows, intercept and slope.
@@ -19,7 +22,7 @@ def random_intercept(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
     the likelihood depends on a group only through its size and products of its
     sums. One Spark job over that table evaluates a grid of variance ratios; a few
     more give the derivatives for Newton steps. Each returns a few numbers per
-    ratio.
+    ratio. ``converged`` is false where the search ended before the ratio settled.
     """
     spark = df.sparkSession
     rows = staged(df.select(
@@ -42,7 +45,7 @@ def random_intercept(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
     centre = mean.first()
     n_rows, n_groups = sizes.agg(F.sum(F.col("n") * F.col("m")), F.sum("m")).first()
     schema = ("term string, estimate double, std_err double, dof double, t double, "
-              "sigma double, group_sd double, n long, n_groups long, singular boolean")
+              "sigma double, group_sd double, n long, n_groups long, singular boolean, converged boolean")
 
     def result(records):
         out = spark.createDataFrame(records, schema)
@@ -104,13 +107,19 @@ def random_intercept(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
             break
         at = math.log(best["theta"])
         low, high = at - width, at + width
-    for _ in range(6):
-        if best["theta"] == 0.0 or best["curve"] <= 0:
+    # A ratio of 0 is the boundary, where there is no step to take.
+    converged = best["theta"] == 0.0
+    for _ in range(NEWTON_STEPS):
+        if converged or best["curve"] <= 0:
             break
         step = best["slope"] / best["curve"]
-        if abs(step) <= 1e-10 * best["theta"] or step >= best["theta"]:
+        if abs(step) <= TOLERANCE * best["theta"]:
+            converged = True
+            break
+        nearer = solve(sums([best["theta"] - step])[0]) if step < best["theta"] else None
+        if nearer is None:
             break
-        best = solve(sums([best["theta"] - step])[0]) or best
+        best = nearer
     theta = best["theta"]
     sigma2 = float(best["rest"]) / free
     singular = theta < 1e-6
@@ -134,5 +143,5 @@ def random_intercept(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
         error = float(math.sqrt(sigma2 * v))
         records.append((name, value, error, dof, value / error if error else None,
                         math.sqrt(sigma2), math.sqrt(sigma2 * theta), int(n_rows),
-                        int(n_groups), singular))
+                        int(n_groups), singular, converged))
     return result(records)

@@ -323,6 +323,7 @@ def test_random_intercept_against_dense_likelihood(spark):
     got = {r.term: r for r in random_intercept(df, "y", "x", "g").collect()}
     best = brute.maximum(lambda v: brute.reml(v, y, x, g)[0], -5, 5)
     _, b, se, sigma2 = brute.reml(best, y, x, g)
+    assert all(r.converged for r in got.values())
     assert got["intercept"].estimate == pytest.approx(b[0], abs=1e-5)
     assert got["x"].estimate == pytest.approx(b[1], abs=1e-5)
     assert (got["intercept"].std_err, got["x"].std_err) == pytest.approx(tuple(se), abs=1e-5)
@@ -350,7 +351,7 @@ def test_random_intercept_without_group_variance(spark):
     df = spark.createDataFrame([(float(i % 5), float(i % 2), i // 10) for i in range(100)],
                                "y double, x double, g long")
     r = random_intercept(df, "y", "x", "g").first()
-    assert r.singular and r.group_sd == 0.0
+    assert r.singular and r.converged and r.group_sd == 0.0
 
 
 def test_permutation_keeps_labels_and_is_a_shuffle(spark):
