@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -39,14 +40,23 @@ def add_columns(docs: DataFrame, fields: list[T.StructField],
     per field. A column of ``docs`` that has the name of a new field is replaced.
     """
     kept = passed_through(docs, fields)
-    read = [*kept, *[c for c in inputs if c not in kept]]
-    schema = T.StructType([*[docs.schema[c] for c in kept], *fields])
+    others = [c for c in kept if c not in inputs]
+    # Numbered names and one struct on the way to Python and back, as column names there may clash or hold dots.
+    given = [F.col(f"`{c}`").alias(f"_in{k}") for k, c in enumerate(inputs)]
+    packed = docs.select(F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("_others"), *given)
+    back = [T.StructField(f"_in{k}", docs.schema[c].dataType) for k, c in enumerate(inputs) if c in kept]
+    made_fields = [T.StructField(f"_out{k}", f.dataType) for k, f in enumerate(fields)]
+    schema = T.StructType([packed.schema["_others"], *back, *made_fields])
+    passed = ["_others", *[f.name for f in back]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute, arrow = start(), to_arrow_schema(schema)
         for batch in slices(batches):
+            read = pa.RecordBatch.from_arrays([batch.column(f"_in{k}") for k in range(len(inputs))], names=inputs)
             made = [pa.array(v, arrow.field(f.name).type) if not isinstance(v, pa.Array) else v
-                    for f, v in zip(fields, compute(batch), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], names=schema.names)
+                    for f, v in zip(made_fields, compute(read), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in passed], *made], names=arrow.names)
 
-    return docs.select(*[f"`{c}`" for c in read]).mapInArrow(run, schema)
+    at = {c: F.col(f"_others.`{c}`") for c in others} | {c: F.col(f"_in{k}") for k, c in enumerate(inputs)}
+    at |= {f.name: F.col(f"_out{k}") for k, f in enumerate(fields)}
+    return packed.mapInArrow(run, schema).select(*[at[c].alias(c) for c in [*kept, *[f.name for f in fields]]])
