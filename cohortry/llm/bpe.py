@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from hashlib import sha256
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
 
@@ -208,7 +209,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", o
     """``docs`` with the token ids of the whole ``text`` in the array column ``out``.
 
     Null and empty texts give an empty array. An empty table gives an empty table; repeated
-    rows are each encoded; other columns stay, but one named ``out`` is replaced.
+    rows are each encoded; other columns stay, but one named ``out`` is replaced. A text of any
+    length is encoded whole, in the memory of one task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(
         vocabulary_text(vocabulary or public_tokenizers.path("byte_bpe_50k.json")))
@@ -240,10 +242,34 @@ def decode(tokens: DataFrame, vocabulary: str | None = None, ids: str = "ids", o
     return add_columns(tokens, [T.StructField(out, T.StringType())], start, [ids])
 
 
+def round_trip(docs: DataFrame, vocabulary: str | None = None, text: str = "text") -> DataFrame:
+    """``docs`` with ``n_tokens`` and SHA-256 digests of the ids of the whole ``text`` and of the text they decode to.
+
+    ``ids_sha256`` is over the decimal ids joined by commas, ``decoded_sha256`` over the decoded text in
+    UTF-8. Ids stay in the task that made them. Nulls count as empty; columns of these names are replaced;
+    empty tables, repeated rows and texts of any length as with :func:`encode` and :func:`decode`.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(
+        vocabulary_text(vocabulary or public_tokenizers.path("byte_bpe_50k.json")))
+
+    def start():
+        bpe, encoder = own_encoder(shared.value)
+        decimal = [b"%d" % i for i in range(len(bpe.words))]
+
+        def compute(batch):
+            sizes, of_ids, of_text = [], [], []
+            for t in texts_of(batch, text):
+                ids = np.frombuffer(encoder(t), "<u4").tolist()
+                sizes.append(len(ids))
+                of_ids.append(sha256(b",".join([decimal[i] for i in ids])).hexdigest())
+                of_text.append(sha256(bpe.decode(ids).encode()).hexdigest())
+            return [sizes, of_ids, of_text]
+        return compute
+
+    return add_columns(docs, [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+                              T.StructField("decoded_sha256", T.StringType())], start, [text])
+
+
 @query("op1_bpe_round_trip")
 def _(spark, d):
-    coded = decode(encode(documents(spark, d).select("doc_id", "text")).select("doc_id", "ids"))
-    return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(documents(spark, d).select("doc_id", "text")).drop("text")

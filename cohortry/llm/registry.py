@@ -10,7 +10,7 @@ ORACLES: dict[str, str] = {}
 #: Module of each query; a module registers its query under ``opN_<name>``.
 MODULES = ["bpe", "packing", "token_files", "exact_dedup", "sharding", "license_scan", "language_id", "line_labels",
            "quality_rules", "jaccard_join", "vector_codes",
-           "periodic_runs"]
+           "suffix_dedup", "periodic_runs"]
 
 
 def query(name: str, sql: str | None = None):

@@ -1,5 +1,7 @@
 """Encoding against the tokenizers library, and exact round trips."""
 
+import hashlib
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -7,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+import __spark_entry__ as entry_point
 from cohortry.llm import bpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -49,3 +52,21 @@ def test_frames(spark, parts):
     assert bpe.decode(bpe.encode(docs.limit(0))).count() == 0
     nothing = spark.createDataFrame([(1, None)], "k long, ids array<int>")
     assert bpe.decode(nothing).first().decoded == ""
+
+
+def test_query_gives_what_the_library_gives(spark, tmp_path):
+    texts = [None, "", "a b", "Über\n\n\tx  y <|endoftext|> z ", "w " * 3000, "\0 \x85 \xa0", "漢字" * 40, "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in entry_point.queries()["op1_bpe_round_trip"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        ids = LIBRARY.encode(t or "", add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(LIBRARY.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", 1, 2, 3)], "doc_id long, text string, `a.b` int, _others int, _in0 int")
+    row = bpe.round_trip(bpe.decode(bpe.encode(docs))).first()
+    assert (row["a.b"], row._others, row._in0, row.decoded, row.n_tokens) == (1, 2, 3, "a b", 2)
