@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.cohort import ALLELES, LOH, OBS, loh, observations, with_ctes
+from catalog.cohort import ALLELES, LOH, OBS, loh, observations, with_ctes, with_recursive_ctes
 from catalog.ingest import NEO, PREPARED
 from catalog.registry import query
 from catalog.sqlkit import bh, box, chisq, chisq_raw, r6, rank_sum, signed_rank, tidy, welch
@@ -55,16 +55,14 @@ def _(spark, d):
     return association.allele_by_event(observations(spark, d, "event", "allele", "locus", "mut_type", "tumour"))
 
 
-PERMUTED = """shuffled AS (SELECT rep, gene, tumour, row_number() OVER (PARTITION BY rep
-  ORDER BY md5(concat_ws('|', 123, rep, id)), id) AS place FROM base, range(1, 101) t(rep)),
-null_cells AS (SELECT gene, allele, median(n) AS m FROM (SELECT rep, gene, labels.allele, count(DISTINCT tumour) AS n
-  FROM shuffled JOIN labels USING (place) GROUP BY ALL) GROUP BY ALL),
+PERMUTED = """null_cells AS (SELECT gene, allele, median(n) AS m FROM (SELECT rep, gene, allele, count(DISTINCT tumour) AS n
+  FROM shuffled GROUP BY ALL) GROUP BY ALL),
 seen AS (SELECT allele, locus, gene, count(DISTINCT tumour) AS n FROM base GROUP BY ALL),
 cells AS (SELECT seen.*, coalesce(m, 0) AS m FROM seen LEFT JOIN null_cells USING (gene, allele))"""
 
 
 @query("d25_permutation_association",
-       with_ctes(OBS, SHUFFLE, PERMUTED) + tested(["gene", "locus"], chisq_raw("cells", ["gene", "locus"], "n", "m")))
+       with_recursive_ctes(OBS, *SHUFFLE, PERMUTED) + tested(["gene", "locus"], chisq_raw("cells", ["gene", "locus"], "n", "m")))
 def _(spark, d):
     return association.permutation_association(shuffle_rows(spark, d), "row_id", event="gene", reps=100)
 
@@ -73,7 +71,7 @@ SEEN_ONE = f"""seen AS (SELECT allele, locus, gene, count(DISTINCT tumour) AS n
 
 
 @query("d25_permutation_association_wide_null",
-       with_ctes(OBS, SHUFFLE, PERMUTED.replace("seen AS (SELECT allele, locus, gene, count(DISTINCT tumour) AS n FROM base GROUP BY ALL)", SEEN_ONE))
+       with_recursive_ctes(OBS, *SHUFFLE, PERMUTED.replace("seen AS (SELECT allele, locus, gene, count(DISTINCT tumour) AS n FROM base GROUP BY ALL)", SEEN_ONE))
        + tested(["gene", "locus"], chisq_raw("cells", ["gene", "locus"], "n", "m")))
 def _(spark, d):
     """The null takes all effects and loci, the observed side nonsynonymous rows of class one."""

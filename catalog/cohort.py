@@ -234,3 +234,7 @@ loh_raw AS (
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",".join(ctes) + "\n"
+
+
+def with_recursive_ctes(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",".join(ctes) + "\n"

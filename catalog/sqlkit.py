@@ -3,6 +3,8 @@ DataFrame formulas: ranks from window functions, tails from power series."""
 
 from __future__ import annotations
 
+import hashlib
+
 
 def keys(by) -> str:
     return "".join(f"{b}, " for b in by)
@@ -317,3 +319,32 @@ def reml(x: str) -> str:
             f"round(dof, 0) + 0.0 AS dof, round(estimate / std_err + 1e-10, 2) + 0.0 AS t, round(sqrt(s2) + 1e-10, 4) + 0.0 AS sigma, "
             f"round(sqrt(s2 * theta) + 1e-10, 4) + 0.0 AS group_sd, round({t_tail('estimate / std_err', 'dof')}, 4) + 0.0 AS p_value, "
             f"CAST(free AS BIGINT) + 2 AS n, (SELECT count(*) FROM groups_) AS n_groups, theta < 1e-6 AS singular FROM ({dof})")
+
+
+def feistel_ctes(base: str, label: str, seed: int, reps: int, columns: str) -> list[str]:
+    """Shuffles of a label by keyed permutations: numbered rows, label places, and ``shuffled``."""
+    keys = ", ".join(f"({rep}, {', '.join(str(int(hashlib.md5(f'{seed}|{rep}|{r}'.encode()).hexdigest()[:8], 16)) for r in range(6))})"
+                     for rep in range(1, reps + 1))
+
+    def network(rows: str) -> str:
+        """``rows`` has x, the keys and the sizes; gives x after six rounds."""
+        sql = f"SELECT *, x // wide AS hi, x % wide AS lo FROM ({rows})"
+        for r in range(6):
+            src, dst, size = ("lo", "hi", "high") if r % 2 else ("hi", "lo", "wide")
+            sql = f"SELECT *, ({src} + k{r}) & 4294967295 AS h FROM ({sql})"
+            for _ in range(2):
+                sql = f"SELECT * REPLACE (((xor(h, h >> 16)) * 73244475) & 4294967295 AS h) FROM ({sql})"
+            sql = f"SELECT * EXCLUDE (h) REPLACE (({dst} + xor(h, h >> 16)) % {size} AS {dst}) FROM ({sql})"
+        return f"SELECT * EXCLUDE (hi, lo) REPLACE (hi * wide + lo AS x) FROM ({sql})"
+
+    fields = "number, rep, k0, k1, k2, k3, k4, k5, wide, high, n"
+    return [
+        f"numbered AS MATERIALIZED (SELECT {columns}, {label}, row_number() OVER (ORDER BY md5(concat_ws('|', {seed}, 0, id))) - 1 AS number FROM {base})",
+        "sizes AS MATERIALIZED (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS wide, CAST(ceil(n / ceil(sqrt(n))) AS BIGINT) AS high "
+        "FROM (SELECT count(*) AS n FROM numbered))",
+        f"keys(rep, k0, k1, k2, k3, k4, k5) AS (VALUES {keys})",
+        f"walk AS (SELECT {fields}, x FROM ({network(f'SELECT {fields}, number AS x FROM numbered, keys, sizes')}) "
+        f"UNION ALL SELECT {fields}, x FROM ({network(f'SELECT {fields}, x FROM walk WHERE x >= n')}))",
+        f"places AS MATERIALIZED (SELECT {label}, count(*) AS c, sum(count(*)) OVER (ORDER BY {label} NULLS LAST) AS upto FROM numbered GROUP BY {label})",
+        f"shuffled AS MATERIALIZED (SELECT CAST(w.rep AS BIGINT) AS rep, {columns}, p.{label} FROM (SELECT rep, number, x FROM walk WHERE x < n) w "
+        f"JOIN numbered b USING (number) ASOF JOIN (SELECT {label}, CAST(upto - c AS BIGINT) AS start FROM places) p ON w.x >= p.start)"]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.cohort import OBS, SURVIVAL, observations, survival, table, with_ctes
+from catalog.cohort import OBS, SURVIVAL, observations, survival, table, with_ctes, with_recursive_ctes
 from catalog.registry import query
-from catalog.sqlkit import (bh, box, chisq, chisq_raw, cox, cox_ctes, km, kruskal, log_rank, r6, rank_sum, reml,
+from catalog.sqlkit import (bh, box, chisq, chisq_raw, cox, cox_ctes, feistel_ctes, km, kruskal, log_rank, r6, rank_sum, reml,
                             reml_ctes, signed_rank, spearman, tidy, welch)
 from cohortry.operators import adjust, contingency, mixed, moments, permute, ranks
 from cohortry.operators import survival as surv
@@ -194,26 +194,20 @@ def shuffle_rows(spark, d, label="allele", key="gene"):
     return rows.withColumn("row_id", F.concat_ws("|", "event", "sample", "allele"))
 
 
-SHUFFLE = """base AS (SELECT *, concat_ws('|', event, sample, allele) AS id FROM (
-  SELECT DISTINCT event, gene, sample, tumour, locus, allele FROM obs WHERE tumour IS NOT NULL)),
-labels AS (SELECT allele, row_number() OVER (ORDER BY md5(concat_ws('|', 123, 0, id)), id) AS place FROM base)"""
+SHUFFLE = ["""base AS (SELECT *, concat_ws('|', event, sample, allele) AS id FROM (
+  SELECT DISTINCT event, gene, sample, tumour, locus, allele FROM obs WHERE tumour IS NOT NULL))""",
+           *feistel_ctes("base", "allele", 123, 100, "gene, tumour")]
 
 
-def shuffled_sql(reps):
-    return (f"shuffled AS (SELECT rep, gene, tumour, place FROM (SELECT rep, gene, tumour, row_number() OVER (PARTITION BY rep "
-            f"ORDER BY md5(concat_ws('|', 123, rep, id)), id) AS place FROM base, range(1, {reps + 1}) t(rep)))")
-
-
-@query("t17_permute_label", with_ctes(OBS, SHUFFLE, shuffled_sql(100)) + """SELECT rep, gene, labels.allele, count(*) AS n
-FROM shuffled JOIN labels USING (place) GROUP BY ALL""")
+@query("t17_permute_label", with_recursive_ctes(OBS, *SHUFFLE) + """SELECT rep, gene, allele, count(*) AS n
+FROM shuffled GROUP BY ALL""")
 def _(spark, d):
     out = permute.permute_label(shuffle_rows(spark, d), "row_id", "allele", 100, carry=["gene"])
     return out.groupBy(F.col("rep").cast("long").alias("rep"), "gene", "allele").agg(F.count("*").alias("n"))
 
 
-@query("t18_permutation_null", with_ctes(OBS, SHUFFLE, shuffled_sql(100)) + f"""SELECT gene, allele, {r6('median(n)')}
-AS null_median FROM (SELECT rep, gene, labels.allele, count(DISTINCT tumour) AS n FROM shuffled JOIN labels USING (place)
-GROUP BY ALL) GROUP BY ALL""")
+@query("t18_permutation_null", with_recursive_ctes(OBS, *SHUFFLE) + f"""SELECT gene, allele, {r6('median(n)')}
+AS null_median FROM (SELECT rep, gene, allele, count(DISTINCT tumour) AS n FROM shuffled GROUP BY ALL) GROUP BY ALL""")
 def _(spark, d):
     return permute.permutation_null(shuffle_rows(spark, d), "row_id", "allele", ["gene"], "tumour", reps=100)
 

@@ -1,47 +1,99 @@
-"""Label permutation without replacement, and the null it gives."""
+"""Label permutation without replacement, and the null it gives.
+
+Rows are numbered once. In replicate r the row with number i gets the label at place
+π_r(i), for a keyed permutation π_r (see :mod:`cohortry.functions.keyed`), of the labels laid out
+one after another; their running counts tell which one that is. So a replicate costs
+arithmetic per row, and neither rows nor labels are sorted or exchanged for it.
+"""
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortry.functions.nullrules import n_distinct
+from cohortry.functions import keyed
 from cohortry.operators.contingency import chisq_by
 from cohortry.operators.joins import natural_join
 from cohortry.session import staged
 
+# Executors get these functions with the job and need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _HEX = 8  # leading hash digits that cut the order into ranges
 #: Rows that are numbered in one window, about.
 ROWS_PER_SLOT = 20_000
+#: Replicates whose presence shares one number.
+BITS = 62
+#: Rows whose replicates a task holds at once.
+ROWS_AT_ONCE = 2000
+
 
+def numbered(df: DataFrame, row_id: str, seed: int) -> tuple[DataFrame, int]:
+    """``df`` with ``_number`` from 0 on in hash order of ``row_id``, staged, and the number of rows.
 
-def _parallelism(df: DataFrame) -> int:
+    A hash is spread evenly, so its leading digits cut the rows into ranges of equal size;
+    only the counts per range are summed over the whole.
+    """
+    n = df.count()
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.lit(0), F.col(row_id).cast("string")))
+    wide = max(16, -(-n // ROWS_PER_SLOT))
+    lead = F.conv(F.substring("_hash", 1, _HEX), 16, 10).cast("long")
+    cut = df.withColumn("_hash", digest).withColumn("_slot", F.shiftright(lead * wide, 4 * _HEX).cast("int"))
+    slots = cut.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)  # one row per ROWS_PER_SLOT
+    slots = slots.select("_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_slot").orderBy("_hash")
+    rows = cut.withColumn("_row", F.row_number().over(inside)).join(slots, "_slot").withColumn(
+        "_number", F.col("_before") + F.col("_row") - 1).drop("_hash", "_slot", "_row", "_before")
+    # Each row becomes many: spread them first. A fixed number of parts is not coalesced again.
     spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-               spark.sparkContext.defaultParallelism)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return staged(rows.repartition(parts, "_number"), "numbered"), n
+
+
+def _layout(rows: DataFrame, label: str) -> DataFrame:
+    """Each label with its code and the places it takes, staged."""
+    counts = staged(rows.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n")), "labels")
+    order = Window.orderBy(F.col("_label").asc_nulls_last())  # one row per label
+    return staged(counts.select("_label", (F.row_number().over(order) - 1).alias("_code"), F.sum("_n").over(order).alias("_upto")), "labels")
 
 
-def _numbered(df: DataFrame, seed: int, rows: int) -> DataFrame:
-    """Number the rows of each ``rep`` from 0 in hash order.
+def _places(rows: DataFrame, layout: DataFrame, reps: int, seed: int):
+    """What a task needs to look labels up, broadcast: the running counts of the labels and the keys of the replicates.
 
-    A hash is spread evenly, so its leading digits cut each rep into ranges of
-    equal size, as many as its ``rows`` ask for; only the counts per range are summed
-    over a whole rep.
+    There is one count per label of a column that is a class, by which cells are counted. They are as
+    many as the cells' classes, not the rows.
     """
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("rep"), F.col("_id")))
-    wide = max(16, -(-rows // ROWS_PER_SLOT))
-    lead = F.conv(F.substring("_hash", 1, _HEX), 16, 10).cast("long")
-    cut = (df.withColumn("_hash", digest)
-           .withColumn("_slot", F.shiftright(lead * wide, 4 * _HEX).cast("int"))
-           .withColumn("_hash", F.unhex("_hash")).drop("_id"))
-    slots = cut.groupBy("rep", "_slot").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("rep").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.select("rep", "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("rep", "_slot").orderBy("_hash")
-    return (cut.withColumn("_row", F.row_number().over(inside))
-            .join(slots, ["rep", "_slot"])
-            .withColumn("_place", F.col("_before") + F.col("_row") - 1)
-            .drop("_hash", "_slot", "_row", "_before"))
+    upto = [r[0] for r in layout.orderBy("_code").select("_upto").collect()]
+    return rows.sparkSession.sparkContext.broadcast((np.array(upto, np.int64), keyed.round_keys(seed, reps)))
+
+
+def codes_of(number: np.ndarray, n: int, upto: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The label codes of rows by replicate."""
+    out = np.empty((len(number), len(keys)), np.int32)
+    for r, key in enumerate(keys):
+        out[:, r] = np.searchsorted(upto, keyed.permuted(number, n, key), side="right")
+    return out
+
+
+def presence(codes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For each row and code that it has in any replicate: both, and the replicates as bits."""
+    rows, reps = codes.shape
+    one = (np.arange(rows)[:, None] * (1 << 31) + codes).ravel()
+    order = np.argsort(one, kind="stable")
+    first = np.flatnonzero(np.diff(one[order], prepend=-1))
+    rep = order % reps
+    bits = [np.bitwise_or.reduceat(np.where(rep // BITS == w, np.int64(1) << (rep % BITS), 0), first) for w in range(words)]
+    found = one[order][first]
+    return found >> 31, found & ((1 << 31) - 1), bits
 
 
 def permute_label(df: DataFrame, row_id: str, label: str, reps: int, seed: int = 123,
@@ -52,26 +104,54 @@ def permute_label(df: DataFrame, row_id: str, label: str, reps: int, seed: int =
     the label's counts, and the same seed gives the same shuffle on any cluster.
     """
     carry = list(carry)
-    base = df.select(F.col(row_id).cast("string").alias("_id"), F.lit(0).alias("rep"), label)
-    n = df.select(row_id).count()
-    # Their files tell Spark their size, so it broadcasts them only where they are small.
-    labels = staged(_numbered(base, seed, n).select("_place", label))
-    # Spread the rows before they multiply; a fixed number is not coalesced again.
-    rows = df.select(F.col(row_id).cast("string").alias("_id"), *carry).repartition(
-        _parallelism(df), "_id").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    return _numbered(rows, seed, n).join(labels, "_place").select("rep", *carry, label)
+    rows, n = numbered(df.select(F.col(row_id).alias("_id"), label, *[F.col(c).alias(f"_carry{k}") for k, c in enumerate(carry)]), "_id", seed)
+    layout = _layout(rows, label)
+    shared = _places(rows, layout, reps, seed)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def codes(number: pd.Series) -> pd.Series:
+        return pd.Series(list(codes_of(number.to_numpy(np.int64), n, *shared.value)))
+
+    coded = rows.select(*[F.col(f"_carry{k}").alias(c) for k, c in enumerate(carry)], codes("_number").alias("_codes"))
+    long = coded.select(*carry, F.posexplode("_codes").alias("_rep", "_code"))
+    named = long.join(layout.select("_code", F.col("_label").alias(label)), "_code")
+    return named.select((F.col("_rep") + 1).alias("rep"), *carry, label)
 
 
 def permutation_null(df: DataFrame, row_id: str, label: str, key: list[str], unit: str,
                      reps: int = 100, seed: int = 123) -> DataFrame:
     """Median over the shuffles of distinct ``unit`` per (key, label) cell.
 
-    A shuffle in which a cell is absent does not enter its median.
+    A shuffle in which a cell is absent does not enter its median. For each row and label that it
+    ever gets, the replicates are bits of a few numbers; the bits of a unit combine within tasks,
+    so what moves is a row per key, unit and label, not one per row and replicate.
     """
-    shuffled = permute_label(df, row_id, label, reps, seed, carry=[*key, unit])
-    counts = shuffled.groupBy("rep", *key, label).agg(n_distinct(unit).alias("n_unit"))
+    key = list(key)
+    rows, n = numbered(df.select(F.col(row_id).alias("_id"), label, *key, F.col(unit).alias("_unit")), "_id", seed)
+    layout = _layout(rows, label)
+    words = -(-reps // BITS)
+    shared = _places(rows, layout, reps, seed)
+    # A missing unit is no unit, as in any distinct count.
+    known = rows.filter(F.col("_unit").isNotNull()).select(F.struct(*key, "_unit").alias("_cell"), F.col("_number").cast("long"))
+    schema = T.StructType([known.schema["_cell"], T.StructField("_code", T.LongType()),
+                           *[T.StructField(f"_w{w}", T.LongType()) for w in range(words)]])
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                some = batch.slice(at, ROWS_AT_ONCE)
+                row, code, bits = presence(codes_of(some.column("_number").to_numpy(), n, *shared.value), words)
+                yield pa.RecordBatch.from_arrays([some.column("_cell").take(pa.array(row)), pa.array(code), *map(pa.array, bits)],
+                                                 names=schema.names)
+
+    units = known.mapInArrow(seen, schema).groupBy("_cell", "_code").agg(*[F.bit_or(f"_w{w}").alias(f"_w{w}") for w in range(words)])
+    units = units.select(*[F.col(f"_cell.`{k}`").alias(k) for k in key], "_code", *[f"_w{w}" for w in range(words)])
+    is_set = [F.when(F.getbit(F.col(f"_w{r // BITS}"), F.lit(r % BITS)) == 1, F.lit(r)) for r in range(reps)]
+    present = units.select(*key, "_code", F.explode(F.array_compact(F.array(*is_set))).alias("_rep"))
+    counts = present.groupBy("_rep", *key, "_code").agg(F.count(F.lit(1)).alias("n_unit"))
     # At most ``reps`` values per cell, so the built-in median is bounded.
-    return counts.groupBy(*key, label).agg(F.median("n_unit").alias("null_median"))
+    medians = counts.groupBy(*key, "_code").agg(F.median("n_unit").alias("null_median"))
+    return medians.join(layout.select("_code", F.col("_label").alias(label)), "_code").select(*key, label, "null_median")
 
 
 def permutation_test(observed: DataFrame, null: DataFrame, by: list[str], count: str) -> DataFrame:

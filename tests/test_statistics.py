@@ -11,6 +11,7 @@ from cohortry.operators.contingency import chisq_by
 from cohortry.operators.mixed import random_intercept
 from cohortry.operators.moments import (
     box_stats_by, median_split, ols_by, quantiles_by, slice_positions, welch_t_by)
+from cohortry.functions import keyed
 from cohortry.operators.permute import permutation_null, permute_label
 from cohortry.operators.ranks import kruskal_by, rank_sum_by, signed_rank_by, spearman_by
 from cohortry.operators import running as running_module
@@ -368,6 +369,36 @@ def test_permutation_keeps_labels_and_is_a_shuffle(spark):
     assert {r.lab: r.null_median for r in null.collect()} == {"A": 7.0, "B": 7.0, "C": 7.0}
 
 
+def test_keyed_permutations():
+    for n in (1, 2, 3, 7, 50, 1000):
+        for key in keyed.round_keys(5, 20):
+            assert sorted(keyed.permuted(np.arange(n), n, key).tolist()) == list(range(n))
+    # Every row visits every place about as often.
+    keys = keyed.round_keys(9, 4000)
+    visits = np.zeros((6, 6))
+    for key in keys:
+        visits[np.arange(6), keyed.permuted(np.arange(6), 6, key)] += 1
+    assert np.abs(visits / 4000 - 1 / 6).max() < 0.03
+
+
+def test_replicates_move_no_rows(spark):
+    df = spark.range(3000).selectExpr("id", "CAST(id % 5 AS string) AS lab", "id % 11 AS u", "id % 3 AS cell")
+    plan = permute_label(df, "id", "lab", 50, carry=["cell"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan and "Window" not in plan
+    null = {(r.cell, r.lab): r.null_median for r in permutation_null(df, "id", "lab", ["cell"], "u", reps=130).collect()}
+    shuffled = permute_label(df, "id", "lab", 130, carry=["cell", "u"]).groupBy("rep", "cell", "lab").agg(
+        F.count_distinct("u").alias("n")).groupBy("cell", "lab").agg(F.median("n").alias("m"))
+    assert null == {(r.cell, r.lab): r.m for r in shuffled.collect()} and len(null) == 15
+
+
+def test_permutation_of_odd_labels(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, "a", None), (3, "a", "x")], "id long, lab string, u string")
+    got = permute_label(df, "id", "lab", 4, carry=["u"]).collect()
+    assert len(got) == 12 and sum(r.lab is None for r in got) == 4
+    assert permute_label(df.limit(0), "id", "lab", 4).count() == 0
+    assert permutation_null(df.limit(0), "id", "lab", [], "u", reps=4).count() == 0
+
+
 def test_tails_reach_the_normal_limit():
     for d in (1e5, 1e6, 1e9, 1e12):
         for t in (0.0, 0.3, 2.0, 6.0):
