@@ -22,10 +22,25 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+#: Columns of probabilities, whose small values keep their digits.
+PROBABILITIES = ("p_value", "p_adj")
+SMALL = 1e-3
+
+
 def tidy(df: DataFrame) -> DataFrame:
-    """Six decimals. The nudge keeps a sum that is exactly between two roundings,
-    but for its last bit, from rounding differently on two engines."""
-    return df.select(*[
-        (F.round(F.col(f"`{f.name}`") + F.lit(1e-10), 6) + F.lit(0.0)).alias(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
-        for f in df.schema.fields])
+    """Six decimals, and six significant digits for probabilities below ``SMALL``.
+
+    The nudge keeps a sum that is exactly between two roundings, but for its last bit, from
+    rounding differently on two engines.
+    """
+    def tidied(field: T.StructField):
+        value = F.col(f"`{field.name}`")
+        if not isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            return value
+        plain = F.round(value + F.lit(1e-10), 6) + F.lit(0.0)
+        if field.name in PROBABILITIES:
+            digits = F.format_string("%.5e", value.cast("double")).cast("double")
+            plain = F.when((value > 0) & (value < SMALL), digits).otherwise(plain)
+        return plain.alias(field.name)
+
+    return df.select(*[tidied(f) for f in df.schema.fields])

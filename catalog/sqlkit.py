@@ -23,17 +23,31 @@ def r6(expr: str) -> str:
     return f"round(({expr}) + 1e-10, 6) + 0.0"
 
 
+def rp(expr: str) -> str:
+    """A probability: six decimals, or six significant digits if it is below a thousandth."""
+    return f"CASE WHEN ({expr}) > 0 AND ({expr}) < 1e-3 THEN CAST(printf('%.5e', CAST({expr} AS DOUBLE)) AS DOUBLE) ELSE {r6(expr)} END"
+
+
 def tidy(sql: str, plain=(), rounded=(), tail: str = "") -> str:
-    cols = [*plain, *[f"{r6(c)} AS {c}" for c in rounded]]
+    cols = [*plain, *[f"{rp(c) if c in ('p_value', 'p_adj') else r6(c)} AS {c}" for c in rounded]]
     return f"SELECT {', '.join(cols)} FROM ({sql}) {tail}"
 
 
+def _downwards(depth: int, step: str, start: str) -> str:
+    """A continued fraction from its far end: ``step`` of ``acc_`` and the level ``k_``."""
+    levels = f"list_transform(range({depth}, 0, -1), lambda k0_: CAST(k0_ AS DOUBLE))"
+    return f"list_reduce({levels}, lambda acc_, k_: {step}, {start})"
+
+
 def chi_tail(x: str, dof: str) -> str:
+    """One minus a series; where that leaves few digits, a continued fraction."""
     a, z = f"(({dof}) / 2.0::DOUBLE)", f"(({x}) / 2.0::DOUBLE)"
     terms = (f"list_sum(list_transform(range(0, CAST(2 * {z} + 300 AS BIGINT)), "
              f"lambda i_: exp(({a} + i_) * ln({z}) - {z} - lgamma({a} + i_ + 1))))")
+    fraction = _downwards(400, f"{z} + 2 * k_ - 1 - {a} - k_ * (k_ - {a}) / acc_", f"({z} + 801 - {a})")
+    far = f"exp({a} * ln({z}) - {z} - lgamma({a})) / {fraction}"
     return (f"CASE WHEN ({x}) IS NULL OR ({dof}) IS NULL THEN NULL WHEN ({x}) <= 1e-14 THEN 1.0::DOUBLE "
-            f"WHEN {z} > 6 * {a} + 300 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - {terms}) END")
+            f"WHEN {z} > 2 * {a} + 30 THEN {far} WHEN 1 - {terms} < 1e-3 THEN {far} ELSE 1 - {terms} END")
 
 
 def normal_tail(z: str) -> str:
@@ -47,13 +61,24 @@ def _beta_series(a: str, b: str, y: str) -> str:
     return f"({front} * {terms})"
 
 
+def _beta_fraction(a: str, b: str, y: str) -> str:
+    """The incomplete beta function by its continued fraction, for y well below a / (a + b)."""
+    m = "floor(k_ / 2)"
+    odd = f"(-({a} + {m}) * ({a} + {b} + {m}) * {y} / (({a} + 2 * {m}) * ({a} + 2 * {m} + 1)))"
+    even = f"({m} * ({b} - {m}) * {y} / (({a} + 2 * {m} - 1) * ({a} + 2 * {m})))"
+    whole = _downwards(400, f"1 + (CASE WHEN k_ % 2 = 1 THEN {odd} ELSE {even} END) / acc_", "1.0::DOUBLE")
+    return f"(exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln({y}) + {b} * ln(1 - {y})) / {a} / {whole})"
+
+
 def t_tail(t: str, dof: str) -> str:
+    """One minus a series near the middle; where that leaves few digits, a continued fraction."""
     y = f"(({t}) * ({t}) / (({dof}) + ({t}) * ({t})))"
     rest = f"(({dof}) / (({dof}) + ({t}) * ({t})))"
     half, b = "0.5::DOUBLE", f"(({dof}) / 2.0::DOUBLE)"
+    series, far = f"1 - {_beta_series(half, b, y)}", _beta_fraction(b, half, rest)
     return (f"CASE WHEN ({t}) IS NULL OR ({dof}) IS NULL THEN NULL WHEN abs({t}) < 1e-12 THEN 1.0::DOUBLE "
-            f"WHEN {rest} < 1e-15 OR {b} * ln({rest}) < -60 THEN 0.0::DOUBLE "
-            f"WHEN {y} < 0.8 THEN 1 - {_beta_series(half, b, y)} ELSE {_beta_series(b, half, rest)} END")
+            f"WHEN {rest} < 1e-300 THEN 0.0::DOUBLE WHEN {y} >= 0.8 OR {b} * ln({rest}) < -30 THEN {far} "
+            f"WHEN {series} < 1e-3 THEN {far} ELSE {series} END")
 
 
 def digits12(v: str) -> str:
@@ -70,7 +95,31 @@ def _ranked(src: str, by, v: str, also: str, where: str) -> str:
             f"FROM (SELECT *, {digits12(v)} AS v FROM {src}) WHERE v IS NOT NULL AND {where}")
 
 
-def rank_sum(src: str, by, g: str, v: str, levels) -> str:
+def either(condition: str, counted: str, approximate: str, name: str, form: str) -> str:
+    """p_value and method of a test that counts some panels and approximates others."""
+    return (f"{rp(f'CASE WHEN {condition} THEN {counted} ELSE {approximate} END')} AS p_value, "
+            f"CASE WHEN {condition} THEN '{name}, exact' ELSE '{name}, {form}' END AS method")
+
+
+def subset_ways(most: int) -> str:
+    """How many subsets of 1..n with j members have the sum s."""
+    return (f"ways(n, j, s, c) AS (SELECT 0, 0, 0, 1.0::DOUBLE UNION ALL SELECT n + 1, j + take, s + take * (n + 1), sum(c) "
+            f"FROM ways, (VALUES (0), (1)) v(take) WHERE n < {most} GROUP BY 1, 2, 3)")
+
+
+def order_ways(most: int) -> str:
+    """How many orders of n items, of which some have got their rank, have the sum d of squared gaps."""
+    return (f"orders_(n, item, taken, d, c) AS (SELECT n, 0, 0, 0, 1.0::DOUBLE FROM range(2, {most + 1}) t(n) UNION ALL "
+            f"SELECT n, item + 1, taken | (1 << r), d + (item - r) * (item - r), sum(c) FROM (SELECT *, unnest(range(n)) AS r FROM orders_ "
+            f"WHERE item < n) WHERE (taken >> r) & 1 = 0 GROUP BY 1, 2, 3, 4)")
+
+
+def _two_tails(ways: str, where: str, at: str) -> str:
+    return (f"(SELECT least(1.0, 2 * least(sum(CASE WHEN s <= round({at}) THEN c ELSE 0 END), sum(CASE WHEN s >= round({at}) THEN c ELSE 0 END)) / sum(c)) "
+            f"FROM {ways} WHERE {where})")
+
+
+def rank_sum(src: str, by, g: str, v: str, levels, exact: bool = False) -> str:
     a, b = levels
     ranked = _ranked(src, by, v, f"CASE WHEN {g} = {a} THEN 1 ELSE 0 END AS one", f"{g} IN ({a}, {b})")
     sums = (f"SELECT {keys(by)}CAST(sum(one) AS DOUBLE) AS a, CAST(sum(1 - one) AS DOUBLE) AS b, "
@@ -79,7 +128,9 @@ def rank_sum(src: str, by, g: str, v: str, levels) -> str:
             f"THEN ties / ((a + b) * (a + b - 1)) ELSE 0 END)) AS sd FROM ({sums}) WHERE a > 0 AND b > 0")
     z = (f"SELECT *, CASE WHEN sd > 0 THEN (w - a * b / 2 - sign(w - a * b / 2) * 0.5) / sd END AS z FROM ({stat})")
     return (f"SELECT {keys(by)}CAST(a AS BIGINT) AS n1, CAST(b AS BIGINT) AS n2, {r6('w')} AS statistic, "
-            f"{r6('z')} AS z, {r6(normal_tail('z'))} AS p_value, 'rank-sum, normal' AS method FROM ({z})")
+            f"{r6('z')} AS z, " + (
+                either("ties = 0", _two_tails("ways", "ways.n = a + b AND ways.j = a", "r"), normal_tail("z"), "rank-sum", "normal") if exact
+                else f"{rp(normal_tail('z'))} AS p_value, 'rank-sum, normal' AS method") + f" FROM ({z}) t_")
 
 
 def kruskal(src: str, by, g: str, v: str) -> str:
@@ -91,27 +142,50 @@ def kruskal(src: str, by, g: str, v: str) -> str:
     h = (f"SELECT *, CASE WHEN n * n * n - n > ties THEN (12 / (n * (n + 1)) * q - 3 * (n + 1)) "
          f"/ (1 - ties / (n * n * n - n)) END AS h FROM ({sums}) WHERE k > 1")
     return (f"SELECT {keys(by)}k AS n_levels, CAST(n AS BIGINT) AS n, {r6('h')} AS statistic, k - 1 AS dof, "
-            f"{r6(chi_tail('h', 'k - 1'))} AS p_value, 'Kruskal-Wallis' AS method FROM ({h})")
+            f"{rp(chi_tail('h', 'k - 1'))} AS p_value, 'Kruskal-Wallis' AS method FROM ({h})")
+
+
+def _series_tail(d: str, lower: bool) -> str:
+    """The Edgeworth series of Spearman's statistic; Horner's rule undone."""
+    c = [0.2274, 0.2531, 0.1745, 0.0758, 0.1033, 0.3932, 0.0879, 0.0151, 0.0072, 0.0831, 0.0131, 4.6e-4]
+    x = f"((6 * ({d} - 1) / (n * (n * n - 1.0::DOUBLE)) - 1) * sqrt(n - 1.0::DOUBLE))"
+    u = (f"({x} / n * ({c[0]} + {c[1]} / n + {c[2]} / (n * n) + pow({x}, 2) * ({-c[3]} + {c[4]} / n + {c[5]} / (n * n)) "
+         f"- pow({x}, 4) / n * ({c[6]} + {c[7]} / n - pow({x}, 2) * ({c[8]} - {c[9]} / n + pow({x}, 2) / n * ({c[10]} - {c[11]} * pow({x}, 2))))))")
+    sign = "-" if lower else ""
+    z = f"({sign}{x})"
+    half = f"(({normal_tail(z)}) / 2)"
+    return f"greatest(0.0, least(1.0, {sign}{u} / exp(pow({x}, 2) / 2) + CASE WHEN {z} > 0 THEN {half} ELSE 1 - {half} END))"
+
+
+def spearman_exact(src: str, by, x: str, y: str) -> str:
+    """Panels without ties count orders or take the series; the others have the t approximation."""
+    plain = spearman_raw(src, by, x, y, ", count(DISTINCT rx) = count(*) AND count(DISTINCT ry) = count(*) AS untied")
+    d = f"SELECT *, round((pow(n, 3) - n) * (1 - rho) / 6) AS d FROM ({plain})"
+    counted = ("(SELECT least(1.0, 2 * least(sum(CASE WHEN o.d <= t_.d THEN c ELSE 0 END), sum(CASE WHEN o.d >= t_.d THEN c ELSE 0 END)) / sum(c)) "
+               "FROM orders_ o WHERE o.n = t_.n AND o.item = o.n)")
+    series = (f"least(1.0, 2 * CASE WHEN d > (pow(n, 3) - n) / 6 THEN {_series_tail('d', False)} ELSE {_series_tail('(d + 2)', True)} END)")
+    return (f"SELECT {keys(by)}n, {r6('rho')} AS rho, "
+            + either("untied AND rho IS NOT NULL", f"CASE WHEN n <= 9 THEN {counted} ELSE {series} END", "p_value", "Spearman", "t") + f" FROM ({d}) t_")
 
 
-def spearman_raw(src: str, by, x: str, y: str) -> str:
+def spearman_raw(src: str, by, x: str, y: str, more: str = "") -> str:
     def mid(v):
         return (f"rank() OVER ({part(by)}ORDER BY {v}) + (count(*) OVER ({part(by, v)}) - 1) / 2.0::DOUBLE")
     rows = (f"SELECT {keys(by)}{mid('x')} AS rx, {mid('y')} AS ry FROM (SELECT {keys(by)}{digits12(x)} AS x, "
             f"{digits12(y)} AS y FROM {src}) WHERE x IS NOT NULL AND y IS NOT NULL")
     sums = (f"SELECT {keys(by)}count(*) AS n, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) "
-            f"THEN corr(rx, ry) END AS rho FROM ({rows}) {group(by)}")
+            f"THEN corr(rx, ry) END AS rho{more} FROM ({rows}) {group(by)}")
     t = (f"SELECT *, CASE WHEN n > 2 AND abs(rho) < 1 THEN rho * sqrt(n - 2) / sqrt(1 - rho * rho) END AS t "
          f"FROM ({sums})")
     return (f"SELECT {keys(by)}n, rho, CASE WHEN n > 2 AND abs(rho) >= 1 THEN 0.0::DOUBLE "
-            f"ELSE {t_tail('t', 'n - 2')} END AS p_value, 'Spearman, t' AS method FROM ({t})")
+            f"ELSE {t_tail('t', 'n - 2')} END AS p_value, 'Spearman, t' AS method{', untied' if more else ''} FROM ({t})")
 
 
 def spearman(src: str, by, x: str, y: str) -> str:
     return tidy(spearman_raw(src, by, x, y), [*by, "n", "method"], ["rho", "p_value"])
 
 
-def signed_rank(src: str, by, pair: str, g: str, v: str, levels) -> str:
+def signed_rank(src: str, by, pair: str, g: str, v: str, levels, exact: bool = False) -> str:
     a, b = levels
     means = (f"SELECT {keys(by)}{pair}, {digits12('a')} - {digits12('b')} AS d FROM (SELECT {keys(by)}{pair}, "
              f"avg(CASE WHEN {g} = {a} THEN {v} END) AS a, avg(CASE WHEN {g} = {b} THEN {v} END) AS b "
@@ -122,14 +196,15 @@ def signed_rank(src: str, by, pair: str, g: str, v: str, levels) -> str:
     ranked = (f"SELECT *, rank() OVER ({part(by)}ORDER BY {size} NULLS LAST) "
               f"+ (count(*) OVER ({part(by, size)}) - 1) / 2.0::DOUBLE AS mid, "
               f"CAST(count(*) OVER ({part(by, size)}) AS DOUBLE) AS t FROM ({pairs})")
-    sums = (f"SELECT {keys(by)}CAST(count_if(d <> 0) AS DOUBLE) AS n, count_if(d = 0) AS n_zero, "
+    sums = (f"SELECT {keys(by)}CAST(coalesce(count_if(d <> 0), 0) AS DOUBLE) AS n, coalesce(count_if(d = 0), 0) AS n_zero, "
             f"count_if(d IS NULL) AS n_dropped, coalesce(sum(CASE WHEN d > 0 THEN mid END), 0) AS v, "
             f"coalesce(sum(CASE WHEN d <> 0 THEN t * t - 1 END), 0) AS ties FROM ({ranked}) {group(by)} HAVING count(*) > 0")
     sd = (f"SELECT *, sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS sd, v - n * (n + 1) / 4 AS gap FROM ({sums})")
     z = f"SELECT *, CASE WHEN sd > 0 THEN (gap - sign(gap) * 0.5) / sd END AS z FROM ({sd})"
     return (f"SELECT {keys(by)}CAST(n AS BIGINT) AS n_pairs, CAST(n_zero AS BIGINT) AS n_zero, "
-            f"CAST(n_dropped AS BIGINT) AS n_dropped, {r6('v')} AS statistic, {r6('z')} AS z, "
-            f"{r6(normal_tail('z'))} AS p_value, 'signed-rank, normal' AS method FROM ({z})")
+            f"CAST(n_dropped AS BIGINT) AS n_dropped, {r6('v')} AS statistic, {r6('z')} AS z, " + (
+                either("ties = 0 AND n_zero = 0 AND n > 0", _two_tails("ways", "ways.n = t_.n", "v"), normal_tail("z"), "signed-rank", "normal")
+                if exact else f"{rp(normal_tail('z'))} AS p_value, 'signed-rank, normal' AS method") + f" FROM ({z}) t_")
 
 
 def chisq_raw(src: str, by, a: str, b: str) -> str:
@@ -214,7 +289,7 @@ def log_rank(src: str, by, time: str, event: str, g: str, levels, names) -> str:
     stat = f"SELECT *, CASE WHEN v > 0 THEN (o0 - e0) * (o0 - e0) / v END AS x FROM ({sums})"
     return (f"SELECT {keys(by)}o0 AS observed_{names[0]}, o1 AS observed_{names[1]}, {r6('e0')} AS expected_{names[0]}, "
             f"{r6('e1')} AS expected_{names[1]}, {r6('x')} AS statistic, "
-            f"CASE WHEN x IS NOT NULL THEN CAST(1 AS BIGINT) END AS dof, {r6(chi_tail('x', '1'))} AS p_value FROM ({stat})")
+            f"CASE WHEN x IS NOT NULL THEN CAST(1 AS BIGINT) END AS dof, {rp(chi_tail('x', '1'))} AS p_value FROM ({stat})")
 
 
 def unpivot(src: str, ids, columns, names_to: str, values_to: str) -> str:

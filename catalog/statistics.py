@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from catalog.cohort import OBS, SURVIVAL, observations, survival, table, with_ctes, with_recursive_ctes
 from catalog.registry import query
-from catalog.sqlkit import (bh, box, chisq, chisq_raw, cox, cox_ctes, feistel_ctes, km, kruskal, log_rank, r6, rank_sum, reml,
-                            reml_ctes, signed_rank, spearman, tidy, welch)
+from catalog.sqlkit import (bh, box, chisq, chisq_raw, cox, cox_ctes, feistel_ctes, km, kruskal, log_rank, order_ways,
+                            r6, rank_sum, rp, reml, reml_ctes, signed_rank, spearman, spearman_exact, subset_ways, tidy, welch)
 from cohortry.operators import adjust, contingency, mixed, moments, permute, ranks
 from cohortry.operators import survival as surv
 from cohortry.operators.running import Run, clean, cut_ranges, running, settle
@@ -59,7 +59,7 @@ def _(spark, d):
 
 
 @query("t3_significant_rows", with_ctes(OBS, cells_sql()) +
-       f"""SELECT event, locus, count(*) AS n, {r6('max(p_adj)')} AS p_adj FROM obs JOIN
+       f"""SELECT event, locus, count(*) AS n, {rp('max(p_adj)')} AS p_adj FROM obs JOIN
 (SELECT event, locus, p_adj FROM ({bh(chisq_raw("cells", ["event", "locus"], "hit", "miss"))}) WHERE p_adj < 0.05)
 USING (event, locus) GROUP BY ALL""")
 def _(spark, d):
@@ -101,6 +101,36 @@ def _(spark, d):
     return ranks.signed_rank_by(means, ["mut_type"], "patient", "sample_type", "level", ("tumour", "normal"))
 
 
+SAMPLE_MEANS = "sample_means AS (SELECT patient, sample, immune, avg(ba) AS ba, avg(level) AS level FROM obs GROUP BY ALL)"
+GENE_MEANS = "gene_means AS (SELECT patient, gene, immune, avg(ba) AS ba FROM obs GROUP BY ALL)"
+
+
+def sample_means(spark, d):
+    return observations(spark, d, "patient", "sample", "immune", "ba", "level").groupBy("patient", "sample", "immune").agg(
+        F.avg("ba").alias("ba"), F.avg("level").alias("level"))
+
+
+@query("t4_spearman_exact", with_recursive_ctes(OBS, SAMPLE_MEANS, order_ways(9)) + spearman_exact("sample_means", ["patient"], "level", "ba"))
+def _(spark, d):
+    """Level against affinity over the samples of each patient, a dozen or so."""
+    return ranks.spearman_by(sample_means(spark, d), ["patient"], "level", "ba", exact=True)
+
+
+@query("t5_rank_sum_exact", with_recursive_ctes(OBS, SAMPLE_MEANS, subset_ways(40)) +
+       rank_sum("sample_means", ["patient"], "immune", "ba", ("'cold'", "'hot'"), exact=True))
+def _(spark, d):
+    """Cold against hot samples of each patient."""
+    return ranks.rank_sum_by(sample_means(spark, d), ["patient"], "immune", "ba", ("cold", "hot"), exact=True)
+
+
+@query("t7_signed_rank_exact", with_recursive_ctes(OBS, GENE_MEANS, subset_ways(25)) +
+       signed_rank("gene_means", ["patient"], "gene", "immune", "ba", ("'cold'", "'hot'"), exact=True))
+def _(spark, d):
+    """Cold against hot means of the genes of each patient."""
+    means = observations(spark, d, "patient", "gene", "immune", "ba").groupBy("patient", "gene", "immune").agg(F.avg("ba").alias("ba"))
+    return ranks.signed_rank_by(means, ["patient"], "gene", "immune", "ba", ("cold", "hot"), exact=True)
+
+
 @query("t8_welch_t", BASE + welch("obs", ["locus"], "immune", "ba", ("'cold'", "'hot'")))
 def _(spark, d):
     return moments.welch_t_by(observations(spark, d, "locus", "immune", "ba"), ["locus"], "immune", "ba", ("cold", "hot"))

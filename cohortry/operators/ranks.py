@@ -1,7 +1,10 @@
 """Midranks and the rank tests built on them.
 
 Rows are first reduced to distinct values with counts; ranks come from running
-counts (see :mod:`cohortry.operators.running`). P-values are asymptotic.
+counts (see :mod:`cohortry.operators.running`). P-values are asymptotic. With ``exact``,
+panels without ties (and, where pairs are tested, without zero differences) have exact ones, see
+:mod:`cohortry.functions.exact`; ``method`` names what was used. That is meant for small
+panels: the work for a panel of sizes m and n grows with the square of m*n.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.nullrules import column, divide
+from cohortry.functions.exact import rank_sum_exact, signed_rank_exact, spearman_exact
 from cohortry.functions.tails import chi_square_tail, normal_two_sided, student_two_sided
 from cohortry.operators.running import KEY, Run, clean, cut_ranges, panel, running, settle
 
@@ -48,8 +52,22 @@ def significant_digits(v: Column, digits: int = 12) -> Column:
     return F.when((size > 1e-290) & (size < 1e290), F.round(v / power, digits - 1) * power).otherwise(v)
 
 
+def _p_value(exact: bool, untied: Column, counted: Column, approximate: Column, name: str, form: str) -> list[Column]:
+    """The columns ``p_value`` and ``method`` of a test."""
+    if not exact:
+        return [approximate.alias("p_value"), F.lit(f"{name}, {form}").alias("method")]
+    untied = F.coalesce(untied, F.lit(False))
+    return [F.when(untied, counted).otherwise(approximate).alias("p_value"),
+            F.when(untied, F.lit(f"{name}, exact")).otherwise(F.lit(f"{name}, {form}")).alias("method")]
+
+
+def _only(condition: Column, *columns: str) -> list[Column]:
+    """The columns where ``condition`` holds: a function in Python sees all rows, also those that a CASE leaves out."""
+    return [F.when(condition, F.col(c)) for c in columns]
+
+
 def rank_sum_by(df: DataFrame, by: list[str], group: str, value: str, levels: tuple,
-                buckets: int | None = None) -> DataFrame:
+                buckets: int | None = None, exact: bool = False) -> DataFrame:
     """Two-sample rank-sum test per panel.
 
     ``levels`` are the two values of ``group``; ``statistic`` counts the pairs in
@@ -79,9 +97,10 @@ def rank_sum_by(df: DataFrame, by: list[str], group: str, value: str, levels: tu
         .withColumn("statistic", F.col("_rank_sum") - n1 * (n1 + 1) / 2)
         .withColumn("z", F.try_divide(gap - F.signum(gap) * 0.5, spread))
     )
+    untied = F.col("_ties") == 0
+    counted = rank_sum_exact(*_only(untied, "statistic", "n1", "n2")) if exact else None
     return out.select(*by, "n1", "n2", "statistic", "z",
-                      normal_two_sided("z").alias("p_value"),
-                      F.lit("rank-sum, normal").alias("method"))
+                      *_p_value(exact, untied, counted, normal_two_sided("z"), "rank-sum", "normal"))
 
 
 def kruskal_by(df: DataFrame, by: list[str], group: str, value: str,
@@ -117,8 +136,12 @@ def kruskal_by(df: DataFrame, by: list[str], group: str, value: str,
 
 
 def spearman_by(df: DataFrame, by: list[str], x: str, y: str,
-                buckets: int | None = None) -> DataFrame:
-    """Rank correlation per panel, with the t approximation for its p-value."""
+                buckets: int | None = None, exact: bool = False) -> DataFrame:
+    """Rank correlation per panel, with the t approximation for its p-value.
+
+    With ``exact``, panels without ties of up to nine pairs count all orders, and larger ones take
+    the Edgeworth series of the sum of squared rank gaps.
+    """
     rows = df.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
     cells, buckets = settle(
         _known(rows, "_x", "_y").groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("n")), by, buckets)
@@ -128,12 +151,12 @@ def spearman_by(df: DataFrame, by: list[str], x: str, y: str,
         values = cells.groupBy(*by, v).agg(F.sum("n").alias("n"))
         ranked = midranks(values, by, v, buckets=buckets)
         centred = F.col("midrank") - (F.col("n_panel") + 1) / 2
-        return ranked.select(panel(by).alias(KEY), v, centred.alias(out))
+        return ranked.select(panel(by).alias(KEY), v, centred.alias(out), F.col("n").alias(f"{out}_tied"))
 
     both = cells.join(ranks("_x", "_rx"), [KEY, "_x"]).join(ranks("_y", "_ry"), [KEY, "_y"])
     w, rx, ry = F.col("n"), F.col("_rx"), F.col("_ry")
     sums = both.groupBy(*by).agg(
-        F.sum("n").alias("n"), F.sum(w * rx * ry).alias("_sxy"),
+        F.sum("n").alias("n"), F.max(F.greatest("_rx_tied", "_ry_tied")).alias("_tied"), F.sum(w * rx * ry).alias("_sxy"),
         F.sum(w * rx * rx).alias("_sxx"), F.sum(w * ry * ry).alias("_syy"))
     rho, dof = F.col("rho"), F.col("n") - 2
     out = (
@@ -143,13 +166,14 @@ def spearman_by(df: DataFrame, by: list[str], x: str, y: str,
         .withColumn("_dof", F.when(dof > 0, dof))
         .withColumn("_tail", student_two_sided("_t", "_dof")))
     exact_line = (F.abs(rho) >= 1) & (dof > 0)
-    return out.select(*by, "n", "rho",
-                      F.when(exact_line, F.lit(0.0)).otherwise(F.col("_tail")).alias("p_value"),
-                      F.lit("Spearman, t").alias("method"))
+    untied = (F.col("_tied") == 1) & rho.isNotNull()
+    counted = spearman_exact(*_only(untied, "rho", "n")) if exact else None
+    return out.select(*by, "n", "rho", *_p_value(
+        exact, untied, counted, F.when(exact_line, F.lit(0.0)).otherwise(F.col("_tail")), "Spearman", "t"))
 
 
 def signed_rank_by(df: DataFrame, by: list[str], pair_id: str, group: str, value: str,
-                   levels: tuple, buckets: int | None = None) -> DataFrame:
+                   levels: tuple, buckets: int | None = None, exact: bool = False) -> DataFrame:
     """Paired signed-rank test per panel of first level minus second.
 
     Several values of one pair and level are averaged. ``n_dropped`` counts the
@@ -182,9 +206,10 @@ def signed_rank_by(df: DataFrame, by: list[str], pair_id: str, group: str, value
     gap = F.col("statistic") - n * (n + 1) / 4
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)
     out = sums.withColumn("z", F.try_divide(gap - F.signum(gap) * 0.5, spread))
+    untied = (F.col("_ties") == 0) & (F.col("n_zero") == 0) & (F.col("n_pairs") > 0)
+    counted = signed_rank_exact(*_only(untied, "statistic", "n_pairs")) if exact else None
     return out.select(*by, "n_pairs", "n_zero", "n_dropped", "statistic", "z",
-                      normal_two_sided("z").alias("p_value"),
-                      F.lit("signed-rank, normal").alias("method"))
+                      *_p_value(exact, untied, counted, normal_two_sided("z"), "signed-rank", "normal"))
 
 
 __all__ = ["midranks", "rank_sum_by", "kruskal_by", "spearman_by", "signed_rank_by"]

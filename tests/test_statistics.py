@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import brute
@@ -5,13 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.functions import tails
+from cohortry.functions import exact, keyed, tails
 from cohortry.operators.adjust import p_adjust_bh, significant, stars
 from cohortry.operators.contingency import chisq_by
 from cohortry.operators.mixed import random_intercept
 from cohortry.operators.moments import (
     box_stats_by, median_split, ols_by, quantiles_by, slice_positions, welch_t_by)
-from cohortry.functions import keyed
 from cohortry.operators.permute import permutation_null, permute_label
 from cohortry.operators.ranks import kruskal_by, rank_sum_by, signed_rank_by, spearman_by
 from cohortry.operators import running as running_module
@@ -399,6 +399,44 @@ def test_permutation_of_odd_labels(spark):
     assert permutation_null(df.limit(0), "id", "lab", [], "u", reps=4).count() == 0
 
 
+def test_exact_nulls_against_all_arrangements():
+    for m, n in ((1, 1), (2, 5), (4, 3), (5, 5)):
+        ranks_ = [sum(c) - m * (m - 1) // 2 for c in itertools.combinations(range(m + n), m)]
+        want = [np.mean(np.array(ranks_) <= u) for u in range(m * n + 1)]
+        assert exact.rank_sum_null(m, n) == pytest.approx(want) and exact.rank_sum_null(n, m) == pytest.approx(want)
+    for n in range(1, 9):
+        sums = np.array([sum(c) for k in range(n + 1) for c in itertools.combinations(range(1, n + 1), k)])
+        assert exact.signed_rank_null(n) == pytest.approx([np.mean(sums <= v) for v in range(n * (n + 1) // 2 + 1)])
+    for n in range(2, 9):
+        gaps = np.array([sum((i - r) ** 2 for i, r in enumerate(p)) for p in itertools.permutations(range(n))])
+        for d in np.unique(gaps):
+            rho = 1 - 6 * d / (n ** 3 - n)
+            want = min(1, 2 * min(np.mean(gaps <= d), np.mean(gaps >= d)))
+            assert exact.spearman_two_sided(rho, n) == pytest.approx(want)
+    # The series is close to the count where both are known.
+    for d in range(0, 240, 6):
+        rho = 1 - d / 120
+        near = 2 * (exact.spearman_series(d, 9, False) if d > 120 else exact.spearman_series(d + 2, 9, True))
+        assert min(1, near) == pytest.approx(exact.spearman_two_sided(rho, 9), abs=6e-3)
+
+
+def test_exact_tests_of_panels(spark):
+    values = [("one", "a", v) for v in (1.0, 5.0, 9.0)] + [("one", "b", v) for v in (2.0, 3.0, 4.0, 8.0)]
+    values += [("tied", "a", 1.0), ("tied", "b", 1.0), ("tied", "b", 2.0)]
+    df = spark.createDataFrame(values, "k string, g string, v double")
+    got = {r.k: r for r in rank_sum_by(df, ["k"], "g", "v", ("a", "b"), exact=True).collect()}
+    assert got["one"].method == "rank-sum, exact" and got["one"].p_value == pytest.approx(2 * 14 / 35, abs=0.06)
+    arrangements = [sum(c) for c in itertools.combinations(range(1, 8), 3)]
+    observed = 1 + 5 + 7
+    want = 2 * min(np.mean([a <= observed for a in arrangements]), np.mean([a >= observed for a in arrangements]))
+    assert got["one"].p_value == pytest.approx(min(1, want)) and got["tied"].method == "rank-sum, normal"
+    pairs = spark.createDataFrame([(i, g, v) for i in range(6) for g, v in (("a", i * 1.5), ("b", 3.0 + i * i / 7))], "i long, g string, v double")
+    row = signed_rank_by(pairs, [], "i", "g", "v", ("a", "b"), exact=True).first()
+    assert row.method == "signed-rank, exact" and 0 < row.p_value <= 1
+    line = spark.createDataFrame([(float(i), float(i * i % 11)) for i in range(6)], "x double, y double")
+    assert spearman_by(line, [], "x", "y", exact=True).first().method == "Spearman, exact"
+
+
 def test_tails_reach_the_normal_limit():
     for d in (1e5, 1e6, 1e9, 1e12):
         for t in (0.0, 0.3, 2.0, 6.0):
