@@ -181,10 +181,11 @@ def _sorted_spans(spans: DataFrame, length: int) -> DataFrame:
             gram, chunk = table.column("_gram").to_numpy(), table.column("_chunk").to_numpy()
             group = np.cumsum(np.append(0, (np.diff(gram) != 0) | (np.diff(chunk) != 0)))
             key = group[span] * LONGEST + (place[span] - start)
-            dealt = np.lexsort((start, rank[span], key))
+            dealt = np.argsort(key, kind="stable")
+            changes = np.diff(key[dealt], prepend=-1, append=-1) != 0
+            dealt = dealt[~(changes[:-1] & changes[1:])]  # a string alone with its key is no repeat
             # Places in one span differ in their key, so the span's rank orders the strings of a segment.
-            order, same = sort_suffixes(raw, (base[span] + step)[dealt], np.unique(key[dealt], return_inverse=True)[1],
-                                        rank[span][dealt], length)
+            order, same = sort_suffixes(raw, (base[span] + step)[dealt], key[dealt], rank[span][dealt], length)
             repeated = np.zeros(len(span), bool)
             repeated[dealt[order[same]]] = True
             # Repeated starts that follow each other in one span are one piece of text.
@@ -232,32 +233,29 @@ def _with_bytes(candidates: DataFrame, docs: DataFrame, length: int) -> DataFram
     return read.mapInArrow(run, schema)
 
 
-def _one_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one of the rows that share a key."""
-    keys = ["_none", "_doc", "_tag"]
-    twins = staged(docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select(
-        *[F.col(k).alias(f"{k}_of") for k in keys]), "twins")
-    same = [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys]
-    one = docs.join(twins, same, "left_semi").groupBy(*keys).agg(F.first("_text").alias("_text"))
-    return docs.join(twins, same, "left_anti").unionByName(one)
+def _tagged(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_none`` and ``_tag``, which tells texts apart that share an id, and ``_shared``, whether one does."""
+    shared = staged(rows.groupBy(F.col("_doc").alias("_id")).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1"), "ids")
+    if shared.isEmpty():  # then no text needs to be looked at
+        rows = rows.withColumns({"_tag": F.lit(0).cast("long"), "_shared": F.lit(False)})
+    else:
+        own = F.crc32(F.coalesce("_text", F.lit("")).cast("binary"))
+        rows = split_join(rows, shared.withColumnRenamed("_id", "_doc"), "_doc", "_rows", "left").withColumn(
+            "_shared", F.col("_rows").isNotNull()).withColumn("_tag", F.when(F.col("_shared"), own).otherwise(F.lit(0).cast("long"))).drop("_rows")
+    return rows.withColumn("_none", F.col("_doc").isNull())
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(``_none``, ``_doc``, ``_tag``, ``start``, ``end``): pieces of bytes that strings with an earlier occurrence cover.
+    """What tells the removed bytes of each text: the key columns, ``_at`` and ``end``.
 
-    ``docs`` has the key columns and the bytes ``_text``.
+    A row without ``end`` is an anchor of repeated hash, packed in ``_at``; one with -1 says that this
+    anchor's span is the first of its kind, so it is no repeat as a whole. Other rows are pieces
+    of repeated bytes from ``_at`` to ``end``. ``docs`` has the key columns and the bytes ``_text``.
     """
     seen = staged(_anchor_rows(docs, length, gram, False).groupBy("_gram").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1"), "grams")
     rows = staged(split_join(_anchor_rows(docs, length, gram, True), seen, "_gram", "_rows").drop("_rows")
                   .withColumn("_none", F.col("_doc").isNull()), "anchors")
-    place = F.struct(*PLACE)
-    firsts = staged(rows.groupBy("_gram", "_span").agg(F.min(place).alias("_first")).select("_gram", "_first.*"), "firsts")
-    copies = rows.join(firsts.select(*[F.col(c).alias(f"{c}_of") for c in PLACE]),
-                       [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in PLACE], "left_anti")
-    at, mask = F.col("_at"), F.lit(LONGEST - 1)
-    where = F.shiftright(at, 2 * END_BITS)
-    copied = copies.select(*PLACE[:3], (where - at.bitwiseAND(mask)).alias("start"),
-                           (where - F.shiftright(at, END_BITS).bitwiseAND(mask) + length).alias("end"))
+    firsts = staged(rows.groupBy("_gram", "_span").agg(F.min(F.struct(*PLACE)).alias("_first")).select("_gram", "_first.*"), "firsts")
 
     shared = staged(firsts.groupBy("_gram").agg(F.count(F.lit(1)).alias("_spans")).filter("_spans > 1"), "shared")
     chunks = F.ceil(F.col("_spans") / CHUNK)
@@ -271,8 +269,20 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     keys = ["_none", "_doc", "_tag", "start"]
     again = left.join(first_of.withColumnsRenamed({k: f"{k}_of" for k in keys}),
                       [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys], "left_anti")
-    return copied.unionByName(found.filter("_string IS NULL").drop("_string")).unionByName(
-        again.select(*keys, (F.col("start") + length).alias("end")))
+    key = PLACE[:3]
+    pieces = found.filter("_string IS NULL").select(*key, "start", "end").unionByName(again.select(*keys, (F.col("start") + length).alias("end")))
+    none = F.lit(None).cast("long")
+    return rows.select(*key, "_at", none.alias("end")).unionByName(
+        firsts.select(*key, "_at", F.lit(-1).cast("long").alias("end"))).unionByName(pieces.withColumnRenamed("start", "_at"))
+
+
+def _spans(events: list[dict], length: int) -> list[tuple[int, int]]:
+    """The removed spans of one text from the rows that :func:`repeats` has for it."""
+    firsts = {e["_at"] for e in events if e["end"] == -1}
+    copies = np.array([e["_at"] for e in events if e["end"] is None and e["_at"] not in firsts], np.int64)
+    first, last = _starts(copies)
+    pieces = [(e["_at"], e["end"]) for e in events if (e["end"] or -1) >= 0]
+    return merged(sorted([*zip(first.tolist(), (last + length).tolist(), strict=True), *pieces]))
 
 
 def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -290,23 +300,25 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     """
     if not gram < length < LONGEST:
         raise ValueError(f"gram < length < {LONGEST} is needed")
-    raw = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    key = [F.col(f"`{doc_id}`").isNull().alias("_none"), F.col(f"`{doc_id}`").alias("_doc"), F.crc32(raw).alias("_tag")]
-    keyed = docs.select(*key, raw.alias("_text"))
-    pieces = repeats(_one_each(keyed), length, gram).groupBy("_none", "_doc", "_tag").agg(
-        F.collect_set(F.struct("start", "end")).alias("_pieces")).withColumnsRenamed(
-        {"_none": "_none_of", "_doc": "_doc_of", "_tag": "_tag_of"})
-    own = ("removed", "kept")
+    own, key = ("removed", "kept"), PLACE[:3]
     others = [c for c in docs.columns if c not in own]
-    rows = docs.select(F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in others if c != text]).alias("_row"), *key,
-                       F.col(f"`{text}`").alias("_text"))
-    joined = rows.join(pieces, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in ("_none", "_doc", "_tag")], "left")
+    rows = _tagged(docs.select(F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in others if c != text]).alias("_row"),
+                               F.col(f"`{doc_id}`").alias("_doc"), F.col(f"`{text}`").alias("_text")))
+    raw = rows.select(*key, "_shared", F.coalesce("_text", F.lit("")).cast("binary").alias("_text"))
+    if rows.filter("_shared").isEmpty():
+        raw = raw.drop("_shared")
+    else:  # rows with the same key are one text
+        raw = raw.filter("NOT _shared").drop("_shared").unionByName(
+            raw.filter("_shared").groupBy(*key).agg(F.first("_text").alias("_text")))
+    pieces = repeats(raw, length, gram).groupBy(*key).agg(
+        F.collect_list(F.struct("_at", "end")).alias("_pieces")).withColumnsRenamed({k: f"{k}_of" for k in key})
+    joined = rows.join(pieces, [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in key], "left")
 
     def compute(batch: pa.RecordBatch) -> list:
         removed, kept = [], []
         for raw, found in zip(texts_of(batch, "_text"), batch.column("_pieces").to_pylist(), strict=True):
             raw = raw.encode()
-            spans = merged(sorted((p["start"], p["end"]) for p in found or ()))
+            spans = _spans(found, length) if found else []
             removed.append([{"start": a, "end": b} for a, b in spans])
             edges = [0, *[x for s in spans for x in s], len(raw)]
             kept.append(b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]) if spans else raw)

@@ -96,22 +96,22 @@ def sort_suffixes(raw: np.ndarray, at: np.ndarray, segment: np.ndarray, rank: np
     half = 1
     while half < sizes.max(initial=0):
         # Each place finds, by binary search, how many of the other half go before it.
-        pair = inside // (2 * half) * (2 * half)
-        right = inside - pair >= half
+        active = np.flatnonzero(size_of > half)  # whole segments that are not sorted yet
+        place, begin = inside[active], first_of[active]
+        pair = place // (2 * half) * (2 * half)
+        right = place - pair >= half
         other = pair + np.where(right, 0, half)
-        n_other = np.clip(size_of - other, 0, half)
-        low, high = np.zeros(n, np.int64), n_other.copy()
+        low, high = np.zeros(len(active), np.int64), np.clip(size_of[active] - other, 0, half)
+        own, other = order[active], begin + other
         live = np.flatnonzero(high > 0)
         while len(live):
             middle = (low[live] + high[live]) >> 1
-            goes = before(order[(first_of + other)[live] + middle], order[live])
+            goes = before(order[other[live] + middle], own[live])
             low[live] = np.where(goes, middle + 1, low[live])
             high[live] = np.where(goes, high[live], middle)
             live = live[low[live] < high[live]]
-        place = first_of + pair + np.where(right, inside - pair - half, inside - pair) + low
-        merged = np.empty(n, np.int64)
-        merged[place] = order
-        order, half = merged, 2 * half
+        order[begin + place - np.where(right, half, 0) + low] = own
+        half *= 2
     same = np.zeros(n, bool)
     near = np.flatnonzero(segment[1:] == segment[:-1]) + 1
     i, j = at[order[near - 1]], at[order[near]]
