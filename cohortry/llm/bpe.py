@@ -36,7 +36,7 @@ WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: Stretches that can be encoded apart: every pre-token lies within one of them.
 STRETCH = rf"[{WHITE}]+(?![^{WHITE}])| ?[^{WHITE}]+|[{WHITE}]"
-#: Remembered pieces per generation (two are kept), and the longest that is remembered.
+#: Remembered pieces, and pre-tokens, per generation (two are kept), and the longest that is remembered.
 REMEMBERED, LONGEST = 1 << 18, 48
 #: Bits of an id and of a place in a pre-token, where several share one number.
 ID_BITS, PLACE_BITS = 20, 40
@@ -70,6 +70,7 @@ class Bpe:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a] << ID_BITS | vocab[b]] = rank << ID_BITS | vocab[a + b]
         self.pre_token = regex.compile(PRE_TOKEN)
+        self.recent, self.earlier = {}, {}  # ids of pre-tokens, which many pieces share
 
     def merge(self, raw: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -103,11 +104,19 @@ class Bpe:
         return [s for s in symbols if s != NONE]
 
     def stretch(self, text: str) -> list[int]:
-        out = []
+        out, get, learn = [], self.recent.get, self._learn
         for word in self.pre_token.findall(text):
-            out += self.merge(word.encode())
+            out += get(word) or learn(word)
         return out
 
+    def _learn(self, word: str) -> list[int]:
+        ids = self.earlier.get(word) or self.merge(word.encode())
+        if len(word) <= LONGEST:
+            if len(self.recent) >= REMEMBERED:
+                self.recent, self.earlier = {}, self.recent
+            self.recent[word] = ids
+        return ids
+
     def decode(self, ids) -> str:
         words = self.words
         return b"".join([words[i] for i in ids]).decode(errors="replace")
