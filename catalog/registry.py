@@ -22,8 +22,8 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-#: Columns of probabilities, whose small values keep their digits.
-PROBABILITIES = ("p_value", "p_adj")
+#: Columns of probabilities, and how names of others end; their small values keep their digits.
+PROBABILITIES, ENDING = ("p_value", "p_adj"), "_p"
 SMALL = 1e-3
 
 
@@ -38,7 +38,7 @@ def tidy(df: DataFrame) -> DataFrame:
         if not isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             return value
         plain = F.round(value + F.lit(1e-10), 6) + F.lit(0.0)
-        if field.name in PROBABILITIES:
+        if field.name in PROBABILITIES or field.name.endswith(ENDING):
             digits = F.format_string("%.5e", value.cast("double")).cast("double")
             plain = F.when((value > 0) & (value < SMALL), digits).otherwise(plain)
         return plain.alias(field.name)

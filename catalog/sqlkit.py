@@ -29,7 +29,7 @@ def rp(expr: str) -> str:
 
 
 def tidy(sql: str, plain=(), rounded=(), tail: str = "") -> str:
-    cols = [*plain, *[f"{rp(c) if c in ('p_value', 'p_adj') else r6(c)} AS {c}" for c in rounded]]
+    cols = [*plain, *[f"{rp(c) if c in ('p_value', 'p_adj') or c.endswith('_p') else r6(c)} AS {c}" for c in rounded]]
     return f"SELECT {', '.join(cols)} FROM ({sql}) {tail}"
 
 
@@ -330,6 +330,35 @@ def cox(steps: int = 9) -> str:
                 ["coef", "std_err", "z", "loglik_null", "loglik", "hazard_ratio", "p_value"])
 
 
+def concordance_cte(src: str, time: str, event: str, covariates) -> str:
+    """All comparable pairs of each covariate, an event and a subject still at risk, one by one."""
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS covariate, {time} AS time, {event} AS died, {digits12(c)} AS x FROM {src} "
+                              f"WHERE {c} IS NOT NULL AND {time} IS NOT NULL AND {event} IS NOT NULL" for c in covariates)
+    return (f"order_ AS MATERIALIZED (WITH p AS MATERIALIZED (SELECT *, row_number() OVER () AS i FROM ({rows})), "
+            "pairs AS (SELECT a.covariate, a.i, b.i AS j, sign(a.x - b.x) AS s FROM p a JOIN p b ON a.covariate = b.covariate AND a.died = 1 "
+            "AND (a.time < b.time OR (a.time = b.time AND b.died = 0))), "
+            "shares AS (SELECT covariate, count_if(s > 0) AS good, count_if(s < 0) AS bad, count_if(s = 0) AS tied, "
+            "(count_if(s > 0) + count_if(s = 0) / 2.0::DOUBLE) / count(*) AS c, CAST(count(*) AS DOUBLE) AS n FROM pairs GROUP BY 1), "
+            "each AS (SELECT covariate, i, sum((s + 1) / 2.0::DOUBLE) AS g, CAST(count(*) AS DOUBLE) AS m FROM "
+            "(SELECT covariate, i, s FROM pairs UNION ALL SELECT covariate, j, s FROM pairs) GROUP BY 1, 2) "
+            "SELECT covariate, good, bad, tied, c, sqrt(sum(pow((g - c * m) / n, 2))) AS se FROM each JOIN shares USING (covariate) GROUP BY ALL)")
+
+
+def cox_summary(steps: int = 9) -> str:
+    fit = (f"SELECT covariate, n, n_event, f.beta AS coef, exp(f.beta) AS hazard_ratio, 1 / sqrt(f.info) AS std_err, f.beta * sqrt(f.info) AS z, "
+           f"abs(f.score) < 1e-6 * sqrt(f.info) AS converged, exp(f.beta - 1.959963984540054 / sqrt(f.info)) AS ratio_low, "
+           f"exp(f.beta + 1.959963984540054 / sqrt(f.info)) AS ratio_high, 2 * (f.ll - g0.ll) AS likelihood_ratio, f.beta * f.beta * f.info AS wald, "
+           f"g0.score * g0.score / g0.info AS score_test, CASE WHEN f.beta < 0 THEN bad ELSE good END AS n_concordant, "
+           f"CASE WHEN f.beta < 0 THEN good ELSE bad END AS n_discordant, tied AS n_tied, CASE WHEN f.beta < 0 THEN 1 - c ELSE c END AS concordance, "
+           f"se AS concordance_se FROM g{steps - 1} f JOIN g0 USING (covariate) JOIN order_ USING (covariate) JOIN (SELECT covariate, count(*) AS n, "
+           f"CAST(sum(died) AS BIGINT) AS n_event FROM cells_ GROUP BY 1) USING (covariate)")
+    tests = ", ".join(f"{chi_tail(t, '1')} AS {t}_p" for t in ("likelihood_ratio", "wald", "score_test"))
+    return tidy(f"SELECT *, {normal_tail('z')} AS p_value, {tests} FROM ({fit})",
+                ["covariate", "n", "n_event", "converged", "n_concordant", "n_discordant", "n_tied"],
+                ["coef", "hazard_ratio", "std_err", "z", "p_value", "ratio_low", "ratio_high", "likelihood_ratio", "likelihood_ratio_p", "wald",
+                 "wald_p", "score_test", "score_test_p", "concordance", "concordance_se"])
+
+
 def reml_ctes(src: str, y: str, x: str, g: str, rounds: int = 8) -> list[str]:
     """Likelihood of a random intercept on a grid of variance ratios, refined."""
     out = [f"rows__ AS MATERIALIZED (SELECT CAST({x} AS DOUBLE) - avg(CAST({x} AS DOUBLE)) OVER () AS x, {y} - avg({y}) OVER () AS y, {g} AS g, "

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.cohort import OBS, SURVIVAL, observations, survival, table, with_ctes, with_recursive_ctes
 from catalog.registry import query
-from catalog.sqlkit import (bh, box, chisq, chisq_raw, cox, cox_ctes, feistel_ctes, km, kruskal, log_rank, order_ways,
+from catalog.sqlkit import (bh, box, chisq, chisq_raw, concordance_cte, cox, cox_ctes, cox_summary, feistel_ctes, km, kruskal, log_rank, order_ways,
                             r6, rank_sum, rp, reml, reml_ctes, signed_rank, spearman, spearman_exact, subset_ways, tidy, welch)
 from cohortry.operators import adjust, contingency, mixed, moments, permute, ranks
 from cohortry.operators import survival as surv
@@ -186,6 +186,13 @@ def _(spark, d):
     return surv.cox_ph(burden.join(survival(spark, d), "patient"), "os_time", "cens_os", COVARIATES)
 
 
+@query("t12_cox_summary", with_ctes(OBS, SURVIVAL, COX_TABLE, *cox_ctes("burdens", "os_time", "cens_os", COVARIATES), concordance_cte("burdens", "os_time", "cens_os", COVARIATES)) + cox_summary())
+def _(spark, d):
+    burden = observations(spark, d, "patient", "event", "level").groupBy("patient").agg(
+        F.count_distinct("event").alias("burden"), (F.avg("level") * 100).alias("mean_level"))
+    return surv.cox_summary(burden.join(survival(spark, d), "patient"), "os_time", "cens_os", COVARIATES)
+
+
 SURV = with_ctes(SURVIVAL)
 
 

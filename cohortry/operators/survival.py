@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.tails import chi_square_tail, log_rank_form, normal_two_sided
+from cohortry.operators.ranks import significant_digits
 from cohortry.operators.running import BUCKET, KEY, Run, clean, cut_ranges, running, settle
 from cohortry.session import staged
 
@@ -101,9 +102,17 @@ def cox_ph(df: DataFrame, time: str, event: str, covariates: list[str],
            max_steps: int = 25, tolerance: float = 1e-9, buckets: int | None = None) -> DataFrame:
     """One proportional-hazards fit per covariate, each on its own; Efron ties.
 
+    A fit that does not converge has ``converged`` false.
+    """
+    return _cox_fits(df, time, event, covariates, max_steps, tolerance, buckets).drop("score_test")
+
+
+def _cox_fits(df: DataFrame, time: str, event: str, covariates: list[str],
+              max_steps: int = 25, tolerance: float = 1e-9, buckets: int | None = None) -> DataFrame:
+    """The fits of :func:`cox_ph` and the score test of no effect.
+
     All covariates advance together: a Newton step is one aggregate over the
-    staged distinct (covariate, time, value) counts and returns five numbers per
-    covariate. A fit that does not converge has ``converged`` false.
+    staged distinct (covariate, time, value) counts and returns three numbers per covariate.
     """
     rows = _timed(df, time, event).select(
         "_time", "_died", *[F.col(c).cast("double").alias(c) for c in covariates])
@@ -161,6 +170,7 @@ def cox_ph(df: DataFrame, time: str, event: str, covariates: list[str],
     null_loglik = {c: state.get(c, (0.0, 0.0, 0.0))[0] for c in names}
     done, usable, steps = set(), set(), 0
     usable = {c for c in names if c in state and state[c][2] > 1e-12}
+    score_test = {c: state[c][1] ** 2 / state[c][2] for c in usable}
     step = {c: state[c][1] / state[c][2] for c in usable}
     while steps < max_steps and usable - done:
         steps += 1
@@ -186,9 +196,95 @@ def cox_ph(df: DataFrame, time: str, event: str, covariates: list[str],
         results.append((
             c, int(shape[c]["n"]), int(shape[c]["n_event"]),
             coef if c in usable else None, error, coef / error if error else None,
-            null_loglik[c], state[c][0] if c in state else None, c in done))
+            null_loglik[c], state[c][0] if c in state else None, c in done, score_test.get(c)))
     fits = df.sparkSession.createDataFrame(
         results, "covariate string, n long, n_event long, coef double, std_err double, "
-                 "z double, loglik_null double, loglik double, converged boolean")
+                 "z double, loglik_null double, loglik double, converged boolean, score_test double")
     return fits.withColumn("hazard_ratio", F.exp("coef")).withColumn(
         "p_value", normal_two_sided("z"))
+
+
+def concordance(df: DataFrame, time: str, event: str, covariates: list[str], buckets: int | None = None) -> DataFrame:
+    """How often, of two subjects, the one with the larger value has its event first; a row per covariate.
+
+    A pair counts if one had its event while the other was still at risk; two events at one time do
+    not count. ``concordance`` is the share of pairs in order, ties in value as a half, and ``std_err``
+    comes from the influence of each subject on that share (infinitesimal jackknife). Values are compared
+    to 12 significant digits, as in the rank tests.
+
+    No pair is made. Times are numbered, and a pair is counted at the highest bit in which its
+    two numbers differ: there both lie in one block, the earlier in its lower half and the
+    later in its upper half. So each distinct (time, value) has one row per bit, and running sums
+    over the values of a block give the partners of a row below, at and above its value.
+    """
+    rows = _timed(df, time, event).select("_time", "_died", *[significant_digits(F.col(c).cast("double")).alias(c) for c in covariates])
+    long = rows.unpivot(["_time", "_died"], list(covariates), "covariate", "_x").filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    counts, parts = settle(long.groupBy("covariate", "_time", "_died", "_x").agg(F.count(F.lit(1)).alias("_n")), ["covariate"], buckets)
+    times = counts.groupBy("covariate", "_time").agg(F.lit(1).cast("long").alias("_one"))
+    ranked = clean(running(cut_ranges(times, ["covariate"], "_time", parts, used=["_one"]), "_time", [Run("_rank", "_one")]))
+    # At one time the censored are still at risk, so they come after the events.
+    code = 2 * F.col("_rank") + F.when(F.col("_died") == 1, F.lit(0)).otherwise(F.lit(1))
+    cells = staged(counts.join(ranked.select("covariate", "_time", "_rank"), ["covariate", "_time"]).select(
+        "covariate", code.alias("_code"), (F.col("_died") == 1).alias("_event"), "_x", "_n"))
+    bits = int(cells.agg(F.max("_code")).first()[0] or 0).bit_length()
+    block = ["covariate", "_bit", "_prefix"]
+    split = cells.withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(max(bits - 1, 0))))).withColumn(
+        "_prefix", F.expr("shiftright(_code, _bit + 1)")).withColumn("_upper", F.expr("shiftright(_code, _bit) & 1") == 1)
+    sides = split.groupBy(*block, "_x").agg(
+        F.sum(F.when(F.col("_upper"), F.col("_n")).otherwise(F.lit(0))).alias("_later"),
+        F.sum(F.when(~F.col("_upper") & F.col("_event"), F.col("_n")).otherwise(F.lit(0))).alias("_events"))
+    # Blocks without a pair need no sums.
+    sides, parts = settle(sides, block, buckets)
+    summed = clean(running(cut_ranges(sides, block, "_x", parts, used=["_later", "_events"]), "_x", [
+        Run("_later_upto", "_later", total="_later_all"), Run("_events_upto", "_events", total="_events_all")]))
+    seen = split.join(summed, [*block, "_x"])
+    upper, first = F.col("_upper"), ~F.col("_upper") & F.col("_event")
+    zero = F.lit(0).cast("long")
+    below, above = F.col("_later_upto") - F.col("_later"), F.col("_later_all") - F.col("_later_upto")
+    weaker, stronger = F.col("_events_upto") - F.col("_events"), F.col("_events_all") - F.col("_events_upto")
+    each = seen.groupBy("covariate", "_code", "_x").agg(
+        F.first("_n").cast("double").alias("_n"),
+        F.sum(F.when(first, below).when(upper, stronger).otherwise(zero)).cast("double").alias("_good"),
+        F.sum(F.when(first, above).when(upper, weaker).otherwise(zero)).cast("double").alias("_bad"),
+        F.sum(F.when(first, F.col("_later")).when(upper, F.col("_events")).otherwise(zero)).cast("double").alias("_tied"))
+    n, good, tied = F.col("_n"), F.col("_good") + F.col("_tied") / 2, F.col("_tied")
+    pairs = F.col("_good") + F.col("_bad") + tied
+    sums = each.groupBy("covariate").agg(
+        (F.sum(n * F.col("_good")) / 2).alias("_c"), (F.sum(n * F.col("_bad")) / 2).alias("_d"), (F.sum(n * tied) / 2).alias("_t"),
+        F.sum(n * good * good).alias("_gg"), F.sum(n * good * pairs).alias("_gp"), F.sum(n * pairs * pairs).alias("_pp"))
+    every = F.col("_c") + F.col("_d") + F.col("_t")
+    share = F.col("concordance")
+    return sums.withColumn("concordance", F.try_divide(F.col("_c") + F.col("_t") / 2, every)).select(
+        "covariate", F.col("_c").cast("long").alias("n_concordant"), F.col("_d").cast("long").alias("n_discordant"),
+        F.col("_t").cast("long").alias("n_tied"), "concordance",
+        F.try_divide(F.sqrt(F.greatest(F.col("_gg") - 2 * share * F.col("_gp") + share * share * F.col("_pp"), F.lit(0.0))), every).alias("std_err"))
+
+
+#: Fixed value: the 97.5 % point of the normal distribution.
+NORMAL_975 = 1.959963984540054
+
+
+def cox_summary(df: DataFrame, time: str, event: str, covariates: list[str], buckets: int | None = None) -> DataFrame:
+    """The fits of :func:`cox_ph` with 95 % limits, likelihood-ratio, Wald and score tests, and concordance.
+
+    Concordance is that of the fitted risk, so values count downwards where the coefficient is negative.
+    """
+    fits = staged(_cox_fits(df, time, event, covariates, buckets=buckets))
+    order = concordance(df, time, event, covariates, buckets).withColumnRenamed("std_err", "concordance_se")
+    falls = F.col("coef") < 0
+    ratio = 2 * (F.col("loglik") - F.col("loglik_null"))
+    wald = F.col("z") * F.col("z")
+    one = F.lit(1)
+
+    def limit(sign: int) -> Column:
+        return F.exp(F.col("coef") + sign * NORMAL_975 * F.col("std_err"))
+
+    return fits.join(order, "covariate", "left").select(
+        "covariate", "n", "n_event", "coef", "hazard_ratio", "std_err", "z", "p_value", "converged",
+        limit(-1).alias("ratio_low"), limit(1).alias("ratio_high"),
+        ratio.alias("likelihood_ratio"), chi_square_tail(ratio, one).alias("likelihood_ratio_p"),
+        wald.alias("wald"), chi_square_tail(wald, one).alias("wald_p"),
+        "score_test", chi_square_tail("score_test", one).alias("score_test_p"),
+        F.when(falls, F.col("n_discordant")).otherwise(F.col("n_concordant")).alias("n_concordant"),
+        F.when(falls, F.col("n_concordant")).otherwise(F.col("n_discordant")).alias("n_discordant"), "n_tied",
+        F.when(falls, 1 - F.col("concordance")).otherwise(F.col("concordance")).alias("concordance"), "concordance_se")

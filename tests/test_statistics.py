@@ -16,7 +16,7 @@ from cohortry.operators.permute import permutation_null, permute_label
 from cohortry.operators.ranks import kruskal_by, rank_sum_by, signed_rank_by, spearman_by
 from cohortry.operators import running as running_module
 from cohortry.operators.running import Run, clean, cut_ranges, running
-from cohortry.operators.survival import cox_ph, kaplan_meier, log_rank
+from cohortry.operators.survival import concordance, cox_ph, kaplan_meier, log_rank
 
 BUCKETS = [None, 7]
 
@@ -399,6 +399,31 @@ def test_permutation_of_odd_labels(spark):
     assert permutation_null(df.limit(0), "id", "lab", [], "u", reps=4).count() == 0
 
 
+@pytest.mark.parametrize("buckets", BUCKETS)
+def test_concordance_against_all_pairs(spark, buckets):
+    rng = np.random.default_rng(3)
+    rows = [(float(rng.integers(1, 12)), int(rng.integers(2)), float(rng.integers(0, 6)), float(rng.normal())) for _ in range(70)]
+    rows += [(5.0, 1, None, 0.1), (None, 1, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "t double, e int, x double, y double")
+    got = {r.covariate: r for r in concordance(df, "t", "e", ["x", "y"], buckets).collect()}
+    for name, k in (("x", 2), ("y", 3)):
+        known = [r for r in rows if r[0] is not None and r[k] is not None]
+        pairs = [(i, j, np.sign(a[k] - b[k])) for i, a in enumerate(known) for j, b in enumerate(known)
+                 if a[1] == 1 and (a[0] < b[0] or (a[0] == b[0] and b[1] == 0))]
+        signs = np.array([s for _, _, s in pairs])
+        share = np.mean((signs + 1) / 2)
+        good, n = np.zeros(len(known)), np.zeros(len(known))
+        for i, j, s in pairs:
+            for at in (i, j):
+                good[at] += (s + 1) / 2
+                n[at] += 1
+        row = got[name]
+        assert (row.n_concordant, row.n_discordant, row.n_tied) == ((signs > 0).sum(), (signs < 0).sum(), (signs == 0).sum())
+        assert row.concordance == pytest.approx(share)
+        assert row.std_err == pytest.approx(math.sqrt(((good - share * n) ** 2).sum()) / len(pairs))
+    assert concordance(df.limit(0), "t", "e", ["x"]).count() == 0
+
+
 def test_exact_nulls_against_all_arrangements():
     for m, n in ((1, 1), (2, 5), (4, 3), (5, 5)):
         ranks_ = [sum(c) - m * (m - 1) // 2 for c in itertools.combinations(range(m + n), m)]
