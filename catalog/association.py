@@ -9,7 +9,7 @@ from catalog.ingest import NEO, PREPARED
 from catalog.registry import query
 from catalog.sqlkit import bh, box, chisq, chisq_raw, r6, rank_sum, signed_rank, tidy, welch
 from catalog.statistics import SHUFFLE, shuffle_rows
-from cohortry.operators import moments, ranks, reshape
+from cohortry.operators import moments, ranks
 from cohortry.operators.adjust import significant_rows
 from cohortry.operators.grouped import parent_share
 from cohortry.operators.joins import natural_join
@@ -319,6 +319,7 @@ def _(spark, d):
     return association.cell_counts(marked, ["event", "allele", "immune", "neoantigenic"])
 
 
+#: The alleles of the given tables, for the SQL side; the Spark side finds its columns in the data.
 HEAT = [a for a in ALLELES if "DRB1" not in a and "DQB1" not in a]
 
 
@@ -333,7 +334,7 @@ def heat_sql(unit, where, value):
 @query("d21_share_matrix", heat_sql("tumour", "true", "n / CAST(total AS DOUBLE)"))
 def _(spark, d):
     shares = parent_share(nonsyn(spark, d).filter(ONE), ["event", "allele"], ["allele"], "tumour")
-    return reshape.wide_from_long(shares, ["event"], "allele", "share", HEAT, fill=0.0, drop_unlisted=True)
+    return association.heat_matrix(shares, "share")
 
 
 @query("d21_row_annotation", BASE + f"""SELECT event, count(DISTINCT tumour) AS nb_unit, bool_or(in_normal) AS in_normal FROM obs
@@ -358,13 +359,13 @@ def class_cells(spark, d):
 
 @query("d22_hot_share_matrix", heat_sql("sample", HOT, "n / CAST(total AS DOUBLE)"))
 def _(spark, d):
-    return reshape.wide_from_long(class_cells(spark, d).filter("immune = 'hot'"), ["event"], "allele", "share", HEAT, fill=0.0, drop_unlisted=True)
+    return association.heat_matrix(class_cells(spark, d).filter("immune = 'hot'"), "share")
 
 
 @query("d22_hot_count_matrix", heat_sql("sample", HOT, "n"))
 def _(spark, d):
     hot = class_cells(spark, d).filter("immune = 'hot'").withColumn("n_item", F.col("n_item").cast("double"))
-    return reshape.wide_from_long(hot, ["event"], "allele", "n_item", HEAT, fill=0.0, drop_unlisted=True)
+    return association.heat_matrix(hot, "n_item")
 
 
 CLASS_LONG = f"""cells AS (SELECT event, allele, immune, n, n / CAST(total AS DOUBLE) AS share FROM (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.cohort import (CELLS, EXPRESSION, GENES, LOH, OBS, cell_scores, expression, loh, observations, samples,
+from catalog.cohort import (CELLS, EXPRESSION, LOH, OBS, cell_scores, expression, loh, observations, samples,
                             with_ctes)
 from catalog.ingest import DE, EVENT_FEATURES, FEATURES, LOST, NEO, PREPARED, de_results
 from catalog.registry import query
@@ -582,18 +582,11 @@ both_ AS (SELECT classed.* FROM classed JOIN (SELECT tumour, gene FROM classed W
   HAVING count(DISTINCT immune) > 1) USING (tumour, gene) WHERE immune IS NOT NULL)"""
 
 
-def wide_expression(spark, d):
-    """One row per sample, one column per gene."""
+def long_expression(spark, d):
+    """Mean expression per sample and gene, with what is known of the sample."""
     cells = observations(spark, d, "sample", "gene", "ba").filter("ba is not null").groupBy("sample", "gene").agg(
         F.avg("ba").alias("expression"))
-    return reshape.wide_from_long(cells, ["sample"], "gene", "expression", GENES, drop_unlisted=True)
-
-
-def long_expression(spark, d):
-    wide = wide_expression(spark, d)
-    long = reshape.long_from_wide(wide, ["sample"], [f"`{g}`" for g in GENES], "gene", "expression")
-    info = samples(spark, d).select("sample", "tumour", "immune", "sample_type", "patient")
-    return natural_join(long.filter("expression is not null"), info)
+    return natural_join(cells, samples(spark, d).select("sample", "tumour", "immune", "sample_type", "patient"))
 
 
 def expression_both(spark, d):

@@ -274,6 +274,34 @@ def km(src: str, by, time: str, event: str) -> str:
             f"{r6('CASE WHEN survival > 0 THEN survival * sqrt(g) END')} AS std_err FROM ({surv})")
 
 
+def _km_raw(src: str, by, time: str, event: str) -> str:
+    """The curve by a product over earlier times, found pair by pair."""
+    counts = _at_risk(src, by, time, event)
+    up = f"({part(by)}ORDER BY time)"
+    risk = f"SELECT *, CAST(sum(n) OVER ({part(by)}ORDER BY time DESC) AS BIGINT) AS y FROM ({counts})"
+    return (f"SELECT *, CASE WHEN max(CASE WHEN d = y THEN 1 ELSE 0 END) OVER {up} = 1 THEN 0.0 "
+            f"ELSE product(1 - d / CAST(y AS DOUBLE)) OVER {up} END AS s, "
+            f"sum(CASE WHEN d < y THEN d / (CAST(y AS DOUBLE) * (y - d)) ELSE 0 END) OVER {up} AS g FROM ({risk})")
+
+
+def risk_table(src: str, by, time: str, event: str, at) -> str:
+    asked = ", ".join(f"({float(t)!r}::DOUBLE)" for t in at)
+    rows = (f"SELECT {keys(by)}t_ AS time, coalesce(sum(n) FILTER (c.time >= t_), 0) AS y, coalesce(sum(d) FILTER (c.time <= t_), 0) AS e, "
+            f"coalesce(arg_max(s, c.time) FILTER (c.time <= t_), 1.0) AS s, coalesce(arg_max(g, c.time) FILTER (c.time <= t_), 0.0) AS g "
+            f"FROM ({_km_raw(src, by, time, event)}) c, (VALUES {asked}) v(t_) GROUP BY {keys(by)}t_")
+    return (f"SELECT {keys(by)}time, CAST(y AS BIGINT) AS n_risk, CAST(e AS BIGINT) AS events_so_far, {r6('s')} AS survival, "
+            f"{r6('CASE WHEN s > 0 THEN s * sqrt(g) END')} AS std_err FROM ({rows})")
+
+
+def median_survival(src: str, by, time: str, event: str) -> str:
+    lines = {"median": "s", "median_low": "CASE WHEN s > 0 THEN s * exp(-1.959963984540054 * sqrt(g)) END",
+             "median_high": "CASE WHEN s > 0 THEN least(1.0, s * exp(1.959963984540054 * sqrt(g))) END"}
+    ends = ", ".join(f"(min(CASE WHEN {e} < 0.5 + 1.5e-8 THEN time END) + coalesce(min(CASE WHEN {e} < 0.5 - 1.5e-8 THEN time END), "
+                     f"min(CASE WHEN {e} < 0.5 + 1.5e-8 THEN time END))) / 2.0 AS {name}" for name, e in lines.items())
+    rows = f"SELECT {keys(by)}CAST(sum(n) AS BIGINT) AS n, CAST(sum(d) AS BIGINT) AS n_event, {ends} FROM ({_km_raw(src, by, time, event)}) {group(by)}"
+    return tidy(rows, [*by, "n", "n_event"], list(lines))
+
+
 def log_rank(src: str, by, time: str, event: str, g: str, levels, names) -> str:
     a, b = levels
     counts = (f"SELECT {keys(by)}{time} AS time, count_if({g} = {a}) AS n0, count_if({g} = {b}) AS n1, "

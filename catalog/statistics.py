@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from catalog.cohort import OBS, SURVIVAL, observations, survival, table, with_ctes, with_recursive_ctes
 from catalog.registry import query
-from catalog.sqlkit import (bh, box, chisq, chisq_raw, concordance_cte, cox, cox_ctes, cox_summary, feistel_ctes, km, kruskal, log_rank, order_ways,
-                            r6, rank_sum, rp, reml, reml_ctes, signed_rank, spearman, spearman_exact, subset_ways, tidy, welch)
+from catalog.sqlkit import (bh, box, chisq, chisq_raw, concordance_cte, cox, cox_ctes, cox_summary, feistel_ctes, km, kruskal, log_rank, median_survival, order_ways,
+                            r6, rank_sum, rp, reml, reml_ctes, risk_table, signed_rank, spearman, spearman_exact, subset_ways, tidy, welch)
 from cohortry.operators import adjust, contingency, mixed, moments, permute, ranks
 from cohortry.operators import survival as surv
 from cohortry.operators.running import Run, clean, cut_ranges, running, settle
@@ -201,6 +201,19 @@ def _(spark, d):
     return surv.kaplan_meier(survival(spark, d), "dfs_time", "cens_dfs", ["stage"])
 
 
+RISK_DAYS = [0, 365, 730, 1095, 1460, 1825, 2190, 4000]
+
+
+@query("t13_risk_table", SURV + risk_table("survival", ["stage"], "dfs_time", "cens_dfs", RISK_DAYS))
+def _(spark, d):
+    return surv.risk_table(survival(spark, d), "dfs_time", "cens_dfs", RISK_DAYS, ["stage"])
+
+
+@query("t13_median", SURV + median_survival("survival", ["stage", "sex"], "os_time", "cens_os"))
+def _(spark, d):
+    return surv.median_survival(survival(spark, d), "os_time", "cens_os", ["stage", "sex"])
+
+
 @query("t14_log_rank", SURV + log_rank("survival", [], "os_time", "cens_os", "sex", ("'Female'", "'Male'"), ("Female", "Male")))
 def _(spark, d):
     return surv.log_rank(survival(spark, d), "os_time", "cens_os", "sex", levels=["Female", "Male"])

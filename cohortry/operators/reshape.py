@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 #: Name of the column for a missing name.
 NO_NAME = "NA"
+#: Names that are looked up for columns, at most: each becomes a column of the plan.
+MOST_COLUMNS = 10_000
 
 
 def wide_from_long(df: DataFrame, rows: list[str], names_from: str, values_from: str,
-                   names: list | None = None, fill=None, drop_unlisted: bool = False) -> DataFrame:
+                   names: list | None = None, fill=None, drop_unlisted: bool = False,
+                   most: int = MOST_COLUMNS) -> DataFrame:
     """One row per ``rows`` key, one column per name; a missing name has the column ``NA``.
 
-    Without ``names`` they are looked up in the data. With ``names``, a row of another name
+    Without ``names`` they are looked up in the data; more than ``most`` of them are an error. With ``names``, a row of another name
     is an error when the result is computed, unless ``drop_unlisted`` asks to leave it out.
     """
     name = F.coalesce(F.col(names_from).cast("string"), F.lit(NO_NAME))
     df = df.withColumn(names_from, name)
     if names is None:
-        names = sorted(r[0] for r in df.select(names_from).distinct().collect())
+        names = sorted(r[0] for r in df.select(names_from).distinct().limit(most + 1).collect())
+        if len(names) > most:
+            raise ValueError(f"{names_from} has more than {most} names")
     else:
         names = [NO_NAME if n is None else str(n) for n in names]
         if not drop_unlisted:

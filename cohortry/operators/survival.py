@@ -15,6 +15,8 @@ from cohortry.session import staged
 
 DEATHS_PER_BLOCK = 4096
 SPREAD_DEATHS = 1_000_000
+#: Fixed value: the 97.5 % point of the normal distribution.
+NORMAL_975 = 1.959963984540054
 
 
 def _timed(df: DataFrame, time: str, event: str) -> DataFrame:
@@ -23,19 +25,20 @@ def _timed(df: DataFrame, time: str, event: str) -> DataFrame:
             .filter(F.col("_time").isNotNull() & F.col("_died").isNotNull()))
 
 
-def kaplan_meier(df: DataFrame, time: str, event: str, strata: list[str] = (),
-                 buckets: int | None = None) -> DataFrame:
-    """Product-limit curve: one row per stratum and distinct time."""
-    strata = list(strata)
-    counts = _timed(df, time, event).groupBy(*strata, "_time").agg(
+def _counts(df: DataFrame, time: str, event: str, strata: list[str]) -> DataFrame:
+    return _timed(df, time, event).groupBy(*strata, "_time").agg(
         F.sum("_died").alias("n_event"), F.count(F.lit(1)).alias("_n"))
+
+
+def _curve(counts: DataFrame, strata: list[str], buckets: int | None, more: list[str] = ()) -> DataFrame:
+    """Product-limit estimates at the distinct times of ``counts``."""
     counts, buckets = settle(counts, strata, buckets)
     cut = cut_ranges(counts, strata, "_time", buckets, used=["_n", "n_event"])
-    risk = running(cut, "_time", [Run("n_risk", "_n", reverse=True)])
+    risk = running(cut, "_time", [Run("n_risk", "_n", reverse=True), Run("_events_upto", "n_event")])
     d, n = F.col("n_event"), F.col("n_risk")
     steps = (
         risk.withColumn("_log", F.when(d < n, F.log1p(-d / n)).otherwise(F.lit(0.0)))
-        .withColumn("_all_died", (d == n).cast("long"))
+        .withColumn("_all_died", ((d == n) & (n > 0)).cast("long"))
         .withColumn("_var", F.when(d < n, d / (n.cast("double") * (n - d))).otherwise(F.lit(0.0))))
     curve = clean(running(steps, "_time", [
         Run("_log_surv", "_log"), Run("_ended", "_all_died"), Run("_greenwood", "_var")]))
@@ -44,7 +47,59 @@ def kaplan_meier(df: DataFrame, time: str, event: str, strata: list[str] = (),
     return curve.select(
         *strata, F.col("_time").alias("time"), "n_risk", "n_event",
         (F.col("_n") - F.col("n_event")).alias("n_censored"), survival.alias("survival"),
-        F.when(alive, survival * F.sqrt("_greenwood")).alias("std_err"))
+        F.when(alive, survival * F.sqrt("_greenwood")).alias("std_err"), *more)
+
+
+def kaplan_meier(df: DataFrame, time: str, event: str, strata: list[str] = (),
+                 buckets: int | None = None) -> DataFrame:
+    """Product-limit curve: one row per stratum and distinct time."""
+    strata = list(strata)
+    return _curve(_counts(df, time, event, strata), strata, buckets)
+
+
+def risk_table(df: DataFrame, time: str, event: str, at: list[float], strata: list[str] = (),
+               buckets: int | None = None) -> DataFrame:
+    """Numbers at risk, events so far and survival at the times ``at``, one row per stratum and time.
+
+    ``n_risk`` counts subjects whose time is not before; survival is that just after. The times
+    join the distinct times of the curve as rows without subjects, so the running sums that make the
+    curve answer for them too and no row looks another up.
+    """
+    strata = list(strata)
+    counts = _counts(df, time, event, strata).withColumn("_asked", F.lit(False))
+    asked = F.array(*[F.lit(float(t)) for t in dict.fromkeys(at)])
+    zero = F.lit(0).cast("long")
+    grid = counts.select(*strata).distinct() if strata else counts.limit(1).select()
+    grid = grid.select(*strata, F.explode(asked).alias("_time"), zero.alias("n_event"), zero.alias("_n"), F.lit(True).alias("_asked"))
+    both = counts.unionByName(grid).groupBy(*strata, "_time").agg(
+        F.sum("n_event").alias("n_event"), F.sum("_n").alias("_n"), F.bool_or("_asked").alias("_asked"))
+    curve = _curve(both, strata, buckets, ["_asked", "_events_upto"]).filter("_asked")
+    # After the last subject n_risk has no rows left to sum.
+    return curve.select(*strata, "time", "n_risk", F.col("_events_upto").alias("events_so_far"), "survival", "std_err")
+
+
+#: Closer to one half than this counts as one half.
+HALF_SLACK = 1.5e-8
+
+
+def median_survival(df: DataFrame, time: str, event: str, strata: list[str] = (), buckets: int | None = None) -> DataFrame:
+    """Median time per stratum with 95 % limits from the log survival, null where the curve stays above a half.
+
+    Where the curve runs level at a half, the median is the middle of that step.
+    """
+    strata = list(strata)
+    curve = kaplan_meier(df, time, event, strata, buckets)
+    spread = NORMAL_975 * F.col("std_err") / F.col("survival")
+    lines = {"median": F.col("survival"),
+             "median_low": F.when(F.col("survival") > 0, F.col("survival") * F.exp(-spread)),
+             "median_high": F.when(F.col("survival") > 0, F.least(F.lit(1.0), F.col("survival") * F.exp(spread)))}
+    ends = []
+    for name, line in lines.items():
+        ends += [F.min(F.when(line < 0.5 + HALF_SLACK, F.col("time"))).alias(f"_{name}_first"),
+                 F.min(F.when(line < 0.5 - HALF_SLACK, F.col("time"))).alias(f"_{name}_next")]
+    rows = curve.groupBy(*strata).agg(F.sum(F.col("n_event") + F.col("n_censored")).alias("n"), F.sum("n_event").alias("n_event"), *ends)
+    middle = [((F.col(f"_{m}_first") + F.coalesce(f"_{m}_next", f"_{m}_first")) / 2).alias(m) for m in lines]
+    return rows.filter("n > 0").select(*strata, "n", "n_event", *middle)
 
 
 def _levels_of(df: DataFrame, group: str) -> list:
@@ -260,10 +315,6 @@ def concordance(df: DataFrame, time: str, event: str, covariates: list[str], buc
         F.try_divide(F.sqrt(F.greatest(F.col("_gg") - 2 * share * F.col("_gp") + share * share * F.col("_pp"), F.lit(0.0))), every).alias("std_err"))
 
 
-#: Fixed value: the 97.5 % point of the normal distribution.
-NORMAL_975 = 1.959963984540054
-
-
 def cox_summary(df: DataFrame, time: str, event: str, covariates: list[str], buckets: int | None = None) -> DataFrame:
     """The fits of :func:`cox_ph` with 95 % limits, likelihood-ratio, Wald and score tests, and concordance.
 

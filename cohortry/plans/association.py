@@ -11,6 +11,7 @@ from cohortry.operators.contingency import chisq_by
 from cohortry.operators.grouped import keep_groups, parent_share
 from cohortry.operators.joins import keep_matching, natural_join
 from cohortry.operators.permute import permutation_null, permutation_test
+from cohortry.operators.reshape import wide_from_long
 from cohortry.plans.labels import majority_class
 
 CLASSES = {"cold": "cold", "hot": "hot"}
@@ -139,3 +140,8 @@ def class_contingency(df: DataFrame, row: str, unit: str) -> DataFrame:
     sides = df.filter(F.col(row).isNotNull() & F.col("immune").isNotNull()).groupBy(row).agg(
         *[n_distinct_where(F.col("immune") == v, unit).alias(n) for n, v in CLASSES.items()])
     return chisq_by(sides, [], "cold", "hot")
+
+
+def heat_matrix(cells: DataFrame, value: str, row: str = "event", column: str = "allele") -> DataFrame:
+    """One row per event and one column per allele that occurs in ``cells``; absent pairs are 0."""
+    return wide_from_long(cells, [row], column, value, fill=0.0)

@@ -16,7 +16,9 @@ from cohortry.operators.permute import permutation_null, permute_label
 from cohortry.operators.ranks import kruskal_by, rank_sum_by, signed_rank_by, spearman_by
 from cohortry.operators import running as running_module
 from cohortry.operators.running import Run, clean, cut_ranges, running
-from cohortry.operators.survival import concordance, cox_ph, kaplan_meier, log_rank
+from cohortry.operators.survival import concordance, cox_ph, kaplan_meier, log_rank, median_survival, risk_table
+from cohortry.operators.reshape import wide_from_long
+from cohortry.plans.association import heat_matrix
 
 BUCKETS = [None, 7]
 
@@ -399,6 +401,35 @@ def test_permutation_of_odd_labels(spark):
     assert permutation_null(df.limit(0), "id", "lab", [], "u", reps=4).count() == 0
 
 
+@pytest.mark.parametrize("buckets", BUCKETS)
+def test_risk_table_and_median(spark, buckets):
+    rows = [("a", t, e) for t, e in ((1, 1), (2, 0), (3, 1), (4, 1), (6, 0), (8, 1))] + [("b", 2, 0), ("b", 9, 0)]
+    rows += [("c", t, 1) for t in (1, 2, 3, 4)]
+    df = spark.createDataFrame([(k, float(t), e) for k, t, e in rows], "k string, t double, e int")
+    table = {(r.k, r.time): r for r in risk_table(df, "t", "e", [0, 3, 3.5, 20], ["k"], buckets).collect()}
+    assert len(table) == 12
+    for (k, t), r in table.items():
+        mine = [x for x in rows if x[0] == k]
+        alive = 1.0
+        for u in sorted({x[1] for x in mine if x[1] <= t}):
+            alive *= 1 - sum(x[1] == u and x[2] for x in mine) / sum(x[1] >= u for x in mine)
+        assert r.n_risk == sum(x[1] >= t for x in mine) and r.events_so_far == sum(x[1] <= t and x[2] for x in mine)
+        assert r.survival == pytest.approx(alive)
+    medians = {r.k: r for r in median_survival(df, "t", "e", ["k"], buckets).collect()}
+    assert medians["a"].median == 4 and medians["b"].median is None and medians["c"].median == 2.5
+    assert medians["c"].median_low == 1 and medians["a"].n == 6 and medians["a"].n_event == 4
+    assert median_survival(df.limit(0), "t", "e").count() == 0 and risk_table(df.limit(0), "t", "e", [1.0]).count() == 0
+
+
+def test_matrix_finds_its_columns(spark):
+    cells = spark.createDataFrame([("e1", "A*01", 0.5), ("e2", "A*01", 0.25), ("e2", "new*allele", 1.0)], "event string, allele string, share double")
+    wide = heat_matrix(cells, "share")
+    assert wide.columns == ["event", "A*01", "new*allele"]
+    assert sorted(map(tuple, wide.collect())) == [("e1", 0.5, 0.0), ("e2", 0.25, 1.0)]
+    with pytest.raises(ValueError):
+        wide_from_long(cells, ["event"], "allele", "share", most=1)
+
+
 @pytest.mark.parametrize("buckets", BUCKETS)
 def test_concordance_against_all_pairs(spark, buckets):
     rng = np.random.default_rng(3)
