@@ -258,6 +258,22 @@ def welch(src: str, by, g: str, v: str, levels) -> str:
                 [*by, "n1", "n2"], ["mean1", "mean2", "statistic", "dof", "p_value"])
 
 
+def line_band_ctes(src: str, by, x: str, y: str) -> list[str]:
+    """Sums of each panel, and the 97.5 % point of its t distribution by halving."""
+    return [f"fits_ AS MATERIALIZED (SELECT {keys(by)}count(*) AS n, avg({x}) AS mx, avg({y}) AS my, regr_sxx({y}, {x}) AS sxx, regr_sxy({y}, {x}) AS sxy, "
+            f"regr_syy({y}, {x}) AS syy, min({x}) AS lo, max({x}) AS hi FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL {group(by)})",
+            f"point_(n, i, a, b) AS (SELECT DISTINCT n, 0, 0.0::DOUBLE, 1000.0::DOUBLE FROM fits_ WHERE n > 2 UNION ALL "
+            f"SELECT n, i + 1, CASE WHEN p > 0.05 THEN m ELSE a END, CASE WHEN p > 0.05 THEN b ELSE m END FROM "
+            f"(SELECT *, {t_tail('m', '(n - 2)')} AS p FROM (SELECT *, (a + b) / 2 AS m FROM point_ WHERE i < 60)))"]
+
+
+def line_band(by, points: int = 80) -> str:
+    rows = (f"SELECT {keys(by)}f.n, CAST(k AS INTEGER) AS place, lo + (hi - lo) * k / {points - 1} AS x, mx, my, sxx, sxy / sxx AS slope, a AS t, "
+            f"sqrt((syy - sxy * sxy / sxx) / (f.n - 2)) AS err FROM fits_ f LEFT JOIN (SELECT * FROM point_ WHERE i = 60) p ON f.n = p.n, range({points}) r(k)")
+    half = f"SELECT *, my + slope * (x - mx) AS fit, t * err * sqrt(1.0 / n + (x - mx) * (x - mx) / sxx) AS half FROM ({rows})"
+    return tidy(f"SELECT *, fit - half AS low, fit + half AS high FROM ({half})", [*by, "n", "place"], ["x", "fit", "low", "high"])
+
+
 def _at_risk(src: str, by, time: str, event: str, extra: str = "") -> str:
     return (f"SELECT {keys(by)}{time} AS time, count(*) AS n, CAST(sum({event}) AS BIGINT) AS d{extra} FROM {src} "
             f"WHERE {time} IS NOT NULL AND {event} IS NOT NULL GROUP BY {keys(by)}{time}")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from catalog.cohort import OBS, SURVIVAL, observations, survival, table, with_ctes, with_recursive_ctes
 from catalog.registry import query
-from catalog.sqlkit import (bh, box, chisq, chisq_raw, concordance_cte, cox, cox_ctes, cox_summary, feistel_ctes, km, kruskal, log_rank, median_survival, order_ways,
+from catalog.sqlkit import (bh, box, chisq, chisq_raw, concordance_cte, cox, cox_ctes, cox_summary, feistel_ctes, km, kruskal, line_band, line_band_ctes, log_rank,
+                            median_survival, order_ways,
                             r6, rank_sum, rp, reml, reml_ctes, risk_table, signed_rank, spearman, spearman_exact, subset_ways, tidy, welch)
 from cohortry.operators import adjust, contingency, mixed, moments, permute, ranks
 from cohortry.operators import survival as surv
@@ -152,6 +153,11 @@ def _(spark, d):
     return moments.ols_by(observations(spark, d, "mut_type", "level", "ba"), ["mut_type"], "level", "ba")
 
 
+@query("t10_line_band", with_recursive_ctes(OBS, *line_band_ctes("obs", ["mut_type"], "level", "ba")) + line_band(["mut_type"]))
+def _(spark, d):
+    return moments.line_band(observations(spark, d, "mut_type", "level", "ba"), ["mut_type"], "level", "ba")
+
+
 def burden_by_class(spark, d):
     obs = observations(spark, d, "immune", "tumour", "sample", "event").filter("immune is not null and tumour is not null")
     return obs.groupBy("immune", "tumour", "sample").agg(F.count_distinct("event").alias("burden")).withColumn(

@@ -154,6 +154,30 @@ def student_tails(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
     return out
 
 
+def student_points(tail: np.ndarray, dof: np.ndarray) -> np.ndarray:
+    """The t with P(|T| >= t) = tail, for tails between 0 and 1.
+
+    The point is bracketed by doubling; then Newton steps, or halving where a step leaves the bracket.
+    """
+    low, high = np.zeros_like(tail), np.ones_like(tail)
+    while (short := student_tails(high, dof) > tail).any():
+        low = np.where(short, high, low)
+        high = np.where(short, 2 * high, high)
+    # Twice the density at 0; its logarithm by lgamma, or 1/sqrt(2 pi) where that is the limit.
+    with np.errstate(over="ignore"):
+        peak = np.where(dof < _FAR, np.exp(_lgamma((dof + 1) / 2) - _lgamma(dof / 2)) / np.sqrt(dof * np.pi), 1 / math.sqrt(2 * math.pi))
+    t = (low + high) / 2
+    for _ in range(80):
+        over = student_tails(t, dof) - tail
+        low, high = np.where(over > 0, t, low), np.where(over > 0, high, t)
+        step = t + over / (2 * peak * np.exp(-(dof + 1) / 2 * np.log1p(t * t / dof)))
+        after = np.where((step > low) & (step < high), step, (low + high) / 2)
+        if np.all(np.abs(after - t) <= 1e-15 * t):
+            break
+        t = after
+    return t
+
+
 def _where_known(compute, *series: pd.Series) -> pd.Series:
     arrays = [s.to_numpy(dtype=float, na_value=np.nan) for s in series]
     known = np.all([np.isfinite(v) for v in arrays], axis=0)
@@ -182,6 +206,12 @@ def student_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
     return _where_known(student_tails, t, dof)
 
 
+@F.pandas_udf(T.DoubleType())
+def student_point(tail: pd.Series, dof: pd.Series) -> pd.Series:
+    """The t that a Student variable exceeds in size with probability ``tail``."""
+    return _where_known(student_points, tail, dof)
+
+
 @F.pandas_udf(T.StructType([T.StructField("statistic", T.DoubleType()), T.StructField("dof", T.LongType())]))
 def log_rank_form(gap: pd.Series, spread: pd.Series, seen: pd.Series) -> pd.DataFrame:
     """Quadratic form of the gaps over the levels that have subjects."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.nullrules import column, divide
-from cohortry.functions.tails import student_two_sided
+from cohortry.functions.tails import student_point, student_two_sided
 from cohortry.operators.joins import natural_join
 from cohortry.operators.running import Run, clean, cut_ranges, running, settle
 
@@ -101,6 +101,30 @@ def ols_by(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
         F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
 
+def line_band(df: DataFrame, by: list[str], x: str, y: str, points: int = 80, level: float = 0.95) -> DataFrame:
+    """The straight-line fit of y on x per panel at ``points`` places from the smallest to the largest x, with its confidence band.
+
+    One aggregate per panel; the places are made from it. Panels of fewer than three pairs have no
+    band, and those without spread in x no fit.
+    """
+    known = F.col(x).isNotNull() & F.col(y).isNotNull()
+    sums = df.groupBy(*by).agg(
+        F.regr_count(y, x).alias("n"), F.regr_avgx(y, x).alias("_mx"), F.regr_avgy(y, x).alias("_my"), F.regr_sxx(y, x).alias("_sxx"),
+        F.regr_sxy(y, x).alias("_sxy"), F.regr_syy(y, x).alias("_syy"),
+        F.min(F.when(known, F.col(x))).cast("double").alias("_low"), F.max(F.when(known, F.col(x))).cast("double").alias("_high"))
+    dof = F.when(F.col("n") > 2, F.col("n") - 2)
+    slope = F.when(F.col("_sxx") > 0, F.try_divide("_sxy", "_sxx"))
+    left = F.greatest(F.col("_syy") - slope * F.col("_sxy"), F.lit(0.0))
+    fits = (sums.filter("n > 0").withColumn("_slope", slope).withColumn("_error", F.sqrt(left / dof))
+            .withColumn("_t", student_point(F.lit(1 - level), dof.cast("double"))))
+    places = fits.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
+        "x", F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_k") / max(points - 1, 1))
+    gap = F.col("x") - F.col("_mx")
+    fit = F.col("_my") + F.col("_slope") * gap
+    half = F.col("_t") * F.col("_error") * F.sqrt(1 / F.col("n") + F.try_divide(gap * gap, F.col("_sxx")))
+    return places.select(*by, "n", F.col("_k").alias("place"), "x", fit.alias("fit"), (fit - half).alias("low"), (fit + half).alias("high"))
+
+
 def slice_positions(categories: DataFrame, name: str, size: str) -> DataFrame:
     """Share, percent label and label position of each slice of a whole.
 

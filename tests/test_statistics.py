@@ -11,7 +11,7 @@ from cohortry.operators.adjust import p_adjust_bh, significant, stars
 from cohortry.operators.contingency import chisq_by
 from cohortry.operators.mixed import random_intercept
 from cohortry.operators.moments import (
-    box_stats_by, median_split, ols_by, quantiles_by, slice_positions, welch_t_by)
+    box_stats_by, line_band, median_split, ols_by, quantiles_by, slice_positions, welch_t_by)
 from cohortry.operators.permute import permutation_null, permute_label
 from cohortry.operators.ranks import kruskal_by, rank_sum_by, signed_rank_by, spearman_by
 from cohortry.operators import running as running_module
@@ -421,6 +421,28 @@ def test_risk_table_and_median(spark, buckets):
     assert median_survival(df.limit(0), "t", "e").count() == 0 and risk_table(df.limit(0), "t", "e", [1.0]).count() == 0
 
 
+def test_points_of_the_t_distribution():
+    tail, dof = np.array([0.05, 0.05, 0.05, 0.05, 0.9, 1e-9]), np.array([1.0, 2.0, 10.0, 1e6, 3.0, 5.0])
+    got = tails.student_points(tail, dof)
+    assert got[:4] == pytest.approx([12.706204736432095, 4.302652729911275, 2.228138851964939, 1.959966], rel=1e-6)
+    assert tails.student_tails(got, dof) == pytest.approx(tail, rel=1e-9)
+
+
+def test_line_band(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=40)
+    y = 2 * x + rng.normal(size=40)
+    rows = [("a", float(a), float(b)) for a, b in zip(x, y)] + [("a", None, 1.0), ("two", 0.0, 1.0), ("two", 1.0, 3.0), ("flat", 1.0, 1.0), ("flat", 1.0, 2.0)]
+    got = line_band(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y", points=5).orderBy("place").collect()
+    slope, intercept = np.polyfit(x, y, 1)
+    error = math.sqrt(((y - slope * x - intercept) ** 2).sum() / 38)
+    for r, at in zip([r for r in got if r.k == "a"], np.linspace(x.min(), x.max(), 5), strict=True):
+        half = 2.024394163911969 * error * math.sqrt(1 / 40 + (at - x.mean()) ** 2 / ((x - x.mean()) ** 2).sum())
+        assert (r.x, r.fit, r.high - r.fit, r.fit - r.low) == pytest.approx((at, intercept + slope * at, half, half))
+    assert [(r.fit, r.low) for r in got if r.k == "two"][0] == (1.0, None)
+    assert all(r.fit is None and r.low is None for r in got if r.k == "flat")
+
+
 def test_matrix_finds_its_columns(spark):
     cells = spark.createDataFrame([("e1", "A*01", 0.5), ("e2", "A*01", 0.25), ("e2", "new*allele", 1.0)], "event string, allele string, share double")
     wide = heat_matrix(cells, "share")
