@@ -435,6 +435,25 @@ def reml_ctes(src: str, y: str, x: str, g: str, rounds: int = 8) -> list[str]:
     return out
 
 
+EFFECTS = ("(SELECT g, count(*) AS n, any_value(theta) * sum(y - b0 - b1 * x) / (1 + any_value(theta) * count(*)) AS effect "
+           "FROM rows__, best_ GROUP BY g)")
+
+
+def random_effects(g: str) -> str:
+    return f"SELECT g AS {g}, n, round(effect + 1e-9, 3) + 0.0 AS effect FROM {EFFECTS}"
+
+
+def residual_summary() -> str:
+    scaled = f"SELECT (y - b0 - b1 * x - effect) / sqrt(rest / free) AS s FROM rows__ JOIN {EFFECTS} e USING (g), best_"
+    parts = ", ".join(f"round(quantile_cont(s, {q}) + 1e-9, 3) + 0.0 AS {name}" for name, q in
+                      (("lowest", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("highest", 1)))
+    return (f"SELECT CAST(max(free) AS BIGINT) + 2 AS n, (SELECT count(*) FROM groups_) AS n_groups, "
+            f"round(max(crit + free * (1 + ln(2 * pi() / free))), 4) + 0.0 AS reml_criterion, "
+            f"round(max((-s01 - mx * s00) / sqrt((s11 + 2 * mx * s01 + mx * mx * s00) * s00)) + 1e-9, 4) + 0.0 AS fixed_correlation, "
+            f"any_value(q.lowest) AS lowest, any_value(q.q1) AS q1, any_value(q.median) AS median, any_value(q.q3) AS q3, any_value(q.highest) AS highest "
+            f"FROM best_, (SELECT any_value(mx) AS mx FROM rows__), (SELECT {parts} FROM ({scaled})) q")
+
+
 def reml(x: str) -> str:
     """Coefficients with Satterthwaite degrees of freedom from five-point
     differences, to four decimals."""

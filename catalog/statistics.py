@@ -8,7 +8,7 @@ from catalog.cohort import OBS, SURVIVAL, observations, survival, table, with_ct
 from catalog.registry import query
 from catalog.sqlkit import (bh, box, chisq, chisq_raw, concordance_cte, cox, cox_ctes, cox_summary, feistel_ctes, km, kruskal, line_band, line_band_ctes, log_rank,
                             median_survival, order_ways,
-                            r6, rank_sum, rp, reml, reml_ctes, risk_table, signed_rank, spearman, spearman_exact, subset_ways, tidy, welch)
+                            r6, random_effects, rank_sum, rp, reml, reml_ctes, residual_summary, risk_table, signed_rank, spearman, spearman_exact, subset_ways, tidy, welch)
 from cohortry.operators import adjust, contingency, mixed, moments, permute, ranks
 from cohortry.operators import survival as surv
 from cohortry.operators.running import Run, clean, cut_ranges, running, settle
@@ -180,6 +180,22 @@ def _(spark, d):
     return four_decimals(mixed.random_intercept(burden_by_class(spark, d), "burden", "is_hot", "tumour"))
 
 
+def digits(df, n, *columns):
+    """Both sides find the variance ratio to some eight digits; compare well above that."""
+    return df.withColumns({c: F.round(F.col(c) + F.lit(0.0 if c == "reml_criterion" else 1e-9), n) for c in columns})
+
+
+@query("t11_random_effects", with_ctes(OBS, CLASS_BURDEN, *reml_ctes("class_burden", "burden", "is_hot", "tumour")) + random_effects("tumour"))
+def _(spark, d):
+    return digits(mixed.random_effects(burden_by_class(spark, d), "burden", "is_hot", "tumour"), 3, "effect")
+
+
+@query("t11_residuals", with_ctes(OBS, CLASS_BURDEN, *reml_ctes("class_burden", "burden", "is_hot", "tumour")) + residual_summary())
+def _(spark, d):
+    row = digits(mixed.residual_summary(burden_by_class(spark, d), "burden", "is_hot", "tumour"), 4, "reml_criterion", "fixed_correlation")
+    return digits(row, 3, "lowest", "q1", "median", "q3", "highest")
+
+
 COVARIATES = ["burden", "mean_level"]
 COX_TABLE = """burdens AS (SELECT * FROM (SELECT patient, count(DISTINCT event) AS burden, avg(level) * 100 AS mean_level FROM obs GROUP BY 1)
 JOIN survival USING (patient))"""

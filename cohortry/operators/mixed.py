@@ -9,22 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.tails import student_two_sided
+from cohortry.operators.moments import quantiles_by
 from cohortry.session import staged
 
 #: Newton steps at most, and the relative step at which the variance ratio counts as found.
 NEWTON_STEPS, TOLERANCE = 12, 1e-7
 
 
-def random_intercept(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
-    """Fit ``y ~ x + (1 | group)``; two rows, intercept and slope.
+def _search(df: DataFrame, y: str, x: str, group: str) -> dict | None:
+    """The best variance ratio and what belongs to it; None where there is nothing to fit.
 
     Rows reduce to sums per group, and groups of equal size to one row, because
     the likelihood depends on a group only through its size and products of its
     sums. One Spark job over that table evaluates a grid of variance ratios; a few
     more give the derivatives for Newton steps. Each returns a few numbers per
-    ratio. ``converged`` is false where the search ended before the ratio settled.
+    ratio.
     """
-    spark = df.sparkSession
     rows = staged(df.select(
         F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"), F.col(group).alias("g")
     ).filter("y is not null and x is not null and g is not null"))
@@ -44,15 +44,8 @@ def random_intercept(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
         F.sum(F.col("sy") * F.col("sy")).alias("sysy")))
     centre = mean.first()
     n_rows, n_groups = sizes.agg(F.sum(F.col("n") * F.col("m")), F.sum("m")).first()
-    schema = ("term string, estimate double, std_err double, dof double, t double, "
-              "sigma double, group_sd double, n long, n_groups long, singular boolean, converged boolean")
-
-    def result(records):
-        out = spark.createDataFrame(records, schema)
-        return out.withColumn("p_value", student_two_sided("t", "dof"))
-
     if not n_rows or n_rows < 3:
-        return result([])
+        return None
 
     def sums(thetas: list[float]) -> list[dict]:
         """The likelihood's sums and their first two derivatives at each ratio."""
@@ -101,7 +94,7 @@ def random_intercept(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
         thetas = [math.exp(low + i * width) for i in range(points)]
         fits = [v for v in map(solve, sums(thetas if best else [0.0, *thetas])) if v]
         if not fits:
-            return result([])
+            return None
         best = min([*fits, *([best] if best else [])], key=lambda v: v["value"])
         if best["theta"] == 0.0:
             break
@@ -120,28 +113,84 @@ def random_intercept(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
         if nearer is None:
             break
         best = nearer
-    theta = best["theta"]
-    sigma2 = float(best["rest"]) / free
-    singular = theta < 1e-6
-    # The fit is in centred units: intercept = (1, -mean) of the centred coefficients.
-    contrasts = {"intercept": np.array([1.0, -centre["mx"]]), x: np.array([0.0, 1.0])}
-    # Hessian of the REML deviance in (sigma^2, theta).
-    hss = -free / sigma2 ** 2 + 2 * best["rest"] / sigma2 ** 3
-    hst = -best["rest1"] / sigma2 ** 2
-    htt = best["rest2"] / sigma2 + best["det2"]
-    hessian = np.array([[hss, hst], [hst, htt]])
-    records = []
-    for name, c in contrasts.items():
-        v = float(c @ best["cov"] @ c)
-        dof = float(free)
-        if not singular and np.linalg.det(hessian) > 0:
-            g = np.array([v, sigma2 * float(c @ best["cov1"] @ c)])
-            spread = 2 * float(g @ np.linalg.solve(hessian, g))
-            if spread > 0:
-                dof = float(2 * (sigma2 * v) ** 2 / spread)
-        value = float(c @ best["b"]) + (centre["my"] if name == "intercept" else 0.0)
-        error = float(math.sqrt(sigma2 * v))
-        records.append((name, value, error, dof, value / error if error else None,
-                        math.sqrt(sigma2), math.sqrt(sigma2 * theta), int(n_rows),
-                        int(n_groups), singular, converged))
-    return result(records)
+    return {"best": best, "free": free, "n_rows": int(n_rows), "n_groups": int(n_groups), "mx": centre["mx"], "my": centre["my"],
+            "converged": converged, "sigma2": float(best["rest"]) / free}
+
+
+def random_intercept(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
+    """Fit ``y ~ x + (1 | group)``; two rows, intercept and slope.
+
+    ``converged`` is false where the search ended before the variance ratio settled.
+    """
+    schema = ("term string, estimate double, std_err double, dof double, t double, "
+              "sigma double, group_sd double, n long, n_groups long, singular boolean, converged boolean")
+    found, records = _search(df, y, x, group), []
+    if found:
+        best, free, sigma2 = found["best"], found["free"], found["sigma2"]
+        theta = best["theta"]
+        singular = theta < 1e-6
+        # The fit is in centred units: intercept = (1, -mean) of the centred coefficients.
+        contrasts = {"intercept": np.array([1.0, -found["mx"]]), x: np.array([0.0, 1.0])}
+        # Hessian of the REML deviance in (sigma^2, theta).
+        hss = -free / sigma2 ** 2 + 2 * best["rest"] / sigma2 ** 3
+        hst = -best["rest1"] / sigma2 ** 2
+        htt = best["rest2"] / sigma2 + best["det2"]
+        hessian = np.array([[hss, hst], [hst, htt]])
+        records = []
+        for name, c in contrasts.items():
+            v = float(c @ best["cov"] @ c)
+            dof = float(free)
+            if not singular and np.linalg.det(hessian) > 0:
+                g = np.array([v, sigma2 * float(c @ best["cov1"] @ c)])
+                spread = 2 * float(g @ np.linalg.solve(hessian, g))
+                if spread > 0:
+                    dof = float(2 * (sigma2 * v) ** 2 / spread)
+            value = float(c @ best["b"]) + (found["my"] if name == "intercept" else 0.0)
+            error = float(math.sqrt(sigma2 * v))
+            records.append((name, value, error, dof, value / error if error else None,
+                            math.sqrt(sigma2), math.sqrt(sigma2 * theta), found["n_rows"],
+                            found["n_groups"], singular, found["converged"]))
+    out = df.sparkSession.createDataFrame(records, schema)
+    return out.withColumn("p_value", student_two_sided("t", "dof"))
+
+
+def _known(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
+    return df.select(F.col(group).alias(group), F.col(y).cast("double").alias("_y"), F.col(x).cast("double").alias("_x")).filter(
+        F.col(group).isNotNull() & F.col("_y").isNotNull() & F.col("_x").isNotNull())
+
+
+def _effects(rows: DataFrame, found: dict, group: str) -> DataFrame:
+    """Residuals of the fixed part are averaged by group and drawn towards 0, the more the smaller the group."""
+    b, theta = found["best"]["b"], float(found["best"]["theta"])
+    gap = F.col("_y") - found["my"] - float(b[0]) - float(b[1]) * (F.col("_x") - found["mx"])
+    sums = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(gap).alias("_gap"))
+    return sums.select(group, "n", (theta * F.col("_gap") / (1 + theta * F.col("n"))).alias("effect"))
+
+
+def random_effects(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
+    """The predicted effect of each group in ``y ~ x + (1 | group)``: the best linear unbiased predictor."""
+    found, rows = _search(df, y, x, group), _known(df, y, x, group)
+    return _effects(rows, found, group) if found else _effects(rows, {"best": {"b": (0.0, 0.0), "theta": 0.0}, "mx": 0.0, "my": 0.0}, group).limit(0)
+
+
+def residual_summary(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
+    """One row about the fit of ``y ~ x + (1 | group)``: the REML criterion, the correlation of the fixed
+    effects and the exact quartiles of the residuals in units of sigma. No row where nothing can be fitted."""
+    found, rows = _search(df, y, x, group), _known(df, y, x, group)
+    probs = {"lowest": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "highest": 1.0}
+    facts = {"n": ("long", None), "n_groups": ("long", None), "reml_criterion": ("double", None), "fixed_correlation": ("double", None)}
+    scaled = rows.select(F.lit(0.0).alias("_scaled")).limit(0)
+    if found:
+        best, free, b = found["best"], found["free"], found["best"]["b"]
+        turn = np.array([[1.0, -found["mx"]], [0.0, 1.0]])
+        cov = turn @ best["cov"] @ turn.T
+        spread = math.sqrt(cov[0, 0] * cov[1, 1])
+        values = (found["n_rows"], found["n_groups"], float(best["value"]) + free * (1 + math.log(2 * math.pi / free)),
+                  float(cov[0, 1] / spread) if spread else None)
+        facts = {name: (kind, v) for (name, (kind, _)), v in zip(facts.items(), values, strict=True)}
+        fixed = found["my"] + float(b[0]) + float(b[1]) * (F.col("_x") - found["mx"])
+        scaled = rows.join(_effects(rows, found, group), group).select(
+            ((F.col("_y") - fixed - F.col("effect")) / math.sqrt(found["sigma2"])).alias("_scaled"))
+    quartiles = quantiles_by(scaled, [], "_scaled", probs)
+    return quartiles.filter(F.col("median").isNotNull()).select(
+        *[F.lit(v).cast(kind).alias(name) for name, (kind, v) in facts.items()], *probs)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cohortry.functions import exact, keyed, tails
 from cohortry.operators.adjust import p_adjust_bh, significant, stars
 from cohortry.operators.contingency import chisq_by
-from cohortry.operators.mixed import random_intercept
+from cohortry.operators.mixed import random_effects, random_intercept, residual_summary
 from cohortry.operators.moments import (
     box_stats_by, line_band, median_split, ols_by, quantiles_by, slice_positions, welch_t_by)
 from cohortry.operators.permute import permutation_null, permute_label
@@ -421,6 +421,34 @@ def test_risk_table_and_median(spark, buckets):
     assert median_survival(df.limit(0), "t", "e").count() == 0 and risk_table(df.limit(0), "t", "e", [1.0]).count() == 0
 
 
+def test_effects_of_balanced_groups(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"g{g}", float(x), float(1 + 0.5 * x + shift + rng.normal())) for g, shift in enumerate(rng.normal(0, 3, 8)) for x in range(5)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 1.0)], "g string, x double, y double")
+    fit = {r.term: r for r in random_intercept(df, "y", "x", "g").collect()}
+    ratio = (fit["x"].group_sd / fit["x"].sigma) ** 2
+    effects = {r.g: r.effect for r in random_effects(df, "y", "x", "g").collect()}
+    residuals = []
+    for g in effects:
+        gaps = [y - fit["intercept"].estimate - fit["x"].estimate * x for k, x, y in rows if k == g]
+        assert effects[g] == pytest.approx(ratio * sum(gaps) / (1 + ratio * 5), rel=1e-6)
+        residuals += [(v - effects[g]) / fit["x"].sigma for v in gaps]
+    row = residual_summary(df, "y", "x", "g").first()
+    assert (row.n, row.n_groups) == (40, 8)
+    assert [row.lowest, row.q1, row.median, row.q3, row.highest] == pytest.approx(np.quantile(residuals, [0, 0.25, 0.5, 0.75, 1]), abs=1e-6)
+    x = np.array([[1.0, v] for _, v, _ in rows])
+    same = np.array([[a[0] == b[0] for b in rows] for a in rows])
+    v = fit["x"].sigma ** 2 * (np.eye(40) + ratio * same)
+    inside = x.T @ np.linalg.inv(v) @ x
+    beta = np.linalg.solve(inside, x.T @ np.linalg.inv(v) @ np.array([r[2] for r in rows]))
+    rest = np.array([r[2] for r in rows]) - x @ beta
+    want = 38 * math.log(2 * math.pi) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(inside)[1] + rest @ np.linalg.inv(v) @ rest
+    cov = np.linalg.inv(inside)
+    assert row.reml_criterion == pytest.approx(want, rel=1e-8)
+    assert row.fixed_correlation == pytest.approx(cov[0, 1] / math.sqrt(cov[0, 0] * cov[1, 1]), rel=1e-6)
+    assert residual_summary(df.limit(0), "y", "x", "g").count() == 0 and random_effects(df.limit(0), "y", "x", "g").count() == 0
+
+
 def test_points_of_the_t_distribution():
     tail, dof = np.array([0.05, 0.05, 0.05, 0.05, 0.9, 1e-9]), np.array([1.0, 2.0, 10.0, 1e6, 3.0, 5.0])
     got = tails.student_points(tail, dof)
