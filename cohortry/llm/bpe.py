@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from functools import lru_cache
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
@@ -36,10 +37,10 @@ WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: Stretches that can be encoded apart: every pre-token lies within one of them.
 STRETCH = rf"[{WHITE}]+(?![^{WHITE}])| ?[^{WHITE}]+|[{WHITE}]"
-#: Remembered pieces, and pre-tokens, per generation (two are kept), and the longest that is remembered.
-REMEMBERED, LONGEST = 1 << 18, 48
+#: Remembered pieces and pre-tokens per generation (two are kept), and the longest that is remembered.
+REMEMBERED, PRE_TOKENS, LONGEST = 1 << 18, 1 << 19, 48
 #: Bits of an id and of a place in a pre-token, where several share one number.
-ID_BITS, PLACE_BITS = 20, 40
+ID_BITS, PLACE_BITS = 20, 32
 NONE, PLACE = (1 << ID_BITS) - 1, (1 << PLACE_BITS) - 1
 
 
@@ -69,16 +70,17 @@ class Bpe:
         for rank, pair in enumerate(model["model"]["merges"], 1):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a] << ID_BITS | vocab[b]] = rank << ID_BITS | vocab[a + b]
+        #: Rank of the merge of two bytes, 0 where there is none.
+        self.byte_merges = [self.merges.get(a << ID_BITS | b, 0) >> ID_BITS for a in self.byte_ids for b in self.byte_ids]
         self.pre_token = regex.compile(PRE_TOKEN)
         self.recent, self.earlier = {}, {}  # ids of pre-tokens, which many pieces share
 
     def merge(self, raw: bytes) -> list[int]:
         """The ids of one pre-token."""
         symbols = [*map(self.byte_ids.__getitem__, raw)]
-        n, find = len(symbols), self.merges.get
+        n, find, first = len(symbols), self.merges.get, self.byte_merges
         # A queue entry is the rank and the place of the left symbol in one number.
-        queue = [found >> ID_BITS << PLACE_BITS | i
-                 for i, (a, b) in enumerate(pairwise(symbols)) if (found := find(a << ID_BITS | b))]
+        queue = [rank << PLACE_BITS | i for i, (a, b) in enumerate(pairwise(raw)) if (rank := first[a << 8 | b])]
         if not queue:
             return symbols
         heapify(queue)
@@ -87,10 +89,13 @@ class Bpe:
         while queue:
             entry = heappop(queue)
             i = entry & PLACE
+            left = symbols[i]
+            if left == NONE:
+                continue  # stale: the symbol is gone
             j = after[i]
-            found = find(symbols[i] << ID_BITS | symbols[j])
+            found = find(left << ID_BITS | symbols[j])
             if not found or found >> ID_BITS != entry >> PLACE_BITS:
-                continue  # stale: a symbol is gone or has grown
+                continue  # stale: a symbol has grown
             symbols[i] = whole = found & NONE
             symbols[j] = NONE
             after[i] = k = after[j]
@@ -103,16 +108,19 @@ class Bpe:
                 heappush(queue, found >> ID_BITS << PLACE_BITS | h)
         return [s for s in symbols if s != NONE]
 
-    def stretch(self, text: str) -> list[int]:
-        out, get, learn = [], self.recent.get, self._learn
-        for word in self.pre_token.findall(text):
-            out += get(word) or learn(word)
-        return out
-
-    def _learn(self, word: str) -> list[int]:
-        ids = self.earlier.get(word) or self.merge(word.encode())
+    def stretch(self, text: str) -> bytes:
+        get, learn = self.recent.get, self._learn
+        # One ASCII word, perhaps after a space, is one pre-token.
+        words = [text] if text.isascii() and text.removeprefix(" ").isalpha() else self.pre_token.findall(text)
+        return b"".join([get(word) or learn(word) for word in words])
+
+    def _learn(self, word: str) -> bytes:
+        ids = self.earlier.get(word)
+        if ids is None:
+            found = self.merge(word.encode())
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(word) <= LONGEST:
-            if len(self.recent) >= REMEMBERED:
+            if len(self.recent) >= PRE_TOKENS:
                 self.recent, self.earlier = {}, self.recent
             self.recent[word] = ids
         return ids
@@ -125,7 +133,7 @@ class Bpe:
 class Encoder:
     """Text to ids, as little-endian unsigned 32-bit integers.
 
-    ``stretch`` encodes what lies between white space. Special tokens in a text are
+    ``stretch`` encodes, in that form, what lies between white space. Special tokens in a text are
     taken as such, as the vocabulary's library does by default.
 
     Most texts hold single spaces and line ends only. They are cut at spaces, and each
@@ -145,7 +153,7 @@ class Encoder:
         if key in self.earlier:
             ids = self.earlier[key]
         else:
-            ids = None if edge else np.array(self.encode_stretch(text), "<u4").tobytes()
+            ids = None if edge else self.encode_stretch(text)
         if len(key) <= LONGEST:
             if len(self.recent) >= REMEMBERED:
                 self.recent, self.earlier = {}, self.recent
@@ -200,7 +208,7 @@ def library_encoder(vocabulary: str) -> Encoder:
     special = set(bpe.special.values())
     ranks = {word: i for i, word in enumerate(bpe.words) if i not in special}
     merged = tiktoken.Encoding("vocabulary", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
-    return Encoder(merged.encode_ordinary, bpe.special)
+    return Encoder(lambda text: np.array(merged.encode_ordinary(text), "<u4").tobytes(), bpe.special)
 
 
 def vocabulary_text(path: str) -> str:
