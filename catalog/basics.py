@@ -12,8 +12,8 @@ from catalog.cohort import (ALLELES, CELL_TYPES, CELLS, EXPRESSION, LOH, OBS,
 from catalog.registry import query
 from catalog.sqlkit import r6
 from cohortry.functions import nullrules as nr
-from cohortry.operators import grouped, joins, moments, reshape
-from cohortry.session import new_folder
+from cohortry.operators import grouped, joins, reshape, selection
+from cohortry.session import new_folder, staged
 from cohortry.sources import tables
 
 BASE = with_ctes(OBS)
@@ -321,6 +321,24 @@ def _(spark, d):
     return rows.select("event", "sample", "var_count", (F.col("level") - F.col("mean_level")).alias("gap"))
 
 
+@query("j7_heavy_join_back", BASE + f"""SELECT event, sample, mut_type, var_count, {r6('level - mean_level')} AS gap FROM lines
+JOIN (SELECT mut_type, avg(level) AS mean_level FROM lines GROUP BY 1) USING (mut_type)""")
+def _(spark, d):
+    rows = lines(spark, d)
+    means = rows.groupBy("mut_type").agg(F.avg("level").alias("mean_level"))
+    return joins.heavy_join(rows, means).select("event", "sample", "mut_type", "var_count", (F.col("level") - F.col("mean_level")).alias("gap"))
+
+
+@query("j2_heavy_left", BASE + f"""SELECT o.tumour, o.sample, o.event, o.var_count, n, {r6('mean')} AS mean FROM obs o LEFT JOIN
+(SELECT tumour, count(*) AS n, avg(level) AS mean FROM obs WHERE coverage > 90 GROUP BY ALL) r
+ON o.tumour IS NOT DISTINCT FROM r.tumour""")
+def _(spark, d):
+    rows = observations(spark, d, "tumour", "sample", "event", "var_count")
+    deep = observations(spark, d, "tumour", "level", "coverage").filter("coverage > 90")
+    right = deep.groupBy("tumour").agg(F.count("*").alias("n"), F.avg("level").alias("mean"))
+    return joins.heavy_join(rows, right, "left")
+
+
 @query("j8_join_distinct", BASE + "SELECT DISTINCT patient, immune, mut_type FROM lines JOIN samples USING (sample)")
 def _(spark, d):
     return joins.natural_join(lines(spark, d).select("sample", "mut_type"),
@@ -351,7 +369,7 @@ _obs_query("a6_strict_mean", f"""SELECT sample, {r6('avg(level)')} AS level,
 {r6('CASE WHEN count(*) = count(el) THEN avg(el) END')} AS el FROM obs GROUP BY 1""", ["sample", "level", "el"],
            lambda o: o.groupBy("sample").agg(nr.strict_mean("level").alias("level"), nr.strict_mean("el").alias("el")))
 _obs_query("a7_median", f"SELECT locus, count(el) AS n, {r6('median(el)')} AS median FROM obs GROUP BY 1", ["locus", "el"],
-           lambda o: moments.quantiles_by(o, ["locus"], "el", {"median": 0.5}))
+           lambda o: selection.selected_quantiles(o, ["locus"], "el", {"median": 0.5}))
 _obs_query("a8_sum", f"""SELECT mut_type, {r6('sum(level)')} AS total, {r6('sum(level) / (SELECT sum(level) FROM obs)')}
 AS share FROM obs GROUP BY 1""", ["mut_type", "level"],
            lambda o: grouped.add_group_stats(o.groupBy("mut_type").agg(F.sum("level").alias("total")),
@@ -420,10 +438,16 @@ count(DISTINCT tumour) + max(CASE WHEN tumour IS NULL THEN 1 ELSE 0 END) AS nb F
 _obs_query("w3_sequential_groups", """SELECT DISTINCT event, allele, locus, total, nb FROM obs
 JOIN (SELECT allele, count(DISTINCT sample) AS total FROM obs GROUP BY 1) USING (allele)
 JOIN (SELECT event, allele, locus, count(DISTINCT sample) AS nb FROM obs GROUP BY ALL) USING (event, allele, locus)""",
-           ["event", "allele", "locus", "sample"],
-           lambda o: grouped.add_group_stats(
-               o, (["allele"], {"total": F.count_distinct("sample")}),
-               (["event", "allele", "locus"], {"nb": F.count_distinct("sample")})).drop("sample").distinct())
+           ["event", "allele", "locus", "sample"], lambda o: _coarse_and_fine(o))
+
+
+def _coarse_and_fine(o):
+    counts = staged(grouped.distinct_levels(o, {"allele": ["allele"], "cell": ["event", "allele", "locus"]}, ["sample"]))
+    fine = counts.filter("level = 'cell'").select("event", "allele", "locus", F.col("n_sample").alias("nb"))
+    coarse = counts.filter("level = 'allele'").select("allele", F.col("n_sample").alias("total"))
+    return joins.natural_join(fine, coarse, on=["allele"])
+
+
 GENE_SIZES = "SELECT gene, count(*) AS n FROM obs GROUP BY 1"
 
 

@@ -649,12 +649,10 @@ SELECT event, CASE WHEN bool_or(immune = 'hot') AND bool_or(immune = 'cold') THE
 AS part FROM obs WHERE coverage > 90 AND immune IS NOT NULL GROUP BY 1) USING (event) WHERE part IS NOT NULL GROUP BY event, part""")
 def _(spark, d):
     obs = observations(spark, d, "event", "sample", "tumour", "immune", "coverage")
-    deep = obs.filter("coverage > 90")
-    hot, cold = (deep.filter(F.col("immune") == c).select("event") for c in ("hot", "cold"))
-    both = joins.common_values(cold, hot).withColumn("part", F.lit("both"))
-    only = joins.only_first(cold, hot).withColumn("part", F.lit("cold only"))
-    return natural_join(obs, both.unionByName(only)).groupBy("event", "part").agg(
-        F.count_distinct("sample").alias("n_sample"), F.count_distinct("tumour").alias("n_tumour"))
+    seen = {c: F.bool_or((F.col("coverage") > 90) & (F.col("immune") == c)).alias(c) for c in ("hot", "cold")}
+    sets = obs.groupBy("event").agg(F.count_distinct("sample").alias("n_sample"), F.count_distinct("tumour").alias("n_tumour"), *seen.values())
+    return sets.filter("event is not null and cold").select(
+        "event", F.when(F.col("hot"), "both").otherwise("cold only").alias("part"), "n_sample", "n_tumour")
 
 
 def slices_sql(name):

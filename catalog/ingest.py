@@ -8,7 +8,7 @@ from catalog.cohort import CLASS_ONE, LOH, OBS, lines, loh, observations, sample
 from catalog.registry import query
 from catalog.sqlkit import r6
 from cohortry.functions.nullrules import n_distinct
-from cohortry.operators.grouped import add_group_stats
+from cohortry.operators.grouped import add_group_stats, distinct_levels
 from cohortry.operators.joins import natural_join
 from cohortry.plans import ingest, labels
 
@@ -255,16 +255,10 @@ UNION ALL SELECT 'cohort', NULL, count(DISTINCT event), count(DISTINCT tumour),
 WHERE tumour IS NOT NULL""")
 def _(spark, d):
     rows = observations(spark, d, "patient", "tumour", "sample", "immune", "event").filter("tumour is not null")
-    counts = [F.count_distinct(c).alias(f"n_{c}") for c in ("event", "tumour", "sample")]
-    out = None
-    for level, key in (("patient", "patient"), ("tumour", "tumour"), ("class", "immune"), ("cohort", None)):
-        part = rows if key != "immune" else rows.filter("immune is not null")
-        unit = F.lit(None).cast("string") if key is None else F.col(key).cast("string")
-        part = (part.agg(*counts).select(F.lit(None).cast("string").alias("unit"), "*") if key is None
-                else part.groupBy(unit.alias("unit")).agg(*counts))
-        part = part.select(F.lit(level).alias("level"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    levels = {"patient": ["patient"], "tumour": ["tumour"], "class": ["immune"], "cohort": []}
+    counts = distinct_levels(rows, levels, ["event", "tumour", "sample"]).filter("level <> 'class' or immune is not null")
+    unit = F.coalesce(F.col("patient").cast("string"), "tumour", "immune")  # a level fills its own key only
+    return counts.select("level", unit.alias("unit"), "n_event", "n_tumour", "n_sample")
 
 
 @query("d18_conflict_checks", BASE + """SELECT patient, n_types, n_class FROM (SELECT patient, count(DISTINCT sample_type) AS n_types,

@@ -9,7 +9,7 @@ from catalog.registry import query
 from catalog.sqlkit import (bh, box, chisq, chisq_raw, concordance_cte, cox, cox_ctes, cox_summary, feistel_ctes, km, kruskal, line_band, line_band_ctes, log_rank,
                             median_survival, order_ways,
                             r6, random_effects, rank_sum, rp, reml, reml_ctes, residual_summary, risk_table, signed_rank, spearman, spearman_exact, subset_ways, tidy, welch)
-from cohortry.operators import adjust, contingency, mixed, moments, permute, ranks
+from cohortry.operators import adjust, contingency, mixed, moments, permute, ranks, selection
 from cohortry.operators import survival as surv
 from cohortry.operators.running import Run, clean, cut_ranges, running, settle
 
@@ -286,7 +286,7 @@ def _(spark, d):
 
 @query("t19_box_statistics", BASE + box("obs", ["locus", "sample_type"], "ba"))
 def _(spark, d):
-    return moments.box_stats_by(observations(spark, d, "locus", "sample_type", "ba"), ["locus", "sample_type"], "ba")
+    return selection.selected_boxes(observations(spark, d, "locus", "sample_type", "ba"), ["locus", "sample_type"], "ba")
 
 
 @query("t20_slice_positions", BASE + f"""SELECT gene, n, CAST(total AS BIGINT) AS total, {r6('share')} AS share, {r6('stacked')} AS stacked,

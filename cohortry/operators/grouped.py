@@ -33,6 +33,39 @@ def add_group_stats(df: DataFrame, *specs: tuple[list[str], dict[str, Column]])
     return out
 
 
+def distinct_levels(df: DataFrame, levels: dict[str, list[str]], items: list[str],
+                    count_null: bool = False) -> DataFrame:
+    """Distinct values of each item per key, at several key sets, from one read of ``df``.
+
+    ``levels`` maps a name to its keys, none for the whole frame. Each row of the result has its
+    ``level``, the keys (null where the level has no such key) and ``n_<item>``. Distinct (key, item) pairs of all
+    levels go through one exchange that combines map-side, and no key holds its rows in one
+    task: pairs are dealt by key and item. Pairs that several levels share are made once.
+    A level has no row where the frame has none. ``count_null`` counts a missing item as a value.
+    """
+    keys = list(dict.fromkeys(k for of in levels.values() for k in of))
+    columns = list(dict.fromkeys([*keys, *items]))
+    uses: dict[frozenset, list[tuple[str, str]]] = {}
+    for level, of in levels.items():
+        for item in items:
+            uses.setdefault(frozenset([*of, item]), []).append((level, item))
+    pairs = df.groupingSets([[c for c in columns if c in chosen] for chosen in uses], *columns).agg(
+        F.grouping_id().alias("_set"))
+    # The id has a bit for each column that the set lacks, the first column's highest.
+    mark = None
+    for chosen, told in uses.items():
+        number = sum((c not in chosen) << (len(columns) - 1 - i) for i, c in enumerate(columns))
+        these = F.array(*[F.struct(F.lit(level).alias("level"), F.lit(item).alias("item")) for level, item in told])
+        mark = F.when(F.col("_set") == number, these) if mark is None else mark.when(F.col("_set") == number, these)
+    marked = pairs.withColumn("_use", F.explode(mark))
+    level, counts = F.col("_use.level"), []
+    for item in items:
+        seen = F.col("_use.item") == item
+        counts.append(F.count_if(seen if count_null else seen & F.col(item).isNotNull()).alias(f"n_{item}"))
+    own = [F.when(level.isin([name for name, of in levels.items() if k in of]), F.col(k)).alias(k) for k in keys]
+    return marked.groupBy(level.alias("level"), *own).agg(*counts)
+
+
 def keep_groups(df: DataFrame, keys: list[str], stat: Column, test, keep: str | None = None):
     """Rows of the groups whose statistic passes ``test(column)``.
 
