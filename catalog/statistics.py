@@ -285,6 +285,11 @@ def _(spark, d):
 
 
 @query("t19_box_statistics", BASE + box("obs", ["locus", "sample_type"], "ba"))
+def _(spark, d):
+    return moments.box_stats_by(observations(spark, d, "locus", "sample_type", "ba"), ["locus", "sample_type"], "ba")
+
+
+@query("t19_box_selected", BASE + box("obs", ["locus", "sample_type"], "ba"))
 def _(spark, d):
     return selection.selected_boxes(observations(spark, d, "locus", "sample_type", "ba"), ["locus", "sample_type"], "ba")
 
