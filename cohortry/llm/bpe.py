@@ -259,12 +259,13 @@ def decode(tokens: DataFrame, vocabulary: str | None = None, ids: str = "ids", o
     return add_columns(tokens, [T.StructField(out, T.StringType())], start, [ids])
 
 
-def round_trip(docs: DataFrame, vocabulary: str | None = None, text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str | None = None, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``n_tokens`` and SHA-256 digests of the ids of the whole ``text`` and of the text they decode to.
 
     ``ids_sha256`` is over the decimal ids joined by commas, ``decoded_sha256`` over the decoded text in
     UTF-8. Ids stay in the task that made them. Nulls count as empty; columns of these names are replaced;
     empty tables, repeated rows and texts of any length as with :func:`encode` and :func:`decode`.
+    Without ``keep_text`` the text is left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(
         vocabulary_text(vocabulary or public_tokenizers.path("byte_bpe_50k.json")))
@@ -284,9 +285,9 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, text: str = "text
         return compute
 
     return add_columns(docs, [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
-                              T.StructField("decoded_sha256", T.StringType())], start, [text])
+                              T.StructField("decoded_sha256", T.StringType())], start, [text], keep_text)
 
 
 @query("op1_bpe_round_trip")
 def _(spark, d):
-    return round_trip(documents(spark, d).select("doc_id", "text")).drop("text")
+    return round_trip(documents(spark, d).select("doc_id", "text"), keep_text=False)

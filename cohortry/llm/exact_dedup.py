@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortry.llm.arrow_rows import pack, unpacked
 from cohortry.llm.registry import documents, query
 from cohortry.session import staged
 
@@ -62,24 +63,27 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
     the row with the smallest id is kept; a null id is never smaller than another, and a
     group of null ids alone has a null ``keep_id``. Of rows that also share the id, one is
     kept (the one whose other columns hash lowest). An empty table stays empty. Columns of
-    ``docs`` with a name of the result are replaced. Texts of any length are compared whole.
+    ``docs`` with a name of the result are replaced, all other names are free. Texts of any length are
+    compared whole.
     """
-    docs = docs.drop(*RESULT)
-    bits, words = repeated_filter(docs, text, max_words)
-    clean = normalised(F.col(text))
+    rows = pack(docs, doc_id, text, RESULT)
+    own = unpacked(docs, doc_id, text, RESULT, keep_text=True)
+    bits, words = repeated_filter(rows, "_text", max_words)
+    clean = normalised(F.col("_text"))
     word, mask = word_and_mask(F.xxhash64(clean), words)
-    rows = docs.withColumns({"text_sha256": F.sha2(clean, 256), "_word": word, "_mask": mask})
+    # The tie is hashed here, so that a caller who drops the text does not shuffle it.
+    rows = rows.withColumns({"text_sha256": F.sha2(clean, 256), "_word": word, "_mask": mask, "_tie": F.xxhash64("_text", "_others")})
     # At most max_words rows of two numbers.
     tested = rows.join(F.broadcast(bits), "_word", "left").withColumn(
         "_hit", F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False)))
     tested = tested.drop("_word", "_mask", "_bits")
     alone = tested.filter(~F.col("_hit")).select(
-        *docs.columns, F.col(doc_id).alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
+        *own, F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256")
 
     candidates = tested.filter("_hit")
     groups = staged(candidates.groupBy(F.col("text_sha256").alias("_sha")).agg(
-        F.min(doc_id).alias("keep_id"), F.count("*").alias("group_size")), "groups")
+        F.min("_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
     large = F.col("group_size") * LARGE_SHARE > total
     # Fewer than LARGE_SHARE groups can each hold over one LARGE_SHARE-th of the rows.
@@ -88,9 +92,9 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
     others = candidates.join(F.broadcast(groups.filter(large)), same, "left_anti").join(groups.filter(~large), same)
     grouped = of_large.unionByName(others)
     # Rows that share the smallest id of their group: one of them is kept.
-    twins = Window.partitionBy("text_sha256", doc_id).orderBy(F.xxhash64(*docs.columns))
-    grouped = grouped.withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id")) & (F.row_number().over(twins) == 1))
-    return alone.unionByName(grouped.select(alone.columns))
+    twins = Window.partitionBy("text_sha256", "_id").orderBy("_tie")
+    grouped = grouped.withColumn("kept", F.col("_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(twins) == 1))
+    return alone.unionByName(grouped.select(*own, *RESULT))
 
 
 @query("op10_exact_dedup", r"""

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortry.llm.arrow_rows import add_columns, slices, texts_of
+from cohortry.llm.arrow_rows import add_columns, pack, slices, texts_of, unpacked
 from cohortry.llm.components import components
 from cohortry.llm.registry import documents, query
 from cohortry.session import staged
@@ -102,7 +102,7 @@ def band_hashes(shingles: np.ndarray, numbers) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with ``_set``, the class of the text (null without words), and ``_bands``."""
+    """``docs`` without its text, with ``_set``, the class of the text (null without words), and ``_bands``."""
     def start():
         shingles, numbers = Shingles(), _odd_numbers()
 
@@ -115,7 +115,8 @@ def signatures(docs: DataFrame, text: str) -> DataFrame:
             return [sets, bands]
         return compute
 
-    return add_columns(docs, [T.StructField("_set", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType()))], start, [text])
+    return add_columns(docs, [T.StructField("_set", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType()))], start, [text],
+                       keep_inputs=False)
 
 
 def linked(sets: list[np.ndarray], split: int, threshold: float) -> list[tuple[int, int, int]]:
@@ -207,16 +208,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str =
 
     ``class_id`` is the smallest id among the texts that are connected by links, ``n_links``
     the number of different shingle sets that are similar to the row's, and ``n_copies`` the
-    rows with the same set. Words are what white space parts, in lower case; a text of
+    rows with the same set. Texts of any length are compared whole. Words are what white space parts, in lower case; a text of
     fewer than five is one shingle. Null and empty texts have no set and are alone, with
     their own id as class. Rows with a null id take part; a class of null ids alone has a null
     ``class_id``. ``class_key`` tells classes apart even so; it is null without words. Repeated rows are copies. An empty table stays empty. Columns of ``docs`` with
-    a name of the result are replaced.
+    a name of the result are replaced, all other names are free.
     """
-    own = [c for c in docs.columns if c not in [*RESULT, text]]
-    thin = staged(signatures(docs.select(*own, text), text).drop(text), "signatures")
+    rows, own = pack(docs, doc_id, text, RESULT), unpacked(docs, doc_id, text, RESULT)
+    thin = staged(signatures(rows, "_text"), "signatures")
     with_set = thin.filter(F.col("_set").isNotNull())
-    classes = with_set.groupBy("_set").agg(F.min(doc_id).alias("_first"), F.count("*").alias("n_copies"))
+    classes = with_set.groupBy("_set").agg(F.min("_id").alias("_first"), F.count("*").alias("n_copies"))
 
     # Candidates: copies fold into one row per band before they shuffle.
     bands = with_set.select("_set", F.explode("_bands").alias("_band"))
@@ -228,7 +229,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str =
     sizes = clusters.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
     members = clusters.join(sizes, "label").join(classes.select("_set", "_first"), F.col("node") == F.col("_set")).select(
         F.col("label").alias("_cluster"), "_blocks", "_set", F.pmod(F.xxhash64("_set"), "_blocks").cast("int").alias("_block"), "_first")
-    fetched = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(members, F.col("_id").eqNullSafe(F.col("_first")))
+    fetched = rows.select("_id", "_text").join(members, F.col("_id").eqNullSafe(F.col("_first")))
 
     def start():
         shingles = Shingles()
@@ -239,7 +240,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str =
         return compute
 
     # Of several rows with the id of a class, those with its set stay; equal ones are taken once.
-    sets = add_columns(fetched, [T.StructField("_own", T.LongType()), T.StructField("_shingles", T.BinaryType())], start, ["_text"])
+    sets = add_columns(fetched, [T.StructField("_own", T.LongType()), T.StructField("_shingles", T.BinaryType())], start, ["_text"],
+                       keep_inputs=False)
     sets = sets.filter("_own = _set").select("_set", "_cluster", "_blocks", "_block", "_shingles")
     found = staged(verified(sets, threshold), "verified")
 
@@ -252,7 +254,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str =
                                                     F.col("_label").alias("class_key")), "classes")
 
     alone = thin.filter(F.col("_set").isNull()).select(
-        *own, F.col(doc_id).alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"),
+        *own, F.col("_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"),
         F.lit(None).cast("long").alias("class_key"))
     return with_set.drop("_bands").join(told, "_set").select(*own, *RESULT).unionByName(alone)
 

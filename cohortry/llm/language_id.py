@@ -108,12 +108,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     return Model(languages, np.log(smooth / smooth.sum(axis=0)).astype(np.float32), np.log(docs / max(1, docs.sum())))
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned.
     Repeated rows are each scored; an empty table stays empty; columns of ``docs`` named
-    ``lang_pred`` or ``score`` are replaced. Texts are read whole, in blocks.
+    ``lang_pred`` or ``score`` are replaced, all other names are free. Texts are read whole, in blocks.
+    Of equally likely languages the first by name is taken. Without ``keep_text`` the text is left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -125,7 +126,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             return [[m[0] for m in made], [m[1] for m in made]]
         return compute
 
-    return add_columns(docs, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], start, [text])
+    return add_columns(docs, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], start, [text],
+                       keep_text)
 
 
 def held_out(doc_id="doc_id"):
@@ -140,5 +142,5 @@ def fit_on_documents(docs: DataFrame) -> Model:
 @query("op8_language_id")
 def _(spark, d):
     docs = documents(spark, d)
-    named = identify(docs.select("doc_id", "text"), fit_on_documents(docs))
+    named = identify(docs.select("doc_id", "text"), fit_on_documents(docs), keep_text=False)
     return named.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -15,6 +15,7 @@ pass without a shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +33,8 @@ SAMPLE, SAMPLE_LINES = 800, 200
 ROUNDS, STEPS, RATE, RIDGE = 3, 60, 0.3, 1e-4
 LEAST_WORDS, MOST_REPEATED = 10, 20
 MIN_CONTENT = 0.5
+#: Words are what the base counts take for words: no other white space parts them.
+WORD = re.compile(f"[^{SPACES}]+")
 CONTENT, BOILERPLATE = 0, 1
 #: Values of each feature.
 LEVELS = [5, 5, 5, 5, 4, 2, 4, 4, 2]
@@ -67,7 +70,7 @@ def lines_of(text: str) -> tuple[list[list[int]], list[int]]:
     """Features and word counts of the lines with a word."""
     found, sizes, seen = [], [], set()
     for line in text.split("\n"):
-        words = line.replace("\x0b", " ").replace("\x0c", " ").strip(SPACES).split()
+        words = WORD.findall(line)
         if words:
             found.append(features(line, words, line in seen))
             sizes.append(len(words))
@@ -187,12 +190,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
                  [r.r.quality == 1 for r in rows])
 
 
-def judge(docs: DataFrame, field: Field, min_content: float = MIN_CONTENT, text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, field: Field, min_content: float = MIN_CONTENT, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with the base counts, ``base_failed``, ``content_share`` and ``kept``.
 
     ``content_share`` is the share of words in content lines, null without words. Null and
-    empty texts have no words and fail the base counts. Repeated rows are each judged; an empty
-    table stays empty; columns of ``docs`` with a name of the result are replaced.
+    empty texts have no words and fail the base counts. Texts of any length are judged whole, in the
+    memory of one task; of equally good labels a line is content. Repeated rows are each judged; an empty
+    table stays empty; columns of ``docs`` with a name of the result are replaced, all other names are free.
+    Without ``keep_text`` the text is left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
@@ -213,11 +218,11 @@ def judge(docs: DataFrame, field: Field, min_content: float = MIN_CONTENT, text:
             return [[m[k] for m in made] for k in range(len(RESULT))]
         return compute
 
-    return add_columns(docs, RESULT, start, [text])
+    return add_columns(docs, RESULT, start, [text], keep_text)
 
 
 @query("op7_line_labels")
 def _(spark, d):
     docs = documents(spark, d)
     field = fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
-    return judge(docs.select("doc_id", "text"), field).drop("text")
+    return judge(docs.select("doc_id", "text"), field, keep_text=False)

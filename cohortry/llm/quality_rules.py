@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortry.llm.arrow_rows import add_columns, texts_of
+from cohortry.llm.arrow_rows import add_columns, pack, texts_of, unpacked
 from cohortry.llm.registry import documents, query
 from cohortry.llm.text_stats import STATISTICS, statistics
 from cohortry.session import staged
@@ -80,20 +80,20 @@ def paths(tree: str, names: list[str]) -> set[Rule]:
 
 
 def text_statistics(docs: DataFrame, text: str = "text", prefix: str = PREFIX) -> DataFrame:
-    """``docs`` with the statistics of each whole text in double columns; null is empty, and zero throughout."""
+    """``docs`` without its text, with the statistics of each whole text in double columns; null is empty, and zero throughout."""
     def start():
         def compute(batch):
             made = [statistics(t) for t in texts_of(batch, text)]
             return [[m[k] for m in made] for k in range(len(STATISTICS))]
         return compute
 
-    return add_columns(docs, [T.StructField(prefix + s, T.DoubleType()) for s in STATISTICS], start, [text])
+    return add_columns(docs, [T.StructField(prefix + s, T.DoubleType()) for s in STATISTICS], start, [text], keep_inputs=False)
 
 
 def fit(rows: DataFrame, label: str = "quality", prefix: str = PREFIX) -> RuleModel:
     """Fit on rows with statistics and a 0/1 label; rows without one are left out.
 
-    With no labelled rows, or only one kind, the model is the smoothed share of label 1.
+    With one kind of label only, the model scores every text alike, below 0.01 or above 0.99; without labels, 0.5.
     """
     names = [prefix + s for s in STATISTICS]
     data = staged(rows.filter(F.col(label).isin(0, 1)).select(*names, F.col(label).cast("double").alias("_label")), "training")
@@ -128,17 +128,17 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, d
     """``docs`` without its text, with ``held_out``, ``score`` and ``predicted``.
 
     Learns from ``labels`` (``doc_id``, ``quality``; several labels of an id count as the lowest) but
-    those of held-out rows. Empty and null texts are scored as texts without words. Repeated
-    rows are each scored; an empty table stays empty; columns of ``docs`` with a name of the
-    result are replaced.
+    those of held-out rows. Empty and null texts are scored as texts without words, texts of any
+    length whole. Texts with equal statistics have equal scores. Repeated rows are each scored; an empty
+    table stays empty; columns of ``docs`` with a name of the result are replaced, all other names are free.
     """
     result = ["held_out", "score", "predicted"]
-    own = [c for c in docs.columns if c not in [*result, text]]
-    rows = staged(text_statistics(docs.select(*own, text), text).drop(text), "statistics")
-    known = labels.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.min("quality").alias("_quality"))
-    model = fit(rows.filter(~held_out(doc_id)).join(known, doc_id), "_quality")
+    rows = staged(text_statistics(pack(docs, doc_id, text, result), "_text"), "statistics")
+    known = labels.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.min("quality").alias("_quality"))
+    numbers = rows.drop("_others").filter(~held_out("_id"))
+    model = fit(numbers.join(known, "_id"), "_quality")
     score = model.score(lambda name: F.col(PREFIX + name))
-    return rows.select(*own, held_out(doc_id).alias("held_out"), score.alias("score")).withColumn(
+    return rows.select(*unpacked(docs, doc_id, text, result), held_out("_id").alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -26,6 +26,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortry.llm.arrow_rows import pack, unpacked
 from cohortry.llm.registry import documents, query
 from cohortry.session import staged
 
@@ -118,12 +119,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", te
     texts, null and empty alike, share a shard. Slots count from 0 without gaps in each
     shard, over a hash of the ids, so that no group of equal texts or ids meets in one
     task; repeated rows get slots of their own. An empty table stays empty; with fewer groups than
-    shards some shards are empty. Columns of ``docs`` with a name of the result are replaced.
+    shards some shards are empty. Columns of ``docs`` with a name of the result are replaced, all other
+    names are free. A text of any length is one row; longer than the mean shard, its group has one to itself.
     """
-    own = [c for c in docs.columns if c not in [*RESULT, text]]
-    clean = F.coalesce(F.col(text), F.lit(""))
-    rows = staged(docs.select(
-        *own, (F.octet_length(clean) + 8).cast("long").alias("size"), F.crc32(clean.cast("binary")).alias("text_crc32"),
+    clean = F.coalesce(F.col("_text"), F.lit(""))
+    rows = staged(pack(docs, doc_id, text, RESULT).select(
+        "_id", "_others", (F.octet_length(clean) + 8).cast("long").alias("size"), F.crc32(clean.cast("binary")).alias("text_crc32"),
         F.shiftrightunsigned(F.xxhash64(clean), 1).alias("_place")), "rows")
     groups = staged(rows.groupBy(F.col("_place").alias("place")).agg(
         F.sum("size").alias("size"), F.count("*").alias("rows")), "groups")
@@ -142,14 +143,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", te
     for k, place in enumerate(alone):
         shard = F.when(F.col("_place") == place, left + k).otherwise(shard)
     runs = max(1, n // (shards * ROWS_PER_RUN))
-    placed = rows.withColumns({"shard": shard, "_run": F.pmod(F.xxhash64(doc_id, "_place", *[c for c in own if c != doc_id]), F.lit(runs))})
+    placed = rows.withColumns({"shard": shard, "_run": F.pmod(F.xxhash64("_id", "_place", "_others"), F.lit(runs))})
     counts = placed.groupBy("shard", "_run").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("shard", "_run").orderBy(doc_id, "_place", F.xxhash64(*own))
+    inside = Window.partitionBy("shard", "_run").orderBy("_id", "_place", F.xxhash64("_others"))
     numbered = placed.withColumn("_at", F.row_number().over(inside)).join(starts, ["shard", "_run"])
     return numbered.select(
-        *own, "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        *unpacked(docs, doc_id, text, RESULT), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("_before") + F.col("_at") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

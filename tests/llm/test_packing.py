@@ -37,6 +37,7 @@ def test_round_trip(spark, tmp_path):
         assert np.frombuffer(b"".join(r.ids for r in mine), "<u4").tolist() == ids
         assert {r.doc_tokens for r in mine} == {len(ids)} and {r.source for r in mine} == {"x"}
     assert len({r.sequence_id for r in got}) == len(got) and {r.offset for r in got} == {0}
+    assert all(a <= r.sequence_id < b for r in got for a, b in [packing.bucket_range(r.length)])
     packing.write_buckets(pieces, f"{tmp_path}/buckets")
     back = spark.read.parquet(f"{tmp_path}/buckets")
     assert back.count() == len(got)
