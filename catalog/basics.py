@@ -60,8 +60,12 @@ def _(spark, d):
 @query("s4_table_load", BASE + f"SELECT call, count(*) AS n, {r6('avg(p)')} AS purity FROM ("
        "SELECT status AS call, purity AS p FROM samples) GROUP BY 1")
 def _(spark, d):
-    return samples(spark, d).groupBy(F.col("status").alias("call")).agg(
-        F.count("*").alias("n"), F.avg("purity").alias("purity"))
+    path = scratch(spark, "calls")
+    purity = F.col("purity").cast("string")
+    samples(spark, d).select(F.col("sample").cast("string").alias("Sample"), F.col("status").alias("ManualCall"),
+                             purity.alias("ASCAT.purity"), purity.alias("Adjust_ASCAT.purity"), "immune").write.parquet(path)
+    return tables.read_input(spark, path, "purity").groupBy("call").agg(
+        F.count("*").alias("n"), F.avg(nr.as_number("purity_first")).alias("purity"))
 
 
 CHECKPOINT_SQL = BASE + """SELECT locus, count(*) AS n, count(DISTINCT event) AS n_event, count(tumour) AS n_tumour

@@ -11,6 +11,8 @@ from cohortry.functions.nullrules import n_distinct
 from cohortry.operators.grouped import add_group_stats, distinct_levels
 from cohortry.operators.joins import natural_join
 from cohortry.plans import ingest, labels
+from cohortry.session import new_folder
+from cohortry.sources import layout
 
 BASE = with_ctes(OBS)
 
@@ -66,6 +68,26 @@ def _(spark, d):
     return ingest.attach_samples(lines(spark, d).select("sample", "event", "mut_type"), index, immune)
 
 
+def by_sample(spark, df, write=layout.write_index):
+    """``df`` laid out by sample in a new folder of the shared storage."""
+    return write(df, f"{new_folder(spark, 'keyed')}/table", ["sample"], int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+@query("d2_attach_samples_keyed", BASE + "SELECT DISTINCT sample, event, mut_type, patient, tumour, immune FROM obs")
+def _(spark, d):
+    index = by_sample(spark, samples(spark, d).select("sample", "patient", "tumour"))
+    immune = by_sample(spark, samples(spark, d).select("sample", "immune").filter("immune is not null"))
+    events = by_sample(spark, lines(spark, d).select("sample", "event", "mut_type"), layout.write_keyed)
+    return ingest.attach_samples_keyed(events, index, immune).rows()
+
+
+@query("s6_keyed_layout", BASE + """SELECT sample, count(*) AS n, count(DISTINCT event) AS n_event, count(DISTINCT mut_type) AS n_type
+FROM lines GROUP BY 1""")
+def _(spark, d):
+    events = by_sample(spark, lines(spark, d).select("sample", "event", "mut_type"), layout.write_keyed)
+    return events.group(n=F.count("*"), n_event=F.count_distinct("event"), n_type=F.count_distinct("mut_type"))
+
+
 RAW = """raw AS (SELECT *, el > 0.02 AS pass_present, coverage >= 10 AS pass_homo,
 CASE WHEN var_count = 7 THEN '*' ELSE mut_type END AS raw_type FROM obs)"""
 
@@ -179,12 +201,22 @@ def _(spark, d):
     return ingest.event_key(binding_table(spark, d))
 
 
-@query("d9_assemble", BASE + f"""SELECT event, sample, patient, locus, slot, allele, {r6('purity')} AS purity FROM (
+D9_SQL = BASE + f"""SELECT event, sample, patient, locus, slot, allele, {r6('purity')} AS purity FROM (
 SELECT DISTINCT event, sample, patient FROM obs) JOIN (SELECT DISTINCT c_custkey AS patient, 'A' AS locus, 'allele_1' AS slot,
 CASE WHEN c_nationkey = 7 THEN 'Not typed' ELSE 'HLA-A*' || c_nationkey END AS allele FROM customer UNION ALL
 SELECT DISTINCT c_custkey, 'A', 'allele_2', CASE WHEN c_custkey % 3 = 0 THEN '-' ELSE 'HLA-A*' || ((c_nationkey * 7 + c_custkey) % 40) END
 FROM customer) USING (patient)
-LEFT JOIN (SELECT sample, purity FROM samples) USING (sample)""")
+LEFT JOIN (SELECT sample, purity FROM samples) USING (sample)"""
+
+
+@query("d9_assemble_keyed", D9_SQL)
+def _(spark, d):
+    events = by_sample(spark, observations(spark, d, "event", "sample", "patient"), layout.write_keyed)
+    purity = by_sample(spark, samples(spark, d).select("sample", "purity"))
+    return ingest.assemble_keyed(events, hla(spark, d), purity)
+
+
+@query("d9_assemble", D9_SQL)
 def _(spark, d):
     events = observations(spark, d, "event", "sample", "patient")
     return ingest.assemble(events, hla(spark, d), samples(spark, d).select("sample", "purity"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.nullrules import as_number, n_distinct, paste0
 from cohortry.operators.grouped import add_group_stats, keep_groups, pick_where
 from cohortry.operators.joins import drop_matching, keep_matching, natural_join
+from cohortry.sources.layout import KeyedTable
 
 
 def resolve_purity(calls: DataFrame) -> DataFrame:
@@ -22,6 +23,11 @@ def attach_samples(events: DataFrame, samples: DataFrame, immune: DataFrame) ->
     return natural_join(natural_join(events, samples).distinct(), immune, "left").distinct()
 
 
+def attach_samples_keyed(events: KeyedTable, samples: KeyedTable, immune: KeyedTable) -> KeyedTable:
+    """:func:`attach_samples` over tables laid out by sample: no row of an ordinary sample is moved."""
+    return events.join(samples).distinct().join(immune, "left").distinct()
+
+
 def passes_quality(unresolved: str = "*"):
     return F.coalesce(F.col("pass_present") & F.col("pass_homo") & (F.col("mut_type") != unresolved), F.lit(False))
 
@@ -84,6 +90,11 @@ def assemble(events: DataFrame, hla: DataFrame, purity: DataFrame) -> DataFrame:
     return natural_join(natural_join(events, hla).distinct(), purity, "left").distinct()
 
 
+def assemble_keyed(events: KeyedTable, hla: DataFrame, purity: KeyedTable) -> DataFrame:
+    """:func:`assemble` over tables laid out by sample: the purity joins in place, only the patient's alleles need an exchange."""
+    return natural_join(events.distinct().join(purity, "left").rows(), hla).distinct()
+
+
 def class_one(df: DataFrame, binding: DataFrame, loci=("A", "B", "C"), key_length: int = 11) -> DataFrame:
     """Nonsynonymous rows of the class-I loci with the scores of their allele."""
     rows = df.filter(F.col("locus").isin(*loci) & (F.col("effect") == "nonsynonymous"))
