@@ -40,7 +40,11 @@ class KeyedTable:
         return KeyedTable(change(self.bucketed), change(self.spread), self.keys, self.buckets)
 
     def group(self, *by: str, **measures: Column) -> DataFrame:
-        """Group statistics by the keys and ``by``; bucketed rows are not moved."""
+        """Group statistics by the keys and ``by``.
+
+        Bucketed rows are not moved, unless distinct values of more than one column are counted: Spark then
+        expands the rows and exchanges them, so ask for such counts one by one where the table is large.
+        """
         names = [*self.keys, *by]
         aggregates = [c.alias(n) for n, c in measures.items()]
         return self.bucketed.groupBy(*names).agg(*aggregates).unionByName(self.spread.groupBy(*names).agg(*aggregates))
