@@ -279,7 +279,7 @@ def concordance(df: DataFrame, time: str, event: str, covariates: list[str], buc
     ranked = clean(running(cut_ranges(times, ["covariate"], "_time", parts, used=["_one"]), "_time", [Run("_rank", "_one")]))
     # At one time the censored are still at risk, so they come after the events.
     code = 2 * F.col("_rank") + F.when(F.col("_died") == 1, F.lit(0)).otherwise(F.lit(1))
-    cells = staged(counts.join(ranked.select("covariate", "_time", "_rank"), ["covariate", "_time"]).select(
+    cells = staged(counts.join(ranked.select("covariate", "_time", "_rank").hint("merge"), ["covariate", "_time"]).select(
         "covariate", code.alias("_code"), (F.col("_died") == 1).alias("_event"), "_x", "_n"))
     bits = int(cells.agg(F.max("_code")).first()[0] or 0).bit_length()
     block = ["covariate", "_bit", "_prefix"]
@@ -292,7 +292,8 @@ def concordance(df: DataFrame, time: str, event: str, covariates: list[str], buc
     sides, parts = settle(sides, block, buckets)
     summed = clean(running(cut_ranges(sides, block, "_x", parts, used=["_later", "_events"]), "_x", [
         Run("_later_upto", "_later", total="_later_all"), Run("_events_upto", "_events", total="_events_all")]))
-    seen = split.join(summed, [*block, "_x"])
+    # Each cell has become a row per bit, which the size estimate does not know: neither side may be broadcast.
+    seen = split.join(summed.hint("merge"), [*block, "_x"])
     upper, first = F.col("_upper"), ~F.col("_upper") & F.col("_event")
     zero = F.lit(0).cast("long")
     below, above = F.col("_later_upto") - F.col("_later"), F.col("_later_all") - F.col("_later_upto")
@@ -320,6 +321,7 @@ def cox_summary(df: DataFrame, time: str, event: str, covariates: list[str], buc
 
     Concordance is that of the fitted risk, so values count downwards where the coefficient is negative.
     """
+    df = staged(df.select(time, event, *covariates))  # the fits and the concordance both read it
     fits = staged(_cox_fits(df, time, event, covariates, buckets=buckets))
     order = concordance(df, time, event, covariates, buckets).withColumnRenamed("std_err", "concordance_se")
     falls = F.col("coef") < 0

@@ -480,6 +480,12 @@ def test_matrix_finds_its_columns(spark):
         wide_from_long(cells, ["event"], "allele", "share", most=1)
 
 
+def test_concordance_broadcasts_no_cells(spark):
+    df = spark.range(300).selectExpr("id % 17 AS t", "id % 2 AS e", "id * 0.5D AS x")
+    plan = concordance(df, "t", "e", ["x"])._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 @pytest.mark.parametrize("buckets", BUCKETS)
 def test_concordance_against_all_pairs(spark, buckets):
     rng = np.random.default_rng(3)
