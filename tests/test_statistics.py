@@ -393,6 +393,18 @@ def test_replicates_move_no_rows(spark):
     assert null == {(r.cell, r.lab): r.m for r in shuffled.collect()} and len(null) == 15
 
 
+def test_units_are_counted_where_they_lie(spark):
+    df = spark.range(4000).selectExpr("id", "CAST(id % 5 AS string) AS lab", "IF(id % 4 >= 2, 1, IF(id % 2 = 0, NULL, id % 3)) AS cell",
+                                      "IF(id % 4 < 2, id % 1999, -1) AS u")
+    for rows, heavy in ((df.filter("u >= 0"), False), (df, True)):  # with all rows, one unit of one cell has half of them
+        null = permutation_null(rows, "id", "lab", ["cell"], "u", reps=70)
+        assert ("_w0" in null._jdf.queryExecution().analyzed().toString()) == heavy  # only its replicates move as bits
+        got = {(r.cell, r.lab): r.null_median for r in null.collect()}
+        shuffled = permute_label(rows, "id", "lab", 70, carry=["cell", "u"]).groupBy("rep", "cell", "lab").agg(
+            F.count_distinct("u").alias("n")).groupBy("cell", "lab").agg(F.median("n").alias("m"))
+        assert got == {(r.cell, r.lab): r.m for r in shuffled.collect()} and len(got) == 20
+
+
 def test_permutation_of_odd_labels(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "a", None), (3, "a", "x")], "id long, lab string, u string")
     got = permute_label(df, "id", "lab", 4, carry=["u"]).collect()
