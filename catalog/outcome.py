@@ -27,8 +27,8 @@ def split(x, src="followed"):
 
 
 def followed(spark, d):
-    rows = observations(spark, d, "patient", "event", "combine", "effect", "el", "el_wt", "coverage")
-    return outcome.burden_table(rows, survival(spark, d), NEO)
+    rows = observations(spark, d, "patient", "event", "combine", neo=NEO)
+    return outcome.burden_table(rows, survival(spark, d), "neo")
 
 
 SIDES, NAMES = ("false", "true"), ("False", "True")

@@ -10,21 +10,28 @@ from cohortry.operators.mixed import random_intercept
 from cohortry.operators.moments import median_split
 from cohortry.operators.survival import cox_ph, kaplan_meier, log_rank
 from cohortry.plans.profiles import profile
+from cohortry.session import staged
 
 ENDS = {"dfs": ("dfs_time", "cens_dfs"), "os": ("os_time", "cens_os")}
 
 
+def _events_and_pairs(df: DataFrame, unit: list[str], neoantigenic: str) -> DataFrame:
+    """One row per unit, event and pair, told whether it is a neoantigen; both counts of a unit share its exchange."""
+    return df.groupBy(*unit, "event", "combine").agg(F.bool_or(F.coalesce(F.expr(neoantigenic), F.lit(False))).alias("_neo"))
+
+
 def burden_table(df: DataFrame, survival: DataFrame, neoantigenic: str, unit: str = "patient") -> DataFrame:
-    """Burden, neoantigen burden and its share per unit, with the unit's follow-up."""
-    events = profile(df, [unit], "event", {"total_event": None, "neo_event": neoantigenic},
+    """Burden, neoantigen burden and its share per unit, with the unit's follow-up, staged: a split reads it several times."""
+    cells = _events_and_pairs(df, [unit], neoantigenic)
+    events = profile(cells, [unit], "event", {"total_event": None, "neo_event": "_neo"},
                      shares={"neo_share": ("neo_event", "total_event")}, zero=("neo_event", "neo_share"))
-    pairs = profile(df, [unit], "combine", {"total_combine": None, "neo_burden": neoantigenic},
+    pairs = profile(cells, [unit], "combine", {"total_combine": None, "neo_burden": "_neo"},
                     zero=("neo_burden",))
-    return natural_join(natural_join(events, pairs), survival)
+    return staged(natural_join(natural_join(events, pairs), survival), "burden")
 
 
 def present_burden(df: DataFrame, survival: DataFrame, unit: list[str], item: str, test: str, share: bool = False) -> DataFrame:
-    """Distinct items that meet ``test`` per unit as ``x``, or their share of the unit's items, with the follow-up.
+    """Distinct items that meet ``test`` per unit as ``x``, or their share of the unit's items, with the follow-up, staged.
 
     Units without such an item are absent, so they do not move the median.
     """
@@ -32,14 +39,15 @@ def present_burden(df: DataFrame, survival: DataFrame, unit: list[str], item: st
         table = profile(df, unit, item, {"n_all": None, "n_item": test}, shares={"x": ("n_item", "n_all")})
     else:
         table = profile(df.filter(test), unit, item, {"x": None})
-    return natural_join(table.filter("x is not null").select(*unit, "x"), survival)
+    return staged(natural_join(table.filter("x is not null").select(*unit, "x"), survival), "burden")
 
 
 def scored_burden(df: DataFrame, survival: DataFrame, unit: list[str], neoantigenic: str) -> DataFrame:
-    """Events, pairs and neoantigens of the units that have a neoantigen, with the follow-up."""
-    events = profile(df, unit, "event", {"total_event": None})
-    pairs = profile(df, unit, "combine", {"total_combine": None, "neo_burden": neoantigenic})
-    return natural_join(natural_join(events, pairs.filter("neo_burden is not null"), "inner", unit), survival)
+    """Events, pairs and neoantigens of the units that have a neoantigen, with the follow-up, staged."""
+    cells = _events_and_pairs(df, unit, neoantigenic)
+    events = profile(cells, unit, "event", {"total_event": None})
+    pairs = profile(cells, unit, "combine", {"total_combine": None, "neo_burden": "_neo"})
+    return staged(natural_join(natural_join(events, pairs.filter("neo_burden is not null"), "inner", unit), survival), "burden")
 
 
 def hazards(table: DataFrame, covariates: list[str], end: str = "os") -> DataFrame:

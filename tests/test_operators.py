@@ -205,6 +205,17 @@ def test_significant_class_rows(spark):
     assert association.frequent_pairs(df, 3).select("event", "allele").distinct().count() == 4
 
 
+def test_burden_is_counted_once(spark):
+    df = spark.createDataFrame([("p", 1, "1_a", True), ("p", 1, "1_b", None), ("p", 2, "2_a", True), ("q", 1, "1_a", False), ("q", 1, "1_a", None)],
+                               "patient string, event long, combine string, neo boolean")
+    follow = spark.createDataFrame([("p", 5.0), ("q", 6.0)], "patient string, os_time double")
+    table = outcome.burden_table(df, follow, "neo")
+    assert rows(table, "patient", "total_event", "neo_event", "neo_share", "total_combine", "neo_burden", "os_time") == [
+        ("p", 2, 2, 1.0, 3, 2, 5.0), ("q", 1, 0, 0.0, 1, 0, 6.0)]
+    for made in (table, outcome.present_burden(df, follow, ["patient"], "event", "neo"), outcome.scored_burden(df, follow, ["patient"], "neo")):
+        assert "Aggregate" not in made._jdf.queryExecution().sparkPlan().toString()  # a split reads the counts, not the rows
+
+
 def test_present_burden_leaves_out_empty_units(spark):
     df = spark.createDataFrame([("r1", 1, 10, True), ("r1", 1, 11, False), ("r2", 1, 10, False), ("r3", 2, 10, True), ("r4", 3, 10, True)],
                                "sample string, patient int, event int, neo boolean")
