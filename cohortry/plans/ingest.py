@@ -87,7 +87,11 @@ def event_key(binding: DataFrame) -> DataFrame:
 
 
 def assemble(events: DataFrame, hla: DataFrame, purity: DataFrame) -> DataFrame:
-    return natural_join(natural_join(events, hla).distinct(), purity, "left").distinct()
+    """Distinct events with the patient's alleles and the sample's purity.
+
+    The inputs are made distinct, so their join is: no row is compared after the alleles have multiplied it.
+    """
+    return natural_join(natural_join(events.distinct(), hla.distinct()), purity.distinct(), "left")
 
 
 def assemble_keyed(events: KeyedTable, hla: DataFrame, purity: KeyedTable) -> DataFrame:

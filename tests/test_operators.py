@@ -205,6 +205,16 @@ def test_significant_class_rows(spark):
     assert association.frequent_pairs(df, 3).select("event", "allele").distinct().count() == 4
 
 
+def test_assembled_rows_are_distinct_before_the_joins(spark):
+    events = spark.createDataFrame([(1, "s", "p"), (1, "s", "p"), (2, "r", None), (2, "r", None)], "event long, sample string, patient string")
+    hla = spark.createDataFrame([("p", "a"), ("p", "a"), ("p", "b"), (None, "c")], "patient string, allele string")
+    purity = spark.createDataFrame([("s", 0.5), ("s", 0.5), ("s", None)], "sample string, purity double")
+    out = ingest.assemble(events, hla, purity)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(
+        [(1, "s", "p", a, q) for a in "ab" for q in (0.5, None)] + [(2, "r", None, "c", None)], key=str)
+    assert not out._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+
+
 def test_burden_is_counted_once(spark):
     df = spark.createDataFrame([("p", 1, "1_a", True), ("p", 1, "1_b", None), ("p", 2, "2_a", True), ("q", 1, "1_a", False), ("q", 1, "1_a", None)],
                                "patient string, event long, combine string, neo boolean")
