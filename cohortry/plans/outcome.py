@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.functions.nullrules import divide
 from cohortry.operators.joins import natural_join
 from cohortry.operators.mixed import random_intercept
 from cohortry.operators.moments import median_split
@@ -16,18 +17,32 @@ ENDS = {"dfs": ("dfs_time", "cens_dfs"), "os": ("os_time", "cens_os")}
 
 
 def _events_and_pairs(df: DataFrame, unit: list[str], neoantigenic: str) -> DataFrame:
-    """One row per unit, event and pair, told whether it is a neoantigen; both counts of a unit share its exchange."""
-    return df.groupBy(*unit, "event", "combine").agg(F.bool_or(F.coalesce(F.expr(neoantigenic), F.lit(False))).alias("_neo"))
+    """Distinct events and pairs (``combine``) per unit, all and neoantigenic ones; a missing item counts as one.
+
+    A pair is an event with an allele, so it lies in one event. Rows are dealt by unit and event once,
+    and all counts of an event are made where they lie; only sums per unit move after that. As several
+    aggregates then share a task, there are as many tasks as shuffle partitions, not fewer large ones.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    test = F.coalesce(F.expr(neoantigenic), F.lit(False)).alias("_neo")
+    dealt = df.select(*unit, "event", "combine", test).repartition(parts, *unit, "event")
+    pairs = dealt.groupBy(*unit, "event", "combine").agg(F.bool_or("_neo").alias("_neo"))
+    known, neo = F.col("combine").isNotNull(), F.col("_neo")
+    events = pairs.groupBy(*unit, "event").agg(
+        F.bool_or(neo).alias("_neo"), F.count_if(known).alias("_pairs"), F.count_if(known & neo).alias("_neo_pairs"),
+        F.bool_or(~known).alias("_missing"), F.bool_or(~known & neo).alias("_neo_missing"))
+    return events.groupBy(*unit).agg(
+        F.count(F.lit(1)).alias("total_event"), F.count_if(neo).alias("neo_event"),
+        # A missing pair has no event of its own: it is one item of the unit.
+        (F.sum("_pairs") + F.bool_or("_missing").cast("long")).alias("total_combine"),
+        (F.sum("_neo_pairs") + F.bool_or("_neo_missing").cast("long")).alias("neo_burden"))
 
 
 def burden_table(df: DataFrame, survival: DataFrame, neoantigenic: str, unit: str = "patient") -> DataFrame:
     """Burden, neoantigen burden and its share per unit, with the unit's follow-up, staged: a split reads it several times."""
-    cells = _events_and_pairs(df, [unit], neoantigenic)
-    events = profile(cells, [unit], "event", {"total_event": None, "neo_event": "_neo"},
-                     shares={"neo_share": ("neo_event", "total_event")}, zero=("neo_event", "neo_share"))
-    pairs = profile(cells, [unit], "combine", {"total_combine": None, "neo_burden": "_neo"},
-                    zero=("neo_burden",))
-    return staged(natural_join(natural_join(events, pairs), survival), "burden")
+    counts = _events_and_pairs(df, [unit], neoantigenic)
+    table = counts.select(unit, "total_event", "neo_event", divide("neo_event", "total_event").alias("neo_share"), "total_combine", "neo_burden")
+    return staged(natural_join(table, survival), "burden")
 
 
 def present_burden(df: DataFrame, survival: DataFrame, unit: list[str], item: str, test: str, share: bool = False) -> DataFrame:
@@ -44,10 +59,8 @@ def present_burden(df: DataFrame, survival: DataFrame, unit: list[str], item: st
 
 def scored_burden(df: DataFrame, survival: DataFrame, unit: list[str], neoantigenic: str) -> DataFrame:
     """Events, pairs and neoantigens of the units that have a neoantigen, with the follow-up, staged."""
-    cells = _events_and_pairs(df, unit, neoantigenic)
-    events = profile(cells, unit, "event", {"total_event": None})
-    pairs = profile(cells, unit, "combine", {"total_combine": None, "neo_burden": "_neo"})
-    return staged(natural_join(natural_join(events, pairs.filter("neo_burden is not null"), "inner", unit), survival), "burden")
+    counts = _events_and_pairs(df, unit, neoantigenic).filter("neo_burden > 0")
+    return staged(natural_join(counts.select(*unit, "total_event", "total_combine", "neo_burden"), survival), "burden")
 
 
 def hazards(table: DataFrame, covariates: list[str], end: str = "os") -> DataFrame:

@@ -74,3 +74,10 @@ def test_ranges_give_the_plain_answer(spark, monkeypatch):
 
 def test_entry(spark):
     assert entry_point.entry(spark).columns
+
+
+def test_lines_do_not_move_for_the_suppliers(spark):
+    """Each small table is joined by its own size, also in the plan that no finished stage has changed."""
+    from catalog.cohort import observations
+    plan = observations(spark, DATA, "event", "combine")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan

@@ -226,6 +226,15 @@ def test_burden_is_counted_once(spark):
         assert "Aggregate" not in made._jdf.queryExecution().sparkPlan().toString()  # a split reads the counts, not the rows
 
 
+def test_rows_move_once_for_the_counts_of_a_unit(spark):
+    df = spark.createDataFrame([("p", 1, "1_a", True), ("p", 1, "1_a", False), ("p", 1, None, True), ("p", 2, None, None), ("p", 2, "2_a", None),
+                                ("p", None, None, None), (None, 1, "1_a", None)], "patient string, event long, combine string, neo boolean")
+    made = outcome._events_and_pairs(df, ["patient"], "neo")
+    # Once by unit and event, then their sums by unit.
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert sorted(map(tuple, made.collect()), key=str) == [("p", 3, 1, 3, 2), (None, 1, 0, 1, 0)]
+
+
 def test_present_burden_leaves_out_empty_units(spark):
     df = spark.createDataFrame([("r1", 1, 10, True), ("r1", 1, 11, False), ("r2", 1, 10, False), ("r3", 2, 10, True), ("r4", 3, 10, True)],
                                "sample string, patient int, event int, neo boolean")
