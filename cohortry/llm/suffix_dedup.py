@@ -8,11 +8,13 @@ bytes, its anchor, does. So
    anchor one row is made. Anchors whose hash occurs once are dropped by a join.
 2. The strings of one anchor lie in one span of text. Of equal spans (equal hash of the anchor
    and equal digest of the bytes) the earliest stays a candidate; the others are repeats.
-3. Candidates that share an anchor hash are dealt by it, the many spans of a hot hash in chunks.
+3. Candidates that share an anchor hash are dealt by it. The many spans of a hot hash are first cut into
+   parts of ``PART`` starts and dealt by the bytes that all strings of a part have: equal strings
+   still meet, and parts that are alone drop out. Only parts of more than ``CHUNK`` spans lie in chunks.
    Each task sorts the suffixes at all starts of strings in its spans, see
    :mod:`cohortry.llm.suffix_sort`; in each run of suffixes that agree in ``LENGTH`` bytes all
    but the earliest are repeats.
-4. The strings that are left of hot hashes, at most one per chunk for each text, are merged
+4. The strings that are left of parts in chunks, at most one per chunk for each text, are merged
    over chunks by an aggregate on their bytes.
 
 The repeats become spans of their documents, which are cut out in a last pass. Copies combine
@@ -47,6 +49,8 @@ BLOCK = 1 << 15
 HASH_BITS, END_BITS = 48, 10
 #: Spans of one anchor hash that a task sorts together, and suffixes sorted at once, about.
 CHUNK, TOGETHER = 4096, 1 << 18
+#: Starts of strings, as told from their anchor, in one part of a span of a hot hash.
+PART = 8
 #: Largest ``length`` that fits the bits above.
 LONGEST = 1 << END_BITS
 
@@ -205,15 +209,33 @@ def _sorted_spans(spans: DataFrame, length: int) -> DataFrame:
     return spans.mapInArrow(run, schema)
 
 
-def _with_bytes(candidates: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """``candidates`` with the bytes of their spans."""
+def _parts(raw: bytes, at: int, length: int, gram: int) -> list[tuple[int, int, bytes]]:
+    """The parts of the span of a packed anchor: each packed, with the hash of what all its strings have, and its bytes.
+
+    Strings whose anchor is between ``a`` and ``a + PART - 1`` bytes after their start, and equal ones
+    are as far from it, have the ``a`` bytes before the anchor and those after it up to the end of the first.
+    """
+    place, mask = at >> 2 * END_BITS, LONGEST - 1
+    least, most = at >> END_BITS & mask, at & mask
+    out = []
+    for a in range(least // PART * PART, most + 1, PART):
+        b = min(a + PART - 1, length - gram)
+        low, high = max(a, least), min(b, most)
+        key = xxhash.xxh3_64_intdigest(raw[place - a:place - b + length], a) - (1 << 63)
+        out.append(((place << 2 * END_BITS) | (low << END_BITS) | high, key, raw[place - high:place - low + length]))
+    return out
+
+
+def _with_bytes(candidates: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """``candidates`` with the bytes of their spans; those that are ``_often`` in parts, with the hash ``_key`` of each."""
     keys = ["_none", "_doc", "_tag"]
-    passed = ["_gram", "_chunk", "_chunked", "_at"]
+    passed = ["_gram", "_often", "_at"]
     lists = candidates.groupBy(*keys).agg(F.collect_list(F.struct(*passed)).alias("_list"))
     named = lists.withColumnsRenamed({k: f"{k}_of" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys]
     read = docs.join(named, same).select(*keys, "_list", "_text")
-    schema = T.StructType([*[read.schema[c] for c in keys], *[candidates.schema[c] for c in passed], T.StructField("_bytes", T.BinaryType())])
+    schema = T.StructType([*[read.schema[c] for c in keys], *[candidates.schema[c] for c in passed],
+                           T.StructField("_key", T.LongType()), T.StructField("_bytes", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
@@ -223,12 +245,23 @@ def _with_bytes(candidates: DataFrame, docs: DataFrame, length: int) -> DataFram
             flat = list_column.flatten()
             if not len(flat):
                 continue
-            row = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-            first, last = _starts(flat.field("_at").to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), counts)
+            at, hot = flat.field("_at").to_numpy(), flat.field("_often").to_numpy(zero_copy_only=False)
             texts = batch.column("_text").to_pylist()
-            pieces = [texts[r][a:b + length] for r, a, b in zip(row.to_pylist(), first.tolist(), last.tolist(), strict=True)]
+            cold = np.flatnonzero(~hot)
+            first, last = _starts(at[cold])
+            pieces = [texts[r][a:b + length] for r, a, b in zip(row[cold].tolist(), first.tolist(), last.tolist(), strict=True)]
+            of, at_of, part = cold.tolist(), at[cold].tolist(), [0] * len(cold)
+            for k in np.flatnonzero(hot).tolist():
+                for packed, key, piece in _parts(texts[row[k]], int(at[k]), length, gram):
+                    of.append(k)
+                    at_of.append(packed)
+                    part.append(key)
+                    pieces.append(piece)
+            taken = pa.array(row[of])
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c).take(row) for c in keys], *[flat.field(c) for c in passed], pa.array(pieces, pa.binary())], schema=arrow)
+                [*[batch.column(c).take(taken) for c in keys], *[flat.field(c).take(pa.array(of, pa.int64())) for c in passed[:2]],
+                 pa.array(at_of, pa.int64()), pa.array(part, pa.int64()), pa.array(pieces, pa.binary())], schema=arrow)
 
     return read.mapInArrow(run, schema)
 
@@ -258,10 +291,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     firsts = staged(rows.groupBy("_gram", "_span").agg(F.min(F.struct(*PLACE)).alias("_first")).select("_gram", "_first.*"), "firsts")
 
     shared = staged(firsts.groupBy("_gram").agg(F.count(F.lit(1)).alias("_spans")).filter("_spans > 1"), "shared")
+    candidates = split_join(firsts, shared, "_gram", "_spans").select(*PLACE, "_gram", (F.col("_spans") > CHUNK).alias("_often"))
+    pieces = staged(_with_bytes(candidates, docs, length, gram), "spans")
+    hot, given = pieces.filter("_often"), [*PLACE, "_gram", "_bytes"]
+    sizes = staged(hot.groupBy("_key").agg(F.count(F.lit(1)).alias("_spans")).filter("_spans > 1"), "parts")
     chunks = F.ceil(F.col("_spans") / CHUNK)
-    candidates = split_join(firsts, shared, "_gram", "_spans").select(
-        *PLACE, "_gram", F.pmod(F.xxhash64(*PLACE), chunks).cast("int").alias("_chunk"), (chunks > 1).alias("_chunked"))
-    spans = _with_bytes(candidates, docs, length).repartition("_gram", "_chunk").sortWithinPartitions("_gram", "_chunk")
+    # The part and the chunk in one number: two of one anchor hash that agree in it would just be sorted together.
+    parts = split_join(hot, sizes, "_key", "_spans").select(
+        *given, F.xxhash64("_key", F.pmod(F.xxhash64(*PLACE), chunks)).alias("_chunk"), (chunks > 1).alias("_chunked"))
+    spans = pieces.filter("NOT _often").select(*given, F.lit(0).cast("long").alias("_chunk"), F.lit(False).alias("_chunked")).unionByName(
+        parts).repartition("_gram", "_chunk").sortWithinPartitions("_gram", "_chunk")
     found = staged(_sorted_spans(spans, length), "sorted")
 
     left = found.filter("_string IS NOT NULL").drop("end")

@@ -71,14 +71,44 @@ class Prefixes:
         return low
 
 
+def _heads(raw: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
+    """The first eight bytes at ``at``, or ``most`` if that is less, as numbers that order as the bytes do."""
+    padded = np.append(raw, np.zeros(8, np.uint8))
+    words = np.ndarray(len(raw) + 1, ">u8", padded, strides=(1,))
+    return words[at].astype(np.uint64) >> np.uint64(max(0, 64 - 8 * most))
+
+
 def sort_suffixes(raw: np.ndarray, at: np.ndarray, segment: np.ndarray, rank: np.ndarray, most: int):
     """Order of the suffixes at ``at`` by their segment, first ``most`` bytes and rank.
 
     ``segment`` ascends and every suffix has ``most`` bytes. Also returns whether each suffix
-    of the order has the same segment and bytes as the one before it.
+    of the order has the same segment and bytes as the one before it. Suffixes are sorted by their
+    first bytes as numbers; those that agree in them are merged by comparisons.
     """
     prefixes = Prefixes(raw)
     n = len(at)
+    heads = _heads(raw, at, most)
+    order = np.lexsort((heads, segment))
+    tied = (np.diff(segment[order]) == 0) & (np.diff(heads[order]) == 0)
+    run = np.cumsum(np.append(0, ~tied)) if n else order
+    open_ = np.flatnonzero(np.append(tied, False) | np.append(False, tied)) if n else order
+    order[open_] = _merged(raw, prefixes, at, run[open_], rank, order[open_], most)
+    same = np.zeros(n, bool)
+    near = np.flatnonzero(tied) + 1
+    i, j = at[order[near - 1]], at[order[near]]
+    same[near] = prefixes.hashes(i, most) == prefixes.hashes(j, most)
+    if not _verified(raw, at[order[np.flatnonzero(same) - 1]], at[order[np.flatnonzero(same)]], most):
+        order = np.array(sorted(range(n), key=lambda x: (segment[x], raw[at[x]:at[x] + most].tobytes(), rank[x])), np.int64)
+        near = np.flatnonzero(segment[order[1:]] == segment[order[:-1]]) + 1
+        same = np.zeros(n, bool)
+        same[near] = [raw[a:a + most].tobytes() == raw[b:b + most].tobytes()
+                      for a, b in zip(at[order[near - 1]], at[order[near]], strict=True)]
+    return order, same
+
+
+def _merged(raw: np.ndarray, prefixes: Prefixes, at: np.ndarray, segment: np.ndarray, rank: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """``order`` sorted by a mergesort within each run of equal ``segment``, which has a number per place of ``order``."""
+    n = len(order)
 
     def before(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether suffix x precedes suffix y; both are numbers of suffixes."""
@@ -88,7 +118,7 @@ def sort_suffixes(raw: np.ndarray, at: np.ndarray, segment: np.ndarray, rank: np
         step = np.where(ends, 0, length)
         return np.where(ends, rank[x] < rank[y], raw[i + step] < raw[j + step])
 
-    order = np.arange(n)
+    order = order.copy()
     first = np.flatnonzero(np.diff(segment, prepend=-1))
     sizes = np.diff(np.append(first, n))
     inside = np.arange(n) - np.repeat(first, sizes)
@@ -112,15 +142,7 @@ def sort_suffixes(raw: np.ndarray, at: np.ndarray, segment: np.ndarray, rank: np
             live = live[low[live] < high[live]]
         order[begin + place - np.where(right, half, 0) + low] = own
         half *= 2
-    same = np.zeros(n, bool)
-    near = np.flatnonzero(segment[1:] == segment[:-1]) + 1
-    i, j = at[order[near - 1]], at[order[near]]
-    same[near] = prefixes.hashes(i, most) == prefixes.hashes(j, most)
-    if not _verified(raw, at[order[np.flatnonzero(same) - 1]], at[order[np.flatnonzero(same)]], most):
-        order = np.array(sorted(range(n), key=lambda x: (segment[x], raw[at[x]:at[x] + most].tobytes(), rank[x])), np.int64)
-        same[near] = [raw[a:a + most].tobytes() == raw[b:b + most].tobytes()
-                      for a, b in zip(at[order[near - 1]], at[order[near]], strict=True)]
-    return order, same
+    return order
 
 
 def _verified(raw: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> bool:

@@ -49,6 +49,23 @@ def test_query(spark, tmp_path, monkeypatch, chunk):
     assert sorted(map(tuple, got)) == brute(rows)
 
 
+def test_a_common_line_leaves_no_strings(spark, monkeypatch):
+    """Spans of a hot hash meet only where the bytes around their anchor agree, so nothing is left to merge over chunks."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 5)
+    found = []
+    plain = suffix_dedup._sorted_spans
+    monkeypatch.setattr(suffix_dedup, "_sorted_spans", lambda *a: found.append(plain(*a)) or found[-1])
+    rng = random.Random(6)
+    prose = lambda: "".join(rng.choices("abcdefgh", k=150))
+    line = "a line that is in each text, and too short to be a hundred bytes together: " + "it ends"
+    rows = [(k, prose() + line + prose()) for k in range(30)]
+    rows += [(30, prose()[:9] + rows[3][1][60:-9]), (31, rows[7][1][100:] + "!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.suffix_dedup(docs).collect()}
+    assert [(k, hashlib.sha256(got[k]).hexdigest()) for k in sorted(got)] == [(r[0], r[4]) for r in brute(rows)]
+    assert found[0].filter("_string IS NULL").count() > 0 and found[0].filter("_string IS NOT NULL").count() == 0
+
+
 def test_a_long_text_in_blocks(monkeypatch):
     rng = random.Random(4)
     raw = "".join(rng.choices("ab c", k=5000)).encode() + b"x" * 700
