@@ -1,7 +1,9 @@
 """A few registered queries against their SQL twins on the smallest data, and the
 same answer under different numbers of shuffle partitions."""
 
+import hashlib
 import os
+from collections import Counter
 
 import pytest
 
@@ -72,6 +74,18 @@ def test_ranges_give_the_plain_answer(spark, monkeypatch):
         assert text(df.collect(), df.columns) == want, name
 
 
+def test_each_replicate_ranks_the_rows_anew(spark):
+    from catalog.statistics import shuffle_rows
+    rows = shuffle_rows(spark, DATA).select("row_id", "gene", "allele").collect()
+
+    def ranks(rep):
+        return sorted(rows, key=lambda r: hashlib.md5(f"123|{rep}|{r.row_id}".encode()).digest())
+    labels = ranks(0)
+    want = Counter((rep, r.gene, of.allele) for rep in range(1, 101) for r, of in zip(ranks(rep), labels))
+    got = {(r.rep, r.gene, r.allele): r.n for r in entry_point.queries()["t17_permute_label"](spark, DATA).collect()}
+    assert got == want and sum(got.values()) == 100 * len(rows)
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).columns
 

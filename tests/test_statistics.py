@@ -1,5 +1,7 @@
+import hashlib
 import itertools
 import math
+from collections import Counter
 
 import brute
 import numpy as np
@@ -7,12 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortry.functions import exact, keyed, tails
+from cohortry.functions.digest import digests
 from cohortry.operators.adjust import p_adjust_bh, significant, stars
 from cohortry.operators.contingency import chisq_by
 from cohortry.operators.mixed import random_effects, random_intercept, residual_summary
 from cohortry.operators.moments import (
     box_stats_by, line_band, median_split, ols_by, quantiles_by, slice_positions, welch_t_by)
-from cohortry.operators.permute import permutation_null, permute_label
+from cohortry.operators import permute as permute_module
+from cohortry.operators.permute import in_order, permutation_null, permute_label
 from cohortry.operators.ranks import kruskal_by, rank_sum_by, signed_rank_by, spearman_by
 from cohortry.operators import running as running_module
 from cohortry.operators.running import Run, clean, cut_ranges, running
@@ -413,6 +417,47 @@ def test_permutation_of_odd_labels(spark):
     assert permutation_null(df.limit(0), "id", "lab", [], "u", reps=4).count() == 0
 
 
+def test_digests_of_many_texts():
+    rng = np.random.default_rng(4)
+    texts = [rng.bytes(n) for n in range(130)]
+    leads = [b"", b"123|7", b"123|100|", b"y" * 55, b"z" * 56, b"w" * 200]
+    first, second = digests(leads, texts)
+    for i, lead in enumerate(leads):
+        for k, text in enumerate(texts):
+            assert int(first[i, k]) << 64 | int(second[i, k]) == int(hashlib.md5(lead + text).hexdigest(), 16)
+    assert digests([b"a"], [])[0].shape == (1, 0)
+    assert in_order(np.array([5, 2, 5, 1], np.uint64), np.array([9, 0, 3, 0], np.uint64)).tolist() == [3, 1, 2, 0]
+
+
+@pytest.mark.parametrize("size", [None, 4000])
+def test_ranked_labels(spark, monkeypatch, size):
+    if size:  # some sixty slots, in many of which a replicate has no row
+        monkeypatch.setattr(permute_module, "BYTES_PER_SLOT", size)
+    rows = [(f"sample {i} é" if i else None, None if i % 7 == 0 else f"allele{i % 5}", "x" * (i % 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, lab string, `a.b` string").repartition(5)
+
+    def ranks(rep):
+        return sorted(rows, key=lambda r: hashlib.md5("|".join(["9", str(rep)] + [r[0]] * (r[0] is not None)).encode()).digest())
+    named = [r[1] for r in ranks(0)]
+    want = {(rep, r[0], r[2], lab) for rep in range(1, 13) for r, lab in zip(ranks(rep), named)}
+    out = permute_label(df.withColumnRenamed("a.b", "c"), "id", "lab", 12, seed=9, carry=["id", "c"], ranked=True)
+    assert out.columns == ["rep", "id", "c", "lab"] and out.schema["rep"].dataType.simpleString() == "int"
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == 3600 and set(got) == want
+    assert permute_label(df, "id", "lab", 0, carry=["id"], ranked=True).count() == 0
+    assert permute_label(df.limit(0), "id", "lab", 4, carry=["id"], ranked=True).columns == ["rep", "id", "lab"]
+
+
+def test_every_order_of_few_rows_is_as_likely(spark):
+    df = spark.createDataFrame([(i, "ABCDE"[i]) for i in range(5)], "id long, lab string")
+    orders = {}
+    for r in permute_label(df, "id", "lab", 6000, carry=["id"], ranked=True).collect():
+        orders.setdefault(r.rep, [None] * 5)[r.id] = r.lab
+    seen = Counter(map(tuple, orders.values()))
+    assert sum(seen.values()) == 6000
+    assert sum((seen[o] - 50) ** 2 / 50 for o in itertools.permutations("ABCDE")) < 200  # 119 on average; 660 for the keyed networks
+
+
 @pytest.mark.parametrize("buckets", BUCKETS)
 def test_risk_table_and_median(spark, buckets):
     rows = [("a", t, e) for t, e in ((1, 1), (2, 0), (3, 1), (4, 1), (6, 0), (8, 1))] + [("b", 2, 0), ("b", 9, 0)]
