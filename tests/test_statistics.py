@@ -448,6 +448,17 @@ def test_ranked_labels(spark, monkeypatch, size):
     assert permute_label(df.limit(0), "id", "lab", 4, carry=["id"], ranked=True).columns == ["rep", "id", "lab"]
 
 
+def test_ranked_labels_carry_times_of_any_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.range(40).selectExpr("id", "timestamp_seconds(id * 86400) AS ts", "CAST(id % 3 AS decimal(10, 2)) AS lab")
+        got = permute_label(df, "id", "lab", 3, carry=["id", "ts"], ranked=True).collect()
+        assert len(got) == 120 and {(r.id, r.ts) for r in got} == {(r.id, r.ts) for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_every_order_of_few_rows_is_as_likely(spark):
     df = spark.createDataFrame([(i, "ABCDE"[i]) for i in range(5)], "id long, lab string")
     orders = {}
